@@ -43,8 +43,8 @@ def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return raw, ends, np.asarray(column.is_null())
 
 
-def _hash_run(raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of ``raw``, and the first byte of each; words end at ``cuts`` too."""
+def _hash_run(raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of ``raw``, and the first byte and the end of each; words end at ``cuts`` too."""
     solid = ~_BLANK[raw]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
@@ -52,30 +52,32 @@ def _hash_run(raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     first[cuts] |= solid[cuts]
     at = np.flatnonzero(solid)
     if not len(at):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     heads = np.flatnonzero(first[at])
     place = np.arange(len(at)) - np.repeat(heads, np.diff(np.append(heads, len(at))))
     weight = _NEAR[place & (_FEW - 1)]
     if place.max() >= _FEW:
         weight = weight * mix((place // _FEW).astype(np.uint64) * _STEP + _STEP)
     sums = np.add.reduceat(_BYTE[_LOWER[raw[at]]] * weight, heads)
-    return mix(sums), at[heads]
+    return mix(sums), at[heads], at[np.append(heads[1:], len(at)) - 1] + 1
 
 
-def word_hashes(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Yield ``(first row, end row, hashes, bounds)`` for runs of rows; row ``r`` of a
-    run has ``hashes[bounds[r]:bounds[r + 1]]``.  Null texts have no words.  A text
-    longer than a run is hashed piece by piece, cut at blanks, and is a run alone."""
+def placed_words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Yield ``(first row, end row, hashes, bounds, first, last)`` for runs of rows; row
+    ``r`` of a run has ``hashes[bounds[r]:bounds[r + 1]]``, and the words' bytes go from
+    ``first`` to before ``last``, counted from the run's first byte.  Null texts have no
+    words.  A text longer than a run is hashed piece by piece, cut at blanks, and is a
+    run alone."""
     raw, ends, _ = strings(column)
     n, row = len(ends) - 1, 0
     while row < n:
         stop = max(row + 1, int(np.searchsorted(ends, ends[row] + RUN_BYTES, "right")) - 1)
         low, high = int(ends[row]), int(ends[stop])
         if high - low <= RUN_BYTES:
-            hashes, at = _hash_run(raw[low:high], ends[row:stop] - low)
-            bounds = np.searchsorted(at, ends[row : stop + 1] - low)
+            hashes, first, last = _hash_run(raw[low:high], ends[row:stop] - low)
+            bounds = np.searchsorted(first, ends[row : stop + 1] - low)
         else:
-            parts = []
+            parts, base = [], low
             while low < high:
                 cut, reach = min(low + RUN_BYTES, high), RUN_BYTES
                 while cut < high:
@@ -85,14 +87,20 @@ def word_hashes(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
                         break
                     reach *= 2
                     cut = min(low + reach, high)
-                parts.append(_hash_run(raw[low:cut], np.zeros(1, np.int64))[0])
+                some, first, last = _hash_run(raw[low:cut], np.zeros(1, np.int64))
+                parts.append((some, first + low - base, last + low - base))
                 low = cut
-            hashes = np.concatenate(parts)
+            hashes, first, last = (np.concatenate(p) for p in zip(*parts, strict=True))
             bounds = np.array([0, len(hashes)])
-        yield row, stop, hashes, bounds
+        yield row, stop, hashes, bounds, first, last
         row = stop
 
 
+def word_hashes(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """The first four of :func:`placed_words`."""
+    return (run[:4] for run in placed_words(column))
+
+
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
     """For each row the sorted distinct hashes of its ``k``-word shingles: the whole
     sequence as one if there are fewer words, none without words or text."""
