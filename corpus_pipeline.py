@@ -1,4 +1,8 @@
-"""Corpus preparation in five stages, each written as Parquet and reread by the next."""
+"""Corpus preparation in five stages, each written as Parquet and reread by the next.
+
+Every stage works on all rows its predecessor kept and returns the columns of
+``documents``; the last one packs what is left into sequences.
+"""
 
 from __future__ import annotations
 
@@ -7,21 +11,70 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellum.llm import mixing
 from vellum.llm._store import Scratch
 from vellum.llm.jaccard import jaccard_components
+from vellum.llm.packing import pack_documents, with_crc
+from vellum.llm.quality import score_quality
+from vellum.llm.queries import tokenizer
+from vellum.llm.templates import drop_templates
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Ids are broadcast up to this many; beyond it they are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
+#: Share of the words that the mix keeps.
+MIX_SHARE = 0.8
+
+
+def _ids(scratch: Scratch, ids: DataFrame, name: str) -> DataFrame:
+    """``ids(other)``, to be broadcast if its size allows."""
+    ids = scratch.keep(ids, name)
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the documents that the classifier scores 0.3 or more; null ids are scored too and stay."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = score_quality(docs, labels, threshold=0.3, metadata=("n_chars",))
+    rejected = _ids(Scratch(spark, "quality-stage"), scored.where("predicted = 0 and doc_id is not null").select(F.col("doc_id").alias("other")).distinct(), "rejected")
+    return docs.join(rejected, F.col("doc_id") == F.col("other"), "left_anti").select(*COLUMNS)
+
+
+def line_templates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the lines of recurring templates; a document that they were all of goes."""
+    clean = drop_templates(docs).select("doc_id", F.col("text").alias("kept"), "n_dropped")
+    cut = Scratch(spark, "template-stage").keep(clean.where("n_dropped > 0").select(F.col("doc_id").alias("other"), "kept"), "cut")
+    joined = docs.join(cut.dropDuplicates(["other"]), F.col("doc_id") == F.col("other"), "left")
+    text = F.when(F.col("other").isNull(), F.col("text")).otherwise(F.col("kept"))
+    joined = joined.withColumns({"text": text, "n_chars": F.when(F.col("other").isNull(), F.col("n_chars")).otherwise(F.length("kept").cast("long"))})
+    return joined.where("other is null or trim(text) <> ''").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of smallest id in each group whose five-word shingle sets reach Jaccard 0.8."""
+    """Keep one document, that of smallest id, of each group whose five-word shingle sets reach Jaccard 0.8."""
     groups = jaccard_components(docs, k=5, num=80, den=100)
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").select(*COLUMNS)
+    copies = _ids(Scratch(spark, "near-stage"), groups.where("doc_id <> component_id").select(F.col("doc_id").alias("other")).distinct(), "copies")
+    return docs.join(copies, F.col("doc_id") == F.col("other"), "left_anti").select(*COLUMNS)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the documents that begin within their leaf's share of ``MIX_SHARE`` of all words, in one epoch."""
+    chosen = mixing.mix_sources(docs, mixing.tree(), [mixing.DOMAIN_WEIGHTS, mixing.LANG_WEIGHTS, {}], budget_share=MIX_SHARE, max_epochs=1, seed=1)
+    kept = _ids(Scratch(spark, "mix-stage"), chosen.select(F.col("doc_id").alias("other")).distinct(), "kept")
+    return docs.join(kept, F.col("doc_id") == F.col("other"), "left_semi").select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sequences: a row a piece, with the digest of its ids."""
+    return with_crc(pack_documents(docs, tokenizer("byte_bpe_50k.json"), limit=2048, end_id=0))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", quality),
+    ("line dedup", line_templates),
     ("n-gram Jaccard join", near_duplicates),
+    ("mixing sources to target weights", mix),
+    ("best-fit packing", pack),
 ]
 
 #: The quality classifier is learned, which SQL cannot express.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import templates
+from vellum.llm import mixing, templates
 from vellum.llm.jaccard import jaccard_components
 from vellum.llm.langid import identify
 from vellum.llm.packing import pack_documents, with_crc
@@ -61,6 +61,11 @@ def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(_table(spark, sf_dir, "embeddings"), every=50, k=5, scale=256)
 
 
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many tokens as there are, shared by weight among domains, languages and sources, in two epochs at most."""
+    return mixing.mix_sources(_table(spark, sf_dir, "documents"), mixing.tree(), [mixing.DOMAIN_WEIGHTS, mixing.LANG_WEIGHTS, {}], budget_share=1.0, max_epochs=2, seed=1)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every text."""
     return count_tokens(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), limit=2048)
@@ -83,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_classifier": op4_quality_classifier,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_exact_top_k": op6_exact_top_k,
+    "op7_mix_sources": op7_mix_sources,
     "op8_token_counts": op8_token_counts,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_line_templates": op10_line_templates,
@@ -102,5 +108,6 @@ SELECT query_id, rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s
 ) WHERE rank <= 5
 """,
+    "op7_mix_sources": mixing.SQL,
     "op10_line_templates": templates.SQL,
 }
