@@ -6,7 +6,7 @@ resolution need no shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,12 +36,16 @@ def _guarded(text: Column, guard: str, found: Column, empty: str = SPAN) -> Colu
     return F.when(text.rlike(guard), found).otherwise(F.array().cast(empty))
 
 
+def _valid(found: Column, validator: Callable[[Column], Column]) -> Column:
+    return F.filter(found, lambda s: F.coalesce(validator(s["value"]), F.lit(False)))
+
+
 def rule_spans(text: Column, name: str) -> Column:
     """The valid matches of one rule."""
     rule = RULES[name]
     found = spans(text, rule.pattern, rule.group)
     if rule.validator is not None:
-        found = F.filter(found, lambda s: F.coalesce(rule.validator(s["value"]), F.lit(False)))
+        found = _valid(found, rule.validator)
     return _guarded(text, rule.guard, found)
 
 
@@ -52,7 +56,7 @@ def rule_candidates(text: Column, name: str) -> Column:
 
 def labelled_passports(text: Column, label: Column) -> Column:
     """Bare numbers in a block whose label names a passport, unless the rule found some."""
-    bare = F.filter(spans(text, PASSPORT_VALUE), lambda s: F.coalesce(valid_passport(s["value"]), F.lit(False)))
+    bare = _valid(spans(text, PASSPORT_VALUE), valid_passport)
     asked = tx.accentless(F.coalesce(label, F.lit(""))).contains("pasaporte") & (F.size(rule_spans(text, "passport")) == 0)
     found = F.when(asked, bare).otherwise(F.array().cast(SPAN))
     return _candidates(found, "PASSPORT", 0.92, 92, len(RULES), RULE_SOURCE, "Numero de pasaporte en una celda etiquetada como pasaporte.")
@@ -114,7 +118,7 @@ def detect_legacy5(blocks: DataFrame) -> DataFrame:
     for i, (kind, (pattern, validator, confidence)) in enumerate(LEGACY.items()):
         found = spans(F.col("text"), pattern)
         if validator is not None:
-            found = F.filter(found, lambda s, v=validator: F.coalesce(v(s["value"]), F.lit(False)))
+            found = _valid(found, validator)
         parts.append(_candidates(found, kind, confidence, -i, i, RULE_SOURCE, ""))
     rows = blocks.withColumn("all", F.coalesce(F.concat(*parts), F.array().cast(NONE)))
     free = lambda acc, c: ~F.exists(acc, lambda a: (c["start"] < a["end"]) & (c["end"] > a["start"]))

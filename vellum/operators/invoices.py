@@ -17,6 +17,12 @@ MISMATCH = "El detalle no coincide con el resumen del servicio."
 NOT_EXACT = "La suma extraída no coincide exactamente con la base imponible."
 
 
+def _front(limit: int) -> Column:
+    """The first pages of ``pages`` as one text."""
+    first = F.filter("pages", lambda x: x["page_index"] < limit)
+    return F.array_join(F.transform(first, lambda x: x["text"]), "\n")
+
+
 def match_provider(pages: DataFrame, profiles: list[dict]) -> tuple[DataFrame, DataFrame]:
     """``doc_id, profile_id`` of the first profile by name whose terms are all on the first
     pages, and the ``doc_id`` of documents that no profile fits."""
@@ -24,7 +30,7 @@ def match_provider(pages: DataFrame, profiles: list[dict]) -> tuple[DataFrame, D
     texts = pages.where(F.col("page_index") < furthest).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_index", F.coalesce("text", F.lit("")).alias("text")))).alias("pages"))
     found = F.lit(None).cast("string")
     for p in sorted(profiles, key=lambda p: p["name"].lower(), reverse=True):
-        front = F.lower(F.array_join(F.transform(F.filter("pages", lambda x, n=p["detection"]["page_limit"]: x["page_index"] < n), lambda x: x["text"]), "\n"))
+        front = F.lower(_front(p["detection"]["page_limit"]))
         fits = reduce(lambda a, b: a & b, [front.contains(t.strip().lower()) for t in p["detection"]["all_terms"]])
         found = F.when(fits, p["id"]).otherwise(found)
     rows = pages.select("doc_id").distinct().join(texts.select("doc_id", found.alias("profile_id")), "doc_id", "left")

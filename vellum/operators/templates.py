@@ -75,7 +75,7 @@ def repair_split_placeholders(runs: DataFrame) -> DataFrame:
     cut = cut.withColumn("island", F.sum("fresh").over(by.rowsBetween(W.unboundedPreceding, 0)))
     islands = cut.groupBy(*_WHERE, "island").agg(F.min("first_run").alias("a"), F.max("last_run").alias("b"), F.count("*").alias("n"))
     packed = islands.groupBy(*_WHERE).agg(F.collect_list(F.struct("a", "b")).alias("_islands"), F.sum("n").alias("merges"))
-    rows = runs.join(packed, _WHERE, "left").withColumn("_own", F.filter("_islands", lambda i: F.col("run_index").between(i["a"], i["b"]))[0])
+    rows = runs.join(packed, _WHERE, "left").withColumn("_own", F.get(F.filter("_islands", lambda i: F.col("run_index").between(i["a"], i["b"])), F.lit(0)))
     rows = rows.withColumn("_key", F.coalesce(F.col("_own.a"), F.col("run_index")))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run_index", F.coalesce("text", F.lit("")).alias("t"))).over(W.partitionBy(*_WHERE, "_key"))), lambda r: r["t"]), "")
     text = F.when(F.col("_own").isNull(), F.col("text")).when(F.col("run_index") == F.col("_own.a"), joined).otherwise("")
