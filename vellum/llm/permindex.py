@@ -70,7 +70,7 @@ def nearest_neighbours(vectors: DataFrame, *, every: int = 100, k: int = 10, piv
     drawn = rows.orderBy(F.xxhash64(F.lit("pivot"), "vec_id"), "vec_id").limit(2 * pivots).collect()
     dims = [len(r["v"]) for r in drawn]
     width = max(sorted(set(dims)), key=dims.count) if dims else 0
-    base = np.array([list(v) for v in list(dict.fromkeys(tuple(r["v"]) for r in drawn if len(r["v"]) == width))[:pivots]]).reshape(-1, width)
+    base = np.array([list(v) for v in list(dict.fromkeys(tuple(r["v"]) for r in drawn if len(r["v"]) == width))[:pivots]]).reshape(-1, max(1, width))
     short = min(prefix, len(base))
 
     def index(data: np.ndarray) -> bytes:
