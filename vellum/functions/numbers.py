@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vellum.functions.text import accentless, optional_text
+from vellum.functions.text import accentless, let, optional_text
 
 DECIMAL = "decimal(18,6)"
 
@@ -83,20 +83,23 @@ def _single(v: Column, mark: str) -> Column:
 
 def parse_decimal(v: Column) -> Column:
     """A number in the common European and international forms; null if it is none."""
-    text = F.replace(F.replace(optional_text(v), F.lit("−"), F.lit("-")), F.lit(" "), F.lit(""))
-    negative = text.startswith("(") & text.endswith(")")
-    bare = F.regexp_replace(F.regexp_replace(text, r"[^0-9,.()\-]", ""), r"^[()]+|[()]+$", "")
-    comma, dot = F.length(bare) - F.locate(",", F.reverse(bare)), F.length(bare) - F.locate(".", F.reverse(bare))
-    has_comma, has_dot = bare.contains(","), bare.contains(".")
-    number = (
-        F.when(has_comma & has_dot & (comma > dot), F.translate(bare, ",.", "."))
-        .when(has_comma & has_dot, F.replace(bare, F.lit(","), F.lit("")))
-        .when(has_comma, _single(bare, ","))
-        .when(has_dot, _single(bare, "."))
-        .otherwise(bare)
-    )
-    signed = F.when(negative & ~number.startswith("-"), F.concat(F.lit("-"), number)).otherwise(number)
-    return signed.try_cast(DECIMAL)
+    def plain(bare: Column) -> Column:
+        comma, dot = F.length(bare) - F.locate(",", F.reverse(bare)), F.length(bare) - F.locate(".", F.reverse(bare))
+        has_comma, has_dot = bare.contains(","), bare.contains(".")
+        return (
+            F.when(has_comma & has_dot & (comma > dot), F.translate(bare, ",.", "."))
+            .when(has_comma & has_dot, F.replace(bare, F.lit(","), F.lit("")))
+            .when(has_comma, _single(bare, ","))
+            .when(has_dot, _single(bare, "."))
+            .otherwise(bare)
+        )
+
+    def signed(text: Column) -> Column:
+        bare = F.regexp_replace(F.regexp_replace(text, r"[^0-9,.()\-]", ""), r"^[()]+|[()]+$", "")
+        negative = text.startswith("(") & text.endswith(")")
+        return let(let(bare, plain), lambda n: F.when(negative & ~n.startswith("-"), F.concat(F.lit("-"), n)).otherwise(n))
+
+    return let(F.replace(optional_text(v), F.lit("−"), F.lit("-")), signed).try_cast(DECIMAL)
 
 
 def within_tolerance(actual: Column, expected: Column, percent: float = 0.10) -> Column:

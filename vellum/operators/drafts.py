@@ -21,16 +21,17 @@ LINE_ALIASES = {"description": ["service"], "project_reference": ["project", "re
 TAX_ALIASES = {"rate": ["tax_rate"], "taxable_base": ["base"], "amount": ["tax_amount"]}
 
 
-def _fields(json: Column, names: tuple[str, ...], aliases: dict[str, list[str]]) -> dict[str, Column]:
-    """Each field as text: of the canonical key if present, null or not, else of its first alias present."""
-    every = list(dict.fromkeys([*names, *[a for n in names for a in aliases.get(n, [])]]))
-    parsed = F.from_json(json, ", ".join(f"`{k}` string" for k in every))
-    keys = F.json_object_keys(json)
+KEYS = "map<string,string>"
+
+
+def _fields(keys: Column, names: tuple[str, ...], aliases: dict[str, list[str]]) -> dict[str, Column]:
+    """Each field as text from a map of keys: of the canonical key if present, null or not,
+    else of its first alias present.  Nested values are raw JSON."""
     out = {}
     for name in names:
         value = F.lit(None).cast("string")
         for key in reversed([name, *aliases.get(name, [])]):
-            value = F.when(F.array_contains(keys, key), parsed[key]).otherwise(value)
+            value = F.when(F.map_contains_key(keys, key), F.try_element_at(keys, F.lit(key))).otherwise(value)
         out[name] = value
     return out
 
@@ -50,8 +51,8 @@ def parse_payload(payloads: DataFrame) -> DataFrame:
         F.transform(F.filter(F.coalesce("errors", F.array().cast("array<string>")), lambda e: e != ""), lambda e: F.concat(F.lit("Página "), page, F.lit(": "), e)),
         F.when(bad, F.array(F.concat(F.lit("Página "), page, F.lit(": Docling no devolvió JSON válido.")))).otherwise(F.array().cast("array<string>")),
     )
-    rows = payloads.withColumns({"json": json, "page_warnings": warnings})
-    fields = _fields(F.col("json"), (*TEXTS, *NUMBERS, "line_items", "taxes"), PAGE_ALIASES)
+    rows = payloads.withColumns({"keys": F.from_json(json, KEYS), "page_warnings": warnings})
+    fields = _fields(F.col("keys"), (*TEXTS, *NUMBERS, "line_items", "taxes"), PAGE_ALIASES)
     texts = {n: optional_text(fields[n]) for n in TEXTS}
     return rows.select("doc_id", "page_no", "page_warnings", *[c.alias(n) for n, c in (fields | texts).items()])
 
@@ -81,13 +82,13 @@ def header_decimal(pages: DataFrame) -> DataFrame:
 
 
 def _items(pages: DataFrame, column: str) -> DataFrame:
-    return pages.select("doc_id", "page_no", F.posexplode(F.from_json(column, "array<string>")).alias("at", "item"))
+    return pages.select("doc_id", "page_no", F.posexplode(F.from_json(column, "array<string>")).alias("at", "item")).withColumn("keys", F.from_json("item", KEYS))
 
 
 def draft_lines(pages: DataFrame, tolerance: float = 0.10) -> DataFrame:
     """One row an item, with its numbers and what is wrong with it."""
     rows = _items(pages, "line_items")
-    fields = _fields(F.col("item"), ("description", "user", "project_reference", "quantity", "unit_price", "amount"), LINE_ALIASES)
+    fields = _fields(F.col("keys"), ("description", "user", "project_reference", "quantity", "unit_price", "amount"), LINE_ALIASES)
     texts = {n: optional_text(fields[n]) for n in ("description", "user", "project_reference")}
     raws = {f"raw_{n}": fields[n] for n in ("quantity", "unit_price", "amount")}
     rows = rows.withColumns(texts | raws).withColumns({n: parse_decimal(F.col(f"raw_{n}")) for n in ("quantity", "unit_price", "amount")})
@@ -104,7 +105,7 @@ def draft_lines(pages: DataFrame, tolerance: float = 0.10) -> DataFrame:
 def draft_taxes(pages: DataFrame) -> DataFrame:
     """Tax rows that say something, the first of equal ones."""
     rows = _items(pages, "taxes")
-    fields = _fields(F.col("item"), ("tax_type", "rate", "taxable_base", "amount"), TAX_ALIASES)
+    fields = _fields(F.col("keys"), ("tax_type", "rate", "taxable_base", "amount"), TAX_ALIASES)
     numbers = {n: parse_decimal(fields[n]) for n in ("rate", "taxable_base", "amount")}
     bad = [optional_text(fields[n]).isNotNull() & parse_decimal(fields[n]).isNull() for n in numbers]
     rows = rows.withColumns({"tax_type": optional_text(fields["tax_type"]), "bad": reduce(lambda a, b: a + b, [b.cast("int") for b in bad])} | numbers)
