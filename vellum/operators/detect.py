@@ -64,13 +64,16 @@ def labelled_passports(text: Column, label: Column) -> Column:
 
 def gazetteer_candidates(text: Column) -> Column:
     """Places of the local gazetteers as whole words, whatever their case and marks."""
-    folded, out = tx.accentless(text), []
-    for i, (kind, (names, confidence)) in enumerate(GAZETTEERS.items()):
-        pattern = r"(?U)(?<!\w)(?:" + "|".join(sorted(names, key=lambda n: (-len(n), n))) + r")(?!\w)"
-        guard = "|".join(sorted({n[:4] for n in names}))
-        found = F.transform(spans(folded, pattern), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("value")))
-        out.append(_candidates(_guarded(folded, guard, found), kind, confidence, 65, len(RULES) + 1 + i, GAZETTEER_SOURCE, GAZETTEER_REASON))
-    return F.concat(*out)
+
+    def places(folded: Column) -> Column:
+        out = []
+        for i, (kind, (names, confidence)) in enumerate(GAZETTEERS.items()):
+            pattern = r"(?U)(?<!\w)(?:" + "|".join(sorted(names, key=lambda n: (-len(n), n))) + r")(?!\w)"
+            found = F.transform(spans(folded, pattern), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("value")))
+            out.append(_candidates(_guarded(folded, pattern, found), kind, confidence, 65, len(RULES) + 1 + i, GAZETTEER_SOURCE, GAZETTEER_REASON))
+        return F.concat(*out)
+
+    return tx.let(tx.accentless(text), places)
 
 
 def candidates(text: Column, label: Column, rules: Iterable[str] = tuple(RULES), gazetteers: bool = True) -> Column:
