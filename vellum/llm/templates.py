@@ -17,9 +17,11 @@ from vellum.llm._store import Scratch
 
 MIN_DOCS, MIN_TOKENS, LEAD, SIMILARITY = 5, 4, 3, 0.7
 
-# Fixed patterns, the same in Java and RE2.
+#: White space within a line, and a token with a digit between single blanks.
 BLANKS = r"[ \t\r\f]+"
-FIELD = r"[^ \t\r\f]*[0-9][^ \t\r\f]*"
+FIELD = r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*"
+#: Tables that join with whole texts are broadcast up to so many rows; beyond it they are joined by a shuffle.
+BROADCAST_ROWS = 2_000_000
 
 
 def template_lines(docs: DataFrame, *, min_tokens: int = MIN_TOKENS, lead: int = LEAD) -> DataFrame:
@@ -27,13 +29,23 @@ def template_lines(docs: DataFrame, *, min_tokens: int = MIN_TOKENS, lead: int =
 
     ``line`` is the masked line with single blanks; ``doc`` tells apart rows of one id.
     """
-    lines = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("doc"), F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-    masked = F.regexp_replace(F.trim(F.regexp_replace("raw", BLANKS, " ")), FIELD, "<*>")
-    lines = lines.select("doc_id", "doc", "line_no", masked.alias("line")).withColumn("n", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
-    lines = lines.where(F.col("n") >= min_tokens)
+    parts = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("doc"), F.split("text", "\n").alias("parts"))
+    lines = parts.select("doc_id", "doc", F.posexplode("parts").alias("line_no", "raw"))
+    # Each pattern runs only where a plainer one matches.
+    raw = F.col("raw")
+    uneven = raw.contains("  ") | raw.contains("\t") | raw.contains("\r") | raw.contains("\f")
+    flat = F.when(uneven, F.regexp_replace(raw, BLANKS, " ")).otherwise(raw)
+    lines = lines.select("doc_id", "doc", "line_no", F.trim(flat).alias("flat"))
+    lines = lines.withColumn("n", F.length("flat") - F.length(F.replace("flat", F.lit(" "), F.lit(""))) + 1).where(F.col("n") >= min_tokens)
+    masked = F.when(F.col("flat").rlike("[0-9]"), F.regexp_replace("flat", FIELD, "<*>")).otherwise(F.col("flat"))
+    lines = lines.select("doc_id", "doc", "line_no", masked.alias("line"), "n")
     return lines.withColumn("leaf", F.xxhash64("n", F.substring_index("line", " ", lead)))
 
 
+def _small(rows: DataFrame, count: int) -> DataFrame:
+    return F.broadcast(rows) if count <= BROADCAST_ROWS else rows
+
+
 def drop_templates(docs: DataFrame, *, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, lead: int = LEAD, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_lines, n_dropped, text``: every row of ``docs`` without recurring lines.
 
@@ -47,10 +59,10 @@ def drop_templates(docs: DataFrame, *, min_docs: int = MIN_DOCS, min_tokens: int
     scratch = Scratch(docs.sparkSession, "templates")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     lines = template_lines(rows, min_tokens=min_tokens, lead=lead)
-    slim = scratch.keep(lines.select("doc_id", "doc", "line_no", "leaf", F.xxhash64("line").alias("line"), "n"), "lines")
+    slim = scratch.keep(lines.select("doc_id", "doc", "line_no", "leaf", F.xxhash64("line").alias("line"), "n", F.col("line").alias("masked")), "lines")
 
     # Equal masked lines.
-    pairs = slim.select("leaf", "line", "n", "doc_id").distinct()
+    pairs = scratch.keep(slim.select("leaf", "line", "n", "doc_id").distinct(), "pairs")
     kinds = scratch.keep(pairs.groupBy("leaf", "line", "n").agg(F.count("doc_id").alias("docs"), F.min("doc_id").alias("first")), "kinds")
     same = kinds.where(F.col("docs") >= min_docs).select("leaf", "line", "first")
 
@@ -59,26 +71,27 @@ def drop_templates(docs: DataFrame, *, min_docs: int = MIN_DOCS, min_tokens: int
     shared = pairs.join(rare.select("leaf", "line"), ["leaf", "line"], "left_semi").select("leaf", "doc_id").distinct()
     leaves = scratch.keep(shared.groupBy("leaf").agg(F.count("doc_id").alias("total")).where(F.col("total") >= min_docs), "leaves")
     open_ = scratch.keep(rare.join(leaves, "leaf").select("leaf", "line", "n", "docs", "total"), "open")
-    words = lines.select("leaf", F.xxhash64("line").alias("line"), F.col("line").alias("masked"))
-    words = words.join(open_, ["leaf", "line"]).groupBy("leaf", "line", "n", "docs", "total").agg(F.first("masked").alias("masked"))
+    words = slim.select("leaf", "line", "masked").join(_small(open_, open_.count()), ["leaf", "line"]).groupBy("leaf", "line", "n", "docs", "total").agg(F.first("masked").alias("masked"))
     words = words.select("leaf", "line", "n", "docs", "total", F.posexplode(F.split("masked", " ")).alias("at", "token"))
     words = scratch.keep(words.select("leaf", "line", "n", "docs", "total", "at", F.xxhash64("token").alias("token")), "words")
     constant = words.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("votes"), F.first("total").alias("total")).where(F.col("votes") * 2 > F.col("total"))
     fitting = words.join(constant.select("leaf", "at", "token"), ["leaf", "at", "token"]).groupBy("leaf", "line", "n").count()
     fitting = scratch.keep(fitting.where(F.col("count") >= F.col("n") * similarity).select("leaf", "line"), "fitting")
-    members = pairs.join(fitting, ["leaf", "line"], "left_semi").groupBy("leaf").agg(F.count_distinct("doc_id").alias("docs"), F.min("doc_id").alias("first"))
+    members = pairs.join(_small(fitting, fitting.count()), ["leaf", "line"], "left_semi").groupBy("leaf").agg(F.count_distinct("doc_id").alias("docs"), F.min("doc_id").alias("first"))
     alike = fitting.join(members.where(F.col("docs") >= min_docs).select("leaf", "first"), "leaf").select("leaf", "line", "first")
 
     found = scratch.keep(same.union(alike), "found")
-    gone = slim.join(found, ["leaf", "line"]).where(F.col("doc_id").isNull() | (F.col("doc_id") > F.col("first")))
-    gone = gone.select("doc", "line_no").distinct().groupBy("doc").agg(F.array_sort(F.collect_list("line_no")).alias("gone"))
-    for name in ("kinds", "leaves", "open", "words", "fitting"):
+    gone = slim.join(_small(found, found.count()), ["leaf", "line"]).where(F.col("doc_id").isNull() | (F.col("doc_id") > F.col("first")))
+    gone = scratch.keep(gone.select("doc", "line_no").distinct(), "gone")
+    gone = _small(gone.groupBy("doc").agg(F.array_sort(F.collect_list("line_no")).alias("gone")), gone.count())
+    for name in ("lines", "pairs", "kinds", "leaves", "open", "words", "fitting", "found"):
         scratch.drop(name)
-    out = rows.withColumn("doc", F.xxhash64("doc_id", "text")).join(gone, "doc", "left").withColumn("parts", F.split("text", "\n"))
-    kept = F.array_join(F.filter("parts", lambda x, i: ~F.array_contains("gone", i)), "\n")
+    out = rows.withColumn("doc", F.xxhash64("doc_id", "text")).join(gone, "doc", "left")
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n")
+    feeds = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
     return out.select(
         "doc_id",
-        F.coalesce(F.size("parts"), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(feeds + 1, F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text"),
     )
