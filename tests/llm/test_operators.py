@@ -243,6 +243,18 @@ def test_passages(spark):
     assert remove_spans(docs, spans).columns == docs.columns and repeated_spans(docs.where("false")).count() == 0
 
 
+def test_passages_repeated_within_a_document(spark):
+    rng = random.Random(14)
+    passage, other = prose(rng, 70), prose(rng, 60)
+    texts = [(1, "\n".join([passage, other, passage, prose(rng, 30), passage])), (2, "kan lor mis\n" * 60), (3, f"{prose(rng, 40)}\n{other}")]
+    docs = frame(spark, texts)
+    spans = repeated_spans(docs)
+    assert {(r.doc_id, r.kept_doc_id) for r in spans.collect()} == {(1, 1), (2, 2), (3, 1)}
+    left = {r.doc_id: r.text for r in remove_spans(docs, spans).collect()}
+    assert left[1].startswith(f"{passage}\n{other}\n") and left[1].count(passage) == 1 and len(left[1].split()) <= 70 + 60 + 30 + 2 * 30
+    assert left[2].split() == "kan lor mis".split() * 9 and left[3].startswith(texts[2][1].split("\n")[0])
+
+
 def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("dim", F.lit("x")).withColumn("ids", F.lit(1)).withColumn("q", F.lit(2))
 

@@ -7,9 +7,10 @@ line end or after a word whose hash ends in ``CUT_BITS`` zero bits, and ends at
 first such place that makes it long enough.  The cuts depend on the words alone, so
 a repeated passage is cut alike in every document.
 
-Digests of units are grouped globally.  The earliest document by id keeps a unit
-(also where it has it twice); in all others its characters are removed.  Overlapping
-removed units merge to spans, in offsets of the original text.
+Digests of units are grouped globally.  The earliest document by id keeps the first
+occurrence of a unit; there the later ones that do not overlap it, and in all other
+documents every one, lose their characters.  Overlapping removed units merge to spans,
+in offsets of the original text.
 """
 
 from __future__ import annotations
@@ -78,6 +79,12 @@ def _inverses(at: np.ndarray) -> np.ndarray:
     return _table(_BACK, int(at.max()) + 1 if len(at) else 1)[at]
 
 
+def repeats(digest: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether each unit of a text begins behind the first unit of its digest."""
+    _, first, own = np.unique(digest, return_index=True, return_inverse=True)
+    return start >= end[first][own]
+
+
 def _digests(min_words: int, spans: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,14 +92,18 @@ def _digests(min_words: int, spans: bool):
 
             def flush(parts: list) -> pa.RecordBatch:
                 cols = [np.concatenate([p[c] for p in parts]) for c in range(len(parts[0]))]
-                return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["digest", "doc_id", "start", "end"][: len(cols)])
+                return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["digest", "doc_id", "again", "start", "end"][: len(cols)])
 
             for row, digest, start, end in units(batch.column(1), min_words):
                 digest = digest.view(np.int64)
+                again = repeats(digest, start, end)
                 if not spans:
+                    # Each digest once, as one that repeats if any of its units does.
+                    more = np.unique(digest[again])
                     digest = np.unique(digest)
+                    again = np.isin(digest, more)
                 own = np.full(len(digest), ids[row], np.int64)
-                parts.append((digest, own, start.astype(np.int32), end.astype(np.int32)) if spans else (digest, own))
+                parts.append((digest, own, again, start.astype(np.int32), end.astype(np.int32)) if spans else (digest, own, again))
                 if len(parts) == 500:
                     yield flush(parts)
                     parts = []
@@ -103,19 +114,21 @@ def _digests(min_words: int, spans: bool):
 
 
 def repeated_spans(docs: DataFrame, *, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, start, end, kept_doc_id``: the spans of each text that an earlier document has.
+    """``doc_id, start, end, kept_doc_id``: the spans of each text that an earlier document, or an earlier place in it, has.
 
     ``start`` and ``end`` count characters of the original text; spans of a document
-    do not touch.  ``kept_doc_id`` is the earliest document of the span's units.  Texts
+    do not touch.  ``kept_doc_id`` is the earliest document of the span's units, which
+    may be the document itself.  Texts
     that are null or have fewer than ``min_words`` words have no units; rows with a null
     id are not read.  Rows that share an id are one document, so repeated rows keep what
     they repeat.  Other columns are not read; an empty table gives no rows.
     """
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    owners = rows.mapInArrow(_digests(min_words, False), "digest long, doc_id long").groupBy("digest").agg(F.min("doc_id").alias("kept"), F.max("doc_id").alias("last"))
-    owners = owners.where("kept < last").select("digest", "kept")
-    found = rows.mapInArrow(_digests(min_words, True), "digest long, doc_id long, start int, end int")
-    found = found.join(owners, "digest").where("doc_id > kept").select("doc_id", "start", "end", "kept")
+    owners = rows.mapInArrow(_digests(min_words, False), "digest long, doc_id long, again boolean")
+    owners = owners.groupBy("digest").agg(F.min("doc_id").alias("kept"), F.max("doc_id").alias("last"), F.max("again").alias("again"))
+    owners = owners.where("kept < last or again").select("digest", "kept")
+    found = rows.mapInArrow(_digests(min_words, True), "digest long, doc_id long, again boolean, start int, end int")
+    found = found.join(owners, "digest").where("doc_id > kept or again").select("doc_id", "start", "end", "kept")
     by = W.partitionBy("doc_id").orderBy("start", "end")
     reach = F.max("end").over(by.rowsBetween(W.unboundedPreceding, -1))
     marked = found.withColumn("fresh", F.when(F.col("start") <= reach, 0).otherwise(1))

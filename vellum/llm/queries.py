@@ -52,7 +52,7 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans of every text that an earlier document has, in offsets of the original text."""
+    """Spans of every text that an earlier document or an earlier place in it has, in offsets of the original text."""
     return repeated_spans(_table(spark, sf_dir, "documents"))
 
 
