@@ -52,7 +52,7 @@ def line_templates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document, that of smallest id, of each group whose five-word shingle sets reach Jaccard 0.8."""
-    groups = jaccard_components(docs, k=5, num=80, den=100)
+    groups = jaccard_components(docs, k=5, num=80, den=100, count_links=False)
     copies = _ids(Scratch(spark, "near-stage"), groups.where("doc_id <> component_id").select(F.col("doc_id").alias("other")).distinct(), "copies")
     return docs.join(copies, F.col("doc_id") == F.col("other"), "left_anti").select(*COLUMNS)
 

@@ -90,6 +90,23 @@ def test_jaccard_matches_brute_force(spark, k, num):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_components(texts, k, num, 100)
 
 
+@pytest.mark.parametrize("block", [1024, 7])
+def test_every_link_of_a_group_is_counted(spark, monkeypatch, block):
+    monkeypatch.setattr("vellum.llm.jaccard.LINK_BLOCK", block)
+    rng, texts = random.Random(8), []
+    for g, (n, members) in enumerate([(90, 40), (30, 12), (60, 2), (40, 1)]):
+        base = prose(rng, n).split()
+        for m in range(members):
+            copy = list(base)
+            for _ in range(rng.randrange(3)):
+                copy[rng.randrange(len(copy))] = f"x{m}"
+            texts.append((100 * g + m, " ".join(copy)))
+    sets = {frozenset(shingles(t, 3)) for _, t in texts}
+    want = {d: sum(len(s & o) * 100 >= 90 * len(s | o) for o in sets if o != s) for d, t in texts for s in [shingles(t, 3)]}
+    got = {r.doc_id: r.n_links for r in jaccard_components(frame(spark, texts), k=3, num=90, den=100).collect()}
+    assert got == want and max(want.values()) > 10
+
+
 def test_jaccard_of_an_empty_table(spark):
     assert jaccard_components(frame(spark, [])).count() == 0
 

@@ -17,6 +17,8 @@ Two documents link when ``overlap / union >= num / den``, in integers.
    counts are summed per pair.  First every bucket of a prefix shingle is compared
    with one leader; the components so found are then only compared with each other,
    so that a group of near copies costs its size and not its square.
+5. *Links.* Every link lies within a component.  Where they are to be counted, all
+   pairs of a component are compared, as products of incidence matrices of its blocks.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ from vellum.llm.components import connected_components
 COUNT_FRAGMENTS = 16
 #: Candidate ids are broadcast up to this many (16 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Classes and shingles of a block of a component whose links are counted, and shingles of a product.
+LINK_BLOCK, LINK_SHINGLES, LINK_WIDTH = 1024, 1 << 21, 4096
 #: Widths of the size classes; at least the largest ratio of sizes a link can bridge.
 SIZE_RATIO = 1.5
 
@@ -165,13 +169,71 @@ def _linked(pairs: DataFrame, segments: DataFrame, num: int, den: int) -> DataFr
     return total.where(F.col("overlap") >= _need("n", "m", num, den)).select("a", "b")
 
 
-def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def linked_degrees(owner: np.ndarray, shingles: np.ndarray, n: np.ndarray, block: np.ndarray, num: int, den: int) -> np.ndarray:
+    """How many sets each set links to: all pairs of one block, or those across two.
+
+    Set ``owner[i]`` of ``n[owner[i]]`` shingles holds ``shingles[i]``.
+    """
+    _, column, often = np.unique(shingles, return_inverse=True, return_counts=True)
+    shared = often[column] > 1
+    owner, column = owner[shared], (np.cumsum(often > 1) - 1)[column[shared]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    low = block == block.min()
+    high = ~low if not low.all() else low
+    overlap = np.zeros((low.sum(), high.sum()), np.int64)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, LINK_WIDTH):
+        a, b = np.searchsorted(column, [start, start + LINK_WIDTH])
+        cells = np.zeros((len(n), int(column[b - 1]) - start + 1), np.float32)
+        cells[owner[a:b], column[a:b] - start] = 1
+        overlap += (cells[low] @ cells[high].T).astype(np.int64)
+    linked = overlap >= ((n[low][:, None] + n[high][None]) * num + num + den - 1) // (num + den)
+    out = np.zeros(len(n), np.int64)
+    if low.all():
+        np.fill_diagonal(linked, False)
+        return linked.sum(1)
+    out[low], out[high] = linked.sum(1), linked.sum(0)
+    return out
+
+
+def _degrees(num: int, den: int):
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        lists = table.column("seg").combine_chunks()
+        cls, first, own = np.unique(table.column("cls").to_numpy(), return_index=True, return_inverse=True)
+        shingles = lists.flatten().to_numpy(zero_copy_only=False)
+        owner = np.repeat(own, lists.value_lengths().to_numpy(zero_copy_only=False))
+        n, block, i, j = (table.column(c).to_numpy() for c in ("n", "block", "i", "j"))
+        if i[0] != j[0] and len(np.unique(block)) < 2:
+            counted = np.zeros(len(cls), np.int64)  # one of the two blocks is empty
+        else:
+            counted = linked_degrees(owner, shingles, n[first], block[first], num, den)
+        return pa.table({"node": cls, "links": counted})
+
+    return run
+
+
+def link_counts(roots: DataFrame, segments: DataFrame, num: int, den: int) -> DataFrame:
+    """``node, links``: the links of each class of ``roots(node, root)``, all pairs of each component compared."""
+    sizes = segments.groupBy("cls").agg(F.first("n").alias("n"))
+    blocks = roots.join(sizes, F.col("node") == F.col("cls")).groupBy("root").agg(F.count("*").alias("members"), F.sum("n").alias("total"))
+    blocks = blocks.select("root", "members", F.greatest(F.ceil(F.col("members") / LINK_BLOCK), F.ceil(F.col("total") / LINK_SHINGLES)).cast("int").alias("blocks"))
+    placed = roots.join(blocks, "root")
+    two = placed.where("members = 2").select("node", F.lit(1).cast("long").alias("links"))
+    placed = placed.where("members > 2").select("node", "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    rows = segments.join(placed, F.col("cls") == F.col("node")).select("root", "block", "cls", "n", "seg", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"))
+    rows = rows.select("root", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"), "block", "cls", "n", "seg")
+    counted = rows.groupBy("root", "i", "j").applyInArrow(_degrees(num, den), "node long, links long")
+    return two.union(counted.groupBy("node").agg(F.sum("links").alias("links")))
+
+
+def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, count_links: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id, class_id, n_links``.
 
     ``component_id`` is the smallest ``doc_id`` reachable by links, itself included;
     ``class_id`` names the set of shingles, so rows of one class are copies of each
-    other; ``n_links`` counts the verified links between this class and others that
-    decided the component (a component is found without pairing all its members).
+    other; ``n_links`` counts the other classes that link with this one, and is left
+    out without ``count_links``.
 
     A null or wordless text has an empty set, ``n_shingles`` 0, no class, and is its
     own component.  Fewer than ``k`` words make one shingle.  Rows that repeat are
@@ -226,7 +288,7 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
     roots = connected_components(links, scratch, "all")
 
     # The smallest id of each component, back to every row.
-    degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("links"))
+    degree = link_counts(roots, segments, num, den) if count_links else roots.select("node", F.lit(0).cast("long").alias("links"))
     heads = classes.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
     heads = heads.join(roots.join(degree, "node"), F.col("cls") == F.col("node"), "left").select("cls", "least", F.coalesce("root", "cls").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
     best = heads.groupBy("root").agg(F.min("least").alias("best"))
@@ -235,10 +297,11 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
         scratch.drop(name)
     out = classes.join(heads, "cls", "left")
     empty = F.col("n") == 0
+    n_links = [F.when(empty, F.lit(0)).otherwise(F.col("links")).cast("long").alias("n_links")] if count_links else []
     return out.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(empty, F.col("doc_id")).otherwise(F.col("best")).alias("component_id"),
         F.when(~empty, F.col("cls")).alias("class_id"),
-        F.when(empty, F.lit(0)).otherwise(F.col("links")).cast("long").alias("n_links"),
+        *n_links,
     )
