@@ -1,5 +1,6 @@
 """Operators on literal cases: documents, templates, invoices, drafts, users."""
 
+import hashlib
 import io
 import re
 import zipfile
@@ -97,6 +98,17 @@ def test_office_files(spark):
     assert "[PASS_01]" in {r.text for r in labelled.collect()}
 
 
+def test_linked_objects_are_coverage_issues(spark):
+    ns = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    part = lambda body: f"<w:document {ns}>{body}</w:document>"
+    bodies = {"a": '<w:p><a:blip r:link="rId1"/></w:p>', "b": "<w:p><w:object/></w:p>", "c": "<w:altChunk/>", "d": '<w:p><a:blip r:embed="rId1"/><w:t>object</w:t></w:p>', "e": "<w:object"}
+    rows = [(k, "word/document.xml", part(v)) for k, v in bodies.items()] + [("a", "word/header1.xml", part("<w:object/>")), ("f", "word/styles.xml", part("<w:object/>")), ("g", "ppt/slides/slide1.xml", part("<w:object/>"))]
+    parts = spark.createDataFrame(rows, "name string, part string, xml string")
+    got = {r.name: r for r in bl.coverage_issues(parts, "name").collect()}
+    assert {k: (r.kind, r.blocking, r.parts) for k, r in got.items()} == {"a": ("linked_object", True, 2), "b": ("linked_object", True, 1), "c": ("linked_object", True, 1)}
+    assert got["a"].id == hashlib.sha256(b"linked_object:word/document.xml:word/header1.xml").hexdigest()[:18]
+
+
 def test_templates(spark):
     rows = [("t", "p0", 0, "Hola "), ("t", "p0", 1, "{{ cli"), ("t", "p0", 2, "ente }}"), ("u", "p0", 0, "{{ b }} y {{ a"), ("u", "p0", 1, " }}{{ c"), ("u", "p0", 2, "}}"), ("v", "p0", 0, "nada")]
     runs = spark.createDataFrame(rows, "template_id string, location string, run_index int, text string")

@@ -11,6 +11,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from vellum.functions import text as tx
 from vellum.operators.rules import GAZETTEERS
@@ -127,15 +128,45 @@ def intake_audit(files: DataFrame, parts: DataFrame, limit: int = 15 << 20, expa
     return rows.withColumns({"format": form, "extension": ext}).withColumn("verdict", verdict).select("name", "size", "format", "extension", "verdict")
 
 
+# Elements of a DOCX text part that refer to content outside its text, and the link of a picture.
+LINKING = {f"{{http://schemas.openxmlformats.org/wordprocessingml/2006/main}}{n}" for n in ("object", "altChunk")}
+BLIP = "{http://schemas.openxmlformats.org/drawingml/2006/main}blip"
+BLIP_LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}link"
+
+
+def _links(xml: str) -> bool:
+    try:
+        root = ElementTree.fromstring(re.sub(r"<!DOCTYPE[^>]*>", "", xml))
+    except ElementTree.ParseError:
+        return False
+    return any(node.tag in LINKING or node.tag == BLIP and BLIP_LINK in node.attrib for node in root.iter() if node is not root)
+
+
+@F.pandas_udf(BooleanType())
+def links_out(xml: pd.Series) -> pd.Series:
+    """Whether a text part refers to linked pictures, objects or chunks of other formats."""
+    return xml.map(lambda x: bool(x) and _links(x)).astype(bool)
+
+
 def coverage_issues(parts: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Content of each document that no rule can inspect, by kind, with a stable id."""
+    """Content of each document that no rule can inspect, by kind, with a stable id.
+
+    Linked objects are found where ``parts`` has the column ``xml`` of :func:`ooxml_parts`.
+    """
     name = F.col("part")
+    linked = F.lit(None).cast("string")
+    if "xml" in parts.columns:
+        # Only text parts that hold one of the words are parsed.
+        xml = F.when(name.startswith("word/") & name.rlike(TEXT_PARTS) & F.col("xml").rlike("object|altChunk|blip"), F.col("xml"))
+        parts = parts.withColumn("linked", links_out(xml))
+        linked = F.when(F.col("linked"), "linked_object")
     kinds = F.filter(
         F.array(
             F.when(name.startswith("word/media/") | name.startswith("ppt/media/"), "image"),
             F.when(name.startswith("word/embeddings/") | name.startswith("ppt/embeddings/") | name.startswith("ppt/activeX/") | name.startswith("ppt/") & name.endswith("vbaProject.bin"), "embedded_object"),
             F.when(name.startswith("ppt/charts/"), "chart"),
             F.when(F.lower(name).contains("_xmlsignatures"), "signature"),
+            linked,
         ),
         lambda k: k.isNotNull(),
     )
