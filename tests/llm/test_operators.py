@@ -301,6 +301,18 @@ def test_exact_top_k(spark):
     assert exact_top_k(vectors(spark, [])).count() == 0
 
 
+def test_large_vectors_and_repeated_ids(spark):
+    rows = [(0, [1.0, 2.0]), (50, [300000.0, 1.0]), *[(7, [3.0, 4.0])] * 9, (8, [3.0, 1.0]), (9, [2.0**21, -5.0]), (10, [1.0, 1.0])]
+    whole = {i: [int(256 * x) for x in v] for i, v in rows}
+    score = lambda a, b: sum(x * y for x, y in zip(whole[a], whole[b], strict=True))
+    got = {(r.query_id, r.vec_id): r.score for r in exact_top_k(vectors(spark, rows), every=50, k=5).collect()}
+    assert got == {(q, i): score(q, i) for q in (0, 50) for i in whole if i != q}
+    near = nearest_neighbours(vectors(spark, rows), every=50, k=3).where("query_id = 0").collect()
+    assert [r.vec_id for r in sorted(near, key=lambda r: r["rank"])] == [10, 8, 7]
+    near = nearest_neighbours(vectors(spark, rows[2:11] + [rows[0], rows[12]]), every=50, k=2).collect()
+    assert [r.vec_id for r in sorted(near, key=lambda r: r["rank"])] == [7, 9]
+
+
 def test_nearest_neighbours(spark):
     rows = odd_vectors(970)
     got = {}

@@ -86,8 +86,12 @@ def nearest_neighbours(vectors: DataFrame, *, every: int = 100, k: int = 10, piv
                 near = np.argsort(footrules(lists, orders[i], len(base), len(ids)).astype(np.int16 if short < 180 else np.int64), kind="stable")[: take + 1]
             near = near[ids[near] != q]
             far = np.sqrt(((data[near] - queries[i]) ** 2).sum(1))
-            top = np.lexsort((ids[near], far))[:k]
-            out.append((np.full(len(top), q, np.int64), ids[near][top], far[top]))
+            order = np.lexsort((ids[near], far))
+            own, far = ids[near][order], far[order]
+            fresh = np.ones(len(own), bool)  # rows that repeat an id at one distance count once
+            fresh[1:] = (own[1:] != own[:-1]) | (far[1:] != far[:-1])
+            own, far = own[fresh][:k], far[fresh][:k]
+            out.append((np.full(len(own), q, np.int64), own, far))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[c] for o in out])) for c in range(3)], names=["query_id", "vec_id", "score"])
 
     found = search(rows, rows.where(F.col("vec_id") % every == 0), convert=lambda ids, raw: (ids, raw), index=index, answer=answer, schema="query_id long, vec_id long, score double")

@@ -19,7 +19,7 @@ from vellum.llm._blocks import clean, search
 CELLS = 32
 #: Exact vectors read at a time.
 STEP = 64
-#: Scaled components beyond this could overflow a 64-bit score.
+#: Vectors with scaled components beyond this are scored in Python's integers.
 LARGEST = 2.0**26
 
 
@@ -43,6 +43,33 @@ def _exact(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
     return rows.astype(np.int64) @ query.astype(np.int64)
 
 
+def fits(data: np.ndarray) -> np.ndarray:
+    return (np.abs(data) <= LARGEST).all(1)
+
+
+def _index(data: np.ndarray) -> bytes:
+    data = data[fits(data)]
+    return quantise(data) if len(data) else b""
+
+
+def large_scores(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Exact scores of vectors of any size; one that leaves 64 bits is an error."""
+    own = [int(x) for x in query]
+    scores = [sum(int(x) * y for x, y in zip(row, own, strict=True)) for row in rows]
+    if any(not -(2**63) <= s < 2**63 for s in scores):
+        raise ArithmeticError("a score exceeds 64 bits")
+    return np.array(scores, np.int64)
+
+
+def top(found: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` best of different ``(id, score)``, ties to smaller ids."""
+    order = np.lexsort((found, -scores))
+    found, scores = found[order], scores[order]
+    fresh = np.ones(len(found), bool)
+    fresh[1:] = (found[1:] != found[:-1]) | (scores[1:] != scores[:-1])
+    return found[fresh][:k], scores[fresh][:k]
+
+
 def best(query_id: int, query: np.ndarray, upper: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids and scores of the ``k`` best of a block for one query, ties to smaller ids."""
     order = np.argsort(-upper, kind="stable")
@@ -53,8 +80,7 @@ def best(query_id: int, query: np.ndarray, upper: np.ndarray, ids: np.ndarray, r
         read = read[ids[read] != query_id]
         low += STEP
         found, scores = np.append(found, ids[read]), np.append(scores, _exact(rows[read], query) if len(read) else scores[:0])
-        keep = np.lexsort((found, -scores))[:k]
-        found, scores = found[keep], scores[keep]
+        found, scores = top(found, scores, k)
     return found, scores
 
 
@@ -64,23 +90,30 @@ def exact_top_k(vectors: DataFrame, *, every: int = 50, k: int = 5, scale: int =
     Components become ``floor(scale * x)``.  Queries are the rows whose id is divisible
     by ``every``; candidates are all rows of the query's dimension but its own id.  Ties
     go to the smaller id; fewer candidates give fewer rows.  Vectors that are null,
-    empty, hold null or non-finite components, or scaled components beyond 2^26, and
-    null ids take no part.  Rows that repeat an id count once a different score, and
+    empty or hold null or non-finite components, and null ids take no part; a score
+    beyond 64 bits is an error.  Rows that repeat an id count once a different score, and
     once where they score alike.  Other columns are not read; an empty table gives no rows.
     """
 
     def convert(ids: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        data = np.floor(scale * raw)
-        fits = (np.abs(data) <= LARGEST).all(1)
-        return ids[fits], data[fits]
+        return ids, np.floor(scale * raw)
 
     def answer(one: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, index: bytes) -> pa.RecordBatch:
-        upper = bounds(queries, index, queries.shape[1])
-        out = [(q, *best(q, queries[i], upper[i], ids, rows, k)) for i, q in enumerate(one.tolist())]
+        small, plain = fits(rows), fits(queries)
+        upper = bounds(queries, index, queries.shape[1]) if index else None
+        out = []
+        for i, q in enumerate(one.tolist()):
+            found, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            if plain[i] and index:
+                found, scores = best(q, queries[i], upper[i], ids[small], rows[small], k)
+            rest = (~small if plain[i] else np.ones(len(ids), bool)) & (ids != q)
+            if rest.any():
+                found, scores = top(np.append(found, ids[rest]), np.append(scores, large_scores(rows[rest], queries[i])), k)
+            out.append((q, found, scores))
         cols = [np.concatenate([np.full(len(f), q, np.int64) for q, f, _ in out]), np.concatenate([f for _, f, _ in out]), np.concatenate([s for _, _, s in out])]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["query_id", "vec_id", "score"])
 
     rows = clean(vectors, id_col, vector_col)
-    found = search(rows, rows.where(F.col("vec_id") % every == 0), convert=convert, index=quantise, answer=answer, schema="query_id long, vec_id long, score long")
+    found = search(rows, rows.where(F.col("vec_id") % every == 0), convert=convert, index=_index, answer=answer, schema="query_id long, vec_id long, score long")
     by = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
