@@ -2,32 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
+from vellum.sources.scratch import Scratch, small
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-class Scratch:
-    """A folder of this run's own under ``spark.checkpoint.dir``.
-
-    ``keep`` writes a DataFrame as Parquet and reads it again, which cuts lineage
-    and lets a lost executor reread rather than recompute.  ``drop`` removes what
-    no later plan reads.  Where the setting is absent, a local master gets
-    ``/tmp/checkpoints``; a cluster must name a shared folder.
-    """
-
-    def __init__(self, spark: SparkSession, name: str) -> None:
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            base = "file:/tmp/checkpoints"
-        self.spark, self.base = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{self.base}/{name}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.base}/{name}")
-
-    def drop(self, name: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["Scratch", "small"]
