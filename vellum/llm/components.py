@@ -33,4 +33,5 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataF
         label = new.select("node", "root")
         scratch.drop(f"{name}-{step - 1}")
         if not moved:
+            scratch.drop(f"{name}-edges")
             return label

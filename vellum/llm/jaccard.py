@@ -32,16 +32,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vellum.llm._store import Scratch
+from vellum.llm._store import Scratch, small
 from vellum.llm._words import mix, shingle_sets
 from vellum.llm.components import connected_components
 
 #: Ranges of the hash order in which overlaps are counted apart.
 COUNT_FRAGMENTS = 16
-#: Candidate ids are broadcast up to this many (16 bytes each); beyond it they are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+#: Bytes of a row of candidate ids, where they are broadcast.
+ID_BYTES = 16
 #: Classes and shingles of a block of a component whose links are counted, and shingles of a product.
-LINK_BLOCK, LINK_SHINGLES, LINK_WIDTH = 1024, 1 << 21, 4096
+LINK_BLOCK, LINK_SHINGLES, LINK_WIDTH = 512, 1 << 20, 4096
 #: Widths of the size classes; at least the largest ratio of sizes a link can bridge.
 SIZE_RATIO = 1.5
 
@@ -92,7 +92,7 @@ def _classes(k: int):
             for own in shingle_sets(batch.column(1), k):
                 n.append(len(own))
                 cls.append(class_of(own))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64())], names=["doc_id", "n", "cls"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(cls, pa.int64())], names=["doc_id", "text_hash", "n", "cls"])
 
     return run
 
@@ -228,12 +228,13 @@ def link_counts(roots: DataFrame, segments: DataFrame, num: int, den: int) -> Da
 
 
 def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, count_links: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, n_shingles, component_id, class_id, n_links``.
+    """One row per row of ``docs``: ``doc_id, text_hash, n_shingles, component_id, class_id, group_id, n_links``.
 
     ``component_id`` is the smallest ``doc_id`` reachable by links, itself included;
     ``class_id`` names the set of shingles, so rows of one class are copies of each
-    other; ``n_links`` counts the other classes that link with this one, and is left
-    out without ``count_links``.
+    other; ``group_id`` names the component whatever ids its rows share; ``text_hash``
+    is xxhash64 of the text, which tells apart rows of one id; ``n_links`` counts the
+    other classes that link with this one, and is left out without ``count_links``.
 
     A null or wordless text has an empty set, ``n_shingles`` 0, no class, and is its
     own component.  Fewer than ``k`` words make one shingle.  Rows that repeat are
@@ -243,45 +244,48 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    classes = scratch.keep(texts.mapInArrow(_classes(k), "doc_id long, n long, cls long"), "classes")
+    hashed = texts.withColumn("text_hash", F.xxhash64("text"))
+    classes = scratch.keep(hashed.mapInArrow(_classes(k), "doc_id long, text_hash long, n long, cls long"), "classes")
 
     # Classes that share enough whole fragments with another class.
     keys = texts.select("text").mapInArrow(_keys(k, num, den), "key long, cls long, tag long")
-    by_key = W.partitionBy("key")
-    shared = keys.withColumns({"low": F.min("cls").over(by_key), "high": F.max("cls").over(by_key)}).where("low < high")
+    # What the rows of a key are told is combined before it is shuffled, written, and joined back, so that a key of
+    # very many rows is never one task's; the same below for shingles and buckets.
+    several = scratch.keep(keys.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high").select("key"), "several")
+    shared = keys.join(several, "key", "left_semi")
     enough = shared.groupBy("cls", "tag").agg(F.count_distinct("key").alias("c")).where(F.expr("c >= tag & 4294967295"))
     chosen = scratch.keep(
         enough.select("cls").distinct().join(classes.where("doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id")), "cls"), "chosen"
     )
 
     # Their shingles, in COUNT_FRAGMENTS ranges of the hash order.
-    ids = F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen
     segments = scratch.keep(
-        texts.join(ids, "doc_id").select("cls", "text").mapInArrow(_segments(k), "cls long, n long, part int, seg array<long>").dropDuplicates(["cls", "part"]), "segments"
+        texts.join(small(chosen, ID_BYTES), "doc_id").select("cls", "text").mapInArrow(_segments(k), "cls long, n long, part int, seg array<long>").dropDuplicates(["cls", "part"]), "segments"
     )
 
     # Prefixes in the order of document frequency; shingles of one document come first and link nothing.
-    w = W.partitionBy("h")
-    often = segments.select("cls", "n", F.explode("seg").alias("h")).withColumn("df", F.count("*").over(w)).where("df > 1")
+    apart = segments.select("cls", "n", F.explode("seg").alias("h"))
+    df = scratch.keep(apart.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "df")
+    often = apart.join(df, "h")
     by_class = W.partitionBy("cls")
     placed = often.withColumns({"r": F.row_number().over(by_class.orderBy("df", "h")), "c": F.count("*").over(by_class)})
     prefix = placed.select("h", "cls", "n", F.expr("n - c + r - 1").alias("p")).where(F.expr(f"p <= n - (n * {num} + {den - 1}) div {den}"))
     prefix = scratch.keep(prefix, "prefix")
 
     # Every bucket against its leader: the set with the fewest rarer shingles is nearest to what the bucket shares.
-    leader = F.min(F.struct("p", "cls", "n")).over(W.partitionBy("h"))
-    star = prefix.withColumn("lead", leader).select(F.col("lead.cls").alias("a"), F.col("lead.n").alias("n"), F.col("lead.p").alias("p"), F.col("cls").alias("b"), F.col("n").alias("m"), F.col("p").alias("q"))
+    leaders = scratch.keep(prefix.groupBy("h").agg(F.min(F.struct("p", "cls", "n")).alias("lead")), "leaders")
+    star = prefix.join(leaders, "h").select(F.col("lead.cls").alias("a"), F.col("lead.n").alias("n"), F.col("lead.p").alias("p"), F.col("cls").alias("b"), F.col("n").alias("m"), F.col("p").alias("q"))
     star = scratch.keep(star.where("a <> b").where(_room(num, den)).select("a", "n", "b", "m").distinct(), "star")
     first = scratch.keep(_linked(star, segments, num, den), "first")
     roots = connected_components(first, scratch, "found")
 
     # Then what is left between components; the smaller set's position is within the short prefix.
     at = prefix.join(roots, F.col("cls") == F.col("node"), "left").select("h", "cls", "n", "p", F.coalesce("root", "cls").alias("root"))
-    mixed = at.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("h")
+    mixed = scratch.keep(at.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("h"), "mixing")
     at = scratch.keep(at.join(mixed, "h", "left_semi"), "mixed")
-    small = at.where(F.expr(f"(p + 1) * {num + den} <= n * {den - num} + {num + den}")).select("h", F.col("cls").alias("a"), "n", "p", F.col("root").alias("ra"))
-    large = at.select("h", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("root").alias("rb"))
-    rest = small.join(large, "h").where("ra <> rb and (n < m or n = m and a < b)").where(_room(num, den))
+    fewer = at.where(F.expr(f"(p + 1) * {num + den} <= n * {den - num} + {num + den}")).select("h", F.col("cls").alias("a"), "n", "p", F.col("root").alias("ra"))
+    more = at.select("h", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("root").alias("rb"))
+    rest = fewer.join(more, "h").where("ra <> rb and (n < m or n = m and a < b)").where(_room(num, den))
     rest = rest.select("a", "n", "b", "m").distinct()
     known = star.select("a", "b").union(star.select("b", "a"))
     links = scratch.keep(first.union(_linked(rest.join(known, ["a", "b"], "left_anti"), segments, num, den)), "links")
@@ -292,16 +296,17 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
     heads = classes.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
     heads = heads.join(roots.join(degree, "node"), F.col("cls") == F.col("node"), "left").select("cls", "least", F.coalesce("root", "cls").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
     best = heads.groupBy("root").agg(F.min("least").alias("best"))
-    heads = scratch.keep(heads.join(best, "root").select("cls", "best", "links"), "heads")
-    for name in ("chosen", "segments", "prefix", "star", "first", "mixed", "links"):
-        scratch.drop(name)
+    heads = scratch.keep(heads.join(best, "root").select("cls", "root", "best", "links"), "heads")
+    scratch.drop("several", "chosen", "segments", "df", "prefix", "leaders", "star", "first", "mixing", "mixed", "links")
     out = classes.join(heads, "cls", "left")
     empty = F.col("n") == 0
     n_links = [F.when(empty, F.lit(0)).otherwise(F.col("links")).cast("long").alias("n_links")] if count_links else []
     return out.select(
         "doc_id",
+        "text_hash",
         F.col("n").alias("n_shingles"),
         F.when(empty, F.col("doc_id")).otherwise(F.col("best")).alias("component_id"),
         F.when(~empty, F.col("cls")).alias("class_id"),
+        F.when(~empty, F.col("root")).alias("group_id"),
         *n_links,
     )

@@ -54,25 +54,46 @@ def codewords(n: int, seed: int = 7) -> np.ndarray:
     return best
 
 
-def grams(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """``(first row, end row, buckets, bounds)`` of runs of rows, as for word hashes."""
+def _buckets(wide: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the middle of a triple of ``wide`` is no blank, and the buckets of its pair and triple."""
+    a, b, c = wide[:-2], wide[1:-1], wide[2:]
+    solid = np.flatnonzero(b != 32)
+    a, b, c = a[solid], b[solid], c[solid]
+    pairs = a * np.uint32(256) + b
+    triples = ((a * np.uint32(65536) + b * np.uint32(256) + c) * np.uint32(2654435761)) >> np.uint32(16)
+    buckets = np.empty(2 * len(solid), np.int64)
+    buckets[0::2], buckets[1::2] = pairs, triples + np.uint32(65536)
+    return solid, buckets
+
+
+def grams(texts: pa.Array, run_bytes: int = RUN_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """``(first row, end row, buckets, bounds)`` of runs of rows, as for word hashes.
+
+    A text longer than a run comes in several runs of its one row, each with the bytes
+    beside it, so that their n-grams together are those of the whole text.
+    """
     raw, ends, _ = strings(pc.utf8_lower(texts))
     n, row = len(ends) - 1, 0
     while row < n:
-        stop = max(row + 1, int(np.searchsorted(ends, ends[row] + RUN_BYTES, "right")) - 1)
+        stop = max(row + 1, int(np.searchsorted(ends, ends[row] + run_bytes, "right")) - 1)
+        low, high = int(ends[row]), int(ends[stop])
+        if high - low > run_bytes:
+            for at in range(low, high, run_bytes):
+                end = min(at + run_bytes, high)
+                wide = np.full(end - at + 2, 32, np.uint32)
+                first, last = max(at - 1, low), min(end + 1, high)
+                wide[first - at + 1 : last - at + 1] = _PLAIN[raw[first:last]]
+                _, buckets = _buckets(wide)
+                yield row, stop, buckets, np.array([0, len(buckets)])
+            row = stop
+            continue
         # Each text between blanks, so that n-grams know the ends of words and stay in their text.
         lens = np.diff(ends[row : stop + 1])
         heads = np.append(0, np.cumsum(lens + 3))
         wide = np.full(heads[-1], 32, np.uint32)
         shift = np.repeat(np.arange(1, len(lens) + 1) + 2 * np.arange(len(lens)), lens)
-        wide[np.arange(len(shift)) + shift] = _PLAIN[raw[ends[row] : ends[stop]]]
-        a, b, c = wide[:-2], wide[1:-1], wide[2:]
-        solid = np.flatnonzero(b != 32)
-        a, b, c = a[solid], b[solid], c[solid]
-        pairs = a * np.uint32(256) + b
-        triples = ((a * np.uint32(65536) + b * np.uint32(256) + c) * np.uint32(2654435761)) >> np.uint32(16)
-        buckets = np.empty(2 * len(solid), np.int64)
-        buckets[0::2], buckets[1::2] = pairs, triples + np.uint32(65536)
+        wide[np.arange(len(shift)) + shift] = _PLAIN[raw[low:high]]
+        solid, buckets = _buckets(wide)
         yield row, stop, buckets, 2 * np.searchsorted(solid, heads)
         row = stop
 
@@ -113,8 +134,12 @@ class LanguageCode:
         self.table = np.concatenate(odds).astype(np.float32)
         self.weight = np.ones(self.code.shape[1])
 
-    def margins(self, buckets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        return np.clip(EVIDENCE * _sums(self.table, buckets, bounds), -30, 30)
+    def margins(self, texts: pa.Array, run_bytes: int = RUN_BYTES) -> np.ndarray:
+        """The log-odds of each text's n-grams for each bit, summed over its runs."""
+        out = np.zeros((len(texts), self.code.shape[1]))
+        for row, stop, buckets, bounds in grams(texts, run_bytes):
+            out[row:stop] += _sums(self.table, buckets, bounds)
+        return np.clip(EVIDENCE * out, -30, 30)
 
     def losses(self, margins: np.ndarray) -> np.ndarray:
         """Loss-weighted distance of each text to each codeword."""
@@ -128,9 +153,8 @@ def _bit_errors(model):
         index = {lang: i for i, lang in enumerate(fitted.langs)}
         for batch in batches:
             truth = fitted.code[[index[x] for x in batch.column(0).to_pylist()]]
-            for row, stop, buckets, bounds in grams(batch.column(1)):
-                wrong = wrong + ((fitted.margins(buckets, bounds) > 0) != truth[row:stop]).sum(0)
-                seen += stop - row
+            wrong = wrong + ((fitted.margins(batch.column(1)) > 0) != truth).sum(0)
+            seen += batch.num_rows
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([wrong.tolist()], pa.list_(pa.int64()))], names=["seen", "wrong"])
 
@@ -153,6 +177,7 @@ def fit_languages(rows: DataFrame, scratch: Scratch, rows_per_language: int = RO
     error = (sum(np.array(r["wrong"]) for r in found) + 1) / (sum(r["seen"] for r in found) + 2)
     model.weight = np.log(1 / np.clip(error, 1e-4, 0.49) - 1)
     model.weight /= model.weight.mean()
+    scratch.drop("sample")
     return model
 
 
@@ -160,16 +185,12 @@ def _predict(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = model.value
         for batch in batches:
-            n = batch.num_rows
-            best, score, clear = np.zeros(n, int), np.zeros(n), np.zeros(n, bool)
-            for row, stop, buckets, bounds in grams(batch.column(1)):
-                loss = fitted.losses(fitted.margins(buckets, bounds))
-                likely = np.exp(loss.min(1, keepdims=True) - loss)
-                likely /= likely.sum(1, keepdims=True)
-                order = np.argsort(-likely, axis=1, kind="stable")
-                at = np.arange(stop - row)
-                best[row:stop], score[row:stop] = order[:, 0], likely[at, order[:, 0]]
-                clear[row:stop] = likely[at, order[:, 0]] - likely[at, order[:, 1]] >= CLEAR
+            loss = fitted.losses(fitted.margins(batch.column(1)))
+            likely = np.exp(loss.min(1, keepdims=True) - loss)
+            likely /= likely.sum(1, keepdims=True)
+            order, at = np.argsort(-likely, axis=1, kind="stable"), np.arange(batch.num_rows)
+            best, score = order[:, 0], likely[at, order[:, 0]]
+            clear = score - likely[at, order[:, 1]] >= CLEAR
             names = pa.array([fitted.langs[i] for i in best], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), names, pa.array(score), pa.array(~clear)], names=["doc_id", "held_out", "letters", "lang", "p", "close"])
 

@@ -4,7 +4,7 @@ The leaves of a tree (domain, language, source) hold documents; each node has a
 weight among its siblings.  A budget of tokens is propagated from the root.  A node
 takes no more than its leaves can give in ``max_epochs`` epochs, and what it leaves
 goes to its siblings by weight, before any of it reaches the siblings of its parent.
-Each leaf then gives whole epochs and a prefix of one more, in that epoch's seeded
+Each leaf then gives whole epochs and a prefix of one more, each in its own seeded
 order; positions come from sums over ranges of the order, so a leaf that holds most
 rows is spread over many tasks.
 """
@@ -18,11 +18,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vellum.llm._store import Scratch
+from vellum.sources.scratch import BROADCAST_BYTES
 
 #: White-space-separated words.
 WORDS = r"[^ \t\n\x0B\f\r]+"
 #: Ranges of a leaf's seeded order: one for each value of so many hex digits.
 RANGE_DIGITS = 2
+#: Bytes of a row of the plan of leaves, at most, where it is broadcast.
+PLAN_BYTES = 256
 
 
 def word_count(text: Column) -> Column:
@@ -34,7 +37,8 @@ def fill(nodes: DataFrame, parents: Sequence[str], name: str) -> DataFrame:
 
     Children that their share would overfill take their ``cap``; they are a prefix of
     the children in order of ``cap / weight``, so the rest can be shared in one pass.
-    Shares are rounded down.  Returns ``nodes`` with the children's own ``budget``.
+    Shares are whole: what rounding down leaves goes one each to the largest remainders,
+    then by name.  Returns ``nodes`` with the children's own ``budget``.
     """
     group = W.partitionBy(*(parents or [F.lit(0)]))
     by = group.orderBy(F.col("cap").cast("double") / F.col("weight"), name)
@@ -46,8 +50,13 @@ def fill(nodes: DataFrame, parents: Sequence[str], name: str) -> DataFrame:
     nodes = nodes.withColumn("full", F.min("full").over(by.rowsBetween(W.unboundedPreceding, 0)))
     nodes = nodes.withColumn("left", F.col("given") - F.sum(F.col("cap") * F.col("full")).over(group))
     nodes = nodes.withColumn("share", F.sum(F.col("weight") * (1 - F.col("full"))).over(group))
-    share = F.when(F.col("share") > 0, F.expr("cast(left as decimal(19,0)) * cast(weight as decimal(19,0)) div share"))
-    return nodes.withColumn("budget", F.when(F.col("full") == 1, F.col("cap")).otherwise(share).cast("long")).drop("given", "used", "open", "full", "left", "share")
+    product = big(F.col("left")) * big(F.col("weight"))
+    nodes = nodes.withColumn("down", F.when((F.col("share") > 0) & (F.col("full") == 0), F.expr("cast(left as decimal(19,0)) * cast(weight as decimal(19,0)) div share")).otherwise(F.lit(0)).cast("long"))
+    nodes = nodes.withColumn("over", F.when(F.col("full") == 0, product - big(F.col("down")) * big(F.col("share"))).otherwise(F.lit(-1)))
+    nodes = nodes.withColumn("nth", F.row_number().over(group.orderBy(F.desc("over"), name)))
+    nodes = nodes.withColumn("spare", F.col("left") - F.sum("down").over(group))
+    extra = ((F.col("full") == 0) & (F.col("nth") <= F.col("spare"))).cast("long")
+    return nodes.withColumn("budget", F.when(F.col("full") == 1, F.col("cap")).otherwise(F.col("down") + extra).cast("long")).drop("given", "used", "open", "full", "left", "share", "down", "over", "nth", "spare")
 
 
 def leaf_budgets(leaves: DataFrame, levels: Sequence[str], weights: Sequence[dict[str, int]], budget: Column, max_epochs: int) -> DataFrame:
@@ -66,7 +75,7 @@ def leaf_budgets(leaves: DataFrame, levels: Sequence[str], weights: Sequence[dic
     return nodes.select(*levels, "total").join(tree, list(levels))
 
 
-def mix_sources(docs: DataFrame, levels: dict[str, Column], weights: Sequence[dict[str, int]], *, budget: int | None = None, budget_share: float = 1.0, max_epochs: int = 2, seed: int = 1, tokens: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mix_sources(docs: DataFrame, levels: dict[str, Column], weights: Sequence[dict[str, int]], *, budget: int | None = None, budget_share: float = 1.0, max_epochs: int = 2, seed: int = 1, tokens: Column | None = None, with_tie: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, <levels>, epoch, tokens, start, taken``: what each leaf gives, a row a document and epoch.
 
     ``levels`` names the tree's levels from the root with the column of each; ``weights``
@@ -76,33 +85,46 @@ def mix_sources(docs: DataFrame, levels: dict[str, Column], weights: Sequence[di
     tokens of the epoch before the document; ``taken`` is less than ``tokens`` only for
     the last document of a prefix.  Null texts and texts without words count 0 tokens
     and go with their leaf's prefix; a leaf without tokens gives nothing.  Null levels
-    are the leaf ``(none)``, null ids sort first.  Repeated rows are taken each.  Other
-    columns are not read; an empty table gives no rows.
+    are the leaf ``(none)``, null ids sort first.  Repeated rows are taken each.
+    ``with_tie`` adds ``tie``, the hash of the text, which tells apart rows of one id.
+    Other columns are not read; an empty table gives no rows.
     """
+    scratch = Scratch(docs.sparkSession, "mixing")
     count = word_count(F.col(text_col)) if tokens is None else F.coalesce(tokens.cast("long"), F.lit(0))
     named = [F.coalesce(c.cast("string"), F.lit("(none)")).alias(n) for n, c in levels.items()]
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *named, count.alias("tokens"), F.xxhash64(text_col).alias("tie"))
-    leaves = rows.groupBy(*levels).agg(F.sum("tokens").alias("total")).where("total > 0")
-    leaves = Scratch(docs.sparkSession, "mixing").keep(leaves, "leaves")
+    # Texts are counted once; what goes on is a narrow row a document.
+    rows = scratch.keep(docs.select(F.col(id_col).cast("long").alias("doc_id"), *named, count.alias("tokens"), F.xxhash64(text_col).alias("tie")), "rows")
+    leaves = scratch.keep(rows.groupBy(*levels).agg(F.sum("tokens").alias("total")).where("total > 0"), "leaves")
     if budget is None:
         budget = int((leaves.agg(F.sum("total")).collect()[0][0] or 0) * budget_share)
     plan = leaf_budgets(leaves, list(levels), weights, F.lit(budget).cast("long"), max_epochs)
-    plan = plan.withColumns({"full": F.expr("budget div total"), "rest": F.expr("budget % total")}).drop("budget", "total")
-    rows = rows.join(plan, list(levels)).where("full > 0 or rest > 0")
-
-    # The seeded order of the epoch that is cut short.
-    order = F.md5(F.concat_ws(":", F.lit(seed), F.col("full") + 1, F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    rows = rows.withColumn("place", order).withColumn("range", F.substring("place", 1, RANGE_DIGITS))
-    key = [*levels, "range"]
-    ranges = rows.groupBy(*key).agg(F.sum("tokens").alias("sum"))
-    before = F.sum("sum").over(W.partitionBy(*levels).orderBy("range").rowsBetween(W.unboundedPreceding, -1))
-    ranges = ranges.select(*key, F.coalesce(before, F.lit(0)).alias("before"))
+    plan = scratch.keep(plan.withColumns({"full": F.expr("budget div total"), "rest": F.expr("budget % total")}).where("budget > 0").drop("budget", "total"), "plan")
+
+    # Every epoch a leaf gives some of has its own seeded order.
+    plan = plan.withColumn("epoch", F.explode(F.expr("sequence(1, cast(full as int) + cast(rest > 0 as int))")))
+    plan = plan.withColumn("rest", F.when(F.col("epoch") > F.col("full"), F.col("rest"))).drop("full")
+    if plan.count() * PLAN_BYTES <= BROADCAST_BYTES:
+        rows = _ordered(rows.join(F.broadcast(plan), list(levels)), seed)
+    else:
+        # A copy of the plan for each range of the order, so that no leaf's rows meet in one task.
+        epochs = _ordered(rows.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(max_epochs)))), seed)
+        ranges = F.transform(F.sequence(F.lit(0), F.lit(16**RANGE_DIGITS - 1)), lambda i: F.lpad(F.lower(F.hex(i)), RANGE_DIGITS, "0"))
+        rows = epochs.join(plan.withColumn("range", F.explode(ranges)), [*levels, "epoch", "range"])
+    key = [*levels, "epoch", "range"]
+    sums = rows.groupBy(*key).agg(F.sum("tokens").alias("sum"))
+    before = F.sum("sum").over(W.partitionBy(*levels, "epoch").orderBy("range").rowsBetween(W.unboundedPreceding, -1))
+    sums = scratch.keep(sums.select(*key, F.coalesce(before, F.lit(0)).alias("before")), "sums")
     within = F.sum("tokens").over(W.partitionBy(*key).orderBy("place", "doc_id", "tie").rowsBetween(W.unboundedPreceding, -1))
-    rows = rows.withColumn("within", F.coalesce(within, F.lit(0))).join(ranges, key).withColumn("start", F.col("before") + F.col("within"))
-    epochs = F.expr("case when start < rest then sequence(1, cast(full as int) + 1) when full > 0 then sequence(1, cast(full as int)) else array() end")
-    rows = rows.withColumn("epoch", F.explode(epochs))
-    taken = F.when(F.col("epoch") > F.col("full"), F.least("tokens", F.col("rest") - F.col("start"))).otherwise(F.col("tokens"))
-    return rows.select("doc_id", *levels, "epoch", "tokens", F.when(F.col("epoch") > F.col("full"), F.col("start")).alias("start"), taken.alias("taken"))
+    rows = rows.withColumn("within", F.coalesce(within, F.lit(0))).join(sums, key).withColumn("start", F.col("before") + F.col("within"))
+    rows = rows.where("rest is null or start < rest")
+    taken = F.when(F.col("rest").isNull(), F.col("tokens")).otherwise(F.least("tokens", F.col("rest") - F.col("start")))
+    return rows.select("doc_id", *levels, "epoch", "tokens", "start", taken.alias("taken"), *(["tie"] if with_tie else []))
+
+
+def _ordered(rows: DataFrame, seed: int) -> DataFrame:
+    """``rows`` with their place in the seeded order of their ``epoch``, and its range."""
+    place = F.md5(F.concat_ws(":", F.lit(seed), "epoch", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    return rows.withColumn("place", place).withColumn("range", F.substring("place", 1, RANGE_DIGITS))
 
 
 #: The tree of ``documents``: sources of one number modulo 4 share a domain.
@@ -119,14 +141,15 @@ def _level_sql(own: str, above: str, name: str, source: str) -> str:
     over = f"PARTITION BY {above}" if above else ""
     order = f"{over} ORDER BY cap::DOUBLE / weight, {name}"
     return f"""
-  SELECT {own}, CASE WHEN full_ = 1 THEN cap ELSE (left_ * weight) // share END::BIGINT AS budget FROM (
+  SELECT {own}, CASE WHEN full_ = 1 THEN cap ELSE down + (row_number() OVER ({over} ORDER BY rem DESC, {name}) <= left_ - sum(CASE WHEN full_ = 1 THEN 0 ELSE down END) OVER ({over}))::INTEGER END::BIGINT AS budget FROM (
+   SELECT *, (left_ * weight) // nullif(share, 0) AS down, CASE WHEN full_ = 1 THEN -1 ELSE (left_ * weight) % nullif(share, 0) END AS rem FROM (
     SELECT *, given - sum(cap * full_) OVER ({over}) AS left_, sum(weight * (1 - full_)) OVER ({over}) AS share FROM (
       SELECT *, min(fits) OVER ({order} ROWS UNBOUNDED PRECEDING) AS full_ FROM (
         SELECT *, (cap * open_ <= (given - used) * weight)::INTEGER AS fits FROM (
           SELECT *, least(budget, sum(cap) OVER ({over})) AS given,
                  coalesce(sum(cap) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used,
                  sum(weight) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_
-          FROM ({source})))))"""
+          FROM ({source}))))))"""
 
 
 def _case(column: str, weights: dict[str, int]) -> str:
@@ -149,12 +172,12 @@ WITH d AS (
   SELECT d.*, l3.budget // total AS full_, l3.budget % total AS rest
   FROM d JOIN leaves l ON d.domain = l.domain AND d.lang = l.lang AND d.source = l.source
   JOIN l3 ON d.domain = l3.domain AND d.lang = l3.lang AND d.source = l3.source WHERE l3.budget > 0
-), p AS (
-  SELECT *, coalesce(sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('1:' || (full_ + 1)::VARCHAR || ':' || doc_id::VARCHAR), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS place FROM r
 ), e AS (
-  SELECT *, unnest(generate_series(1, full_ + (place < rest)::BIGINT)) AS epoch FROM p
+  SELECT *, unnest(generate_series(1, full_ + (rest > 0)::BIGINT)) AS epoch FROM r
+), p AS (
+  SELECT *, coalesce(sum(tokens) OVER (PARTITION BY domain, lang, source, epoch ORDER BY md5('1:' || epoch::VARCHAR || ':' || doc_id::VARCHAR), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM e
 )
-SELECT doc_id, domain, lang, source, epoch::INTEGER AS epoch, tokens, CASE WHEN epoch > full_ THEN place END AS start,
-       (CASE WHEN epoch > full_ THEN least(tokens, rest - place) ELSE tokens END)::BIGINT AS taken
-FROM e
+SELECT doc_id, domain, lang, source, epoch::INTEGER AS epoch, tokens, start,
+       (CASE WHEN epoch > full_ THEN least(tokens, rest - start) ELSE tokens END)::BIGINT AS taken
+FROM p WHERE epoch <= full_ OR start < rest
 """

@@ -1,16 +1,17 @@
-"""Substring dedup by hashing normalised units of text.
-
-A unit is a paragraph of at least ``min_words`` words.  Words are compared without
-regard to A-Z case and the white space between them.  Passages are often pasted
-inside a line, so line ends alone would not align units: a unit may begin after any
-line end or after a word whose hash ends in ``CUT_BITS`` zero bits, and ends at the
-first such place that makes it long enough.  The cuts depend on the words alone, so
-a repeated passage is cut alike in every document.
-
-Digests of units are grouped globally.  The earliest document by id keeps the first
-occurrence of a unit; there the later ones that do not overlap it, and in all other
-documents every one, lose their characters.  Overlapping removed units merge to spans,
-in offsets of the original text.
+"""Substring dedup by hashing normalised lines, paragraphs and pieces of them.
+
+Words are compared without regard to A-Z case and the white space between them.
+Units have at least ``min_words`` words and are of three kinds: whole lines, whole
+paragraphs (between blank lines), and pieces.  Passages are often pasted inside a
+line, where line ends do not align them, so a piece begins after any line end or
+after a word whose hash ends in ``CUT_BITS`` zero bits, and ends at the first such
+place that makes it long enough.  All cuts depend on the words alone, so a repeated
+passage is cut alike in every document.
+
+Digests of units are grouped globally.  The occurrence of the smallest (document,
+offset) stays; all others that do not overlap it lose their characters, in the
+earliest document too.  Overlapping removed units merge to spans, in offsets of the
+original text.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from vellum.llm._store import Scratch
 from vellum.llm._words import mix, placed_words, strings
 
 #: One word in 2 ** CUT_BITS ends a piece of text, on average.
@@ -41,17 +43,24 @@ def units(column: pa.Array, min_words: int) -> Iterator[tuple[int, np.ndarray, n
         text = raw[low : offsets[stop]]
         chars = np.cumsum((text & 0xC0) != 0x80) - 1
         lines = np.cumsum(text == 10)
-        # A cut lies before word i if the word before it ends a piece or a line.
-        cut = np.append(True, (hashes[:-1] & mask == 0) | (lines[first[1:]] != lines[first[:-1]]))
+        # A cut lies before word i if the word before it ends a line, a paragraph, or a piece.
+        feeds = np.append(2, lines[first[1:]] - lines[first[:-1]])
+        kinds = (feeds > 0, feeds > 1, np.append(True, (hashes[:-1] & mask == 0)) | (feeds > 0))
         sums = np.append(np.uint64(0), np.cumsum(mix(hashes) * _powers(len(hashes))))
         for i in range(stop - row):
             a, b = int(bounds[i]), int(bounds[i + 1])
             if b - a < min_words:
                 continue
-            cuts = np.union1d(np.flatnonzero(cut[a:b]) + a, [a, b])
-            until = np.searchsorted(cuts, cuts + min_words)
-            begin = cuts[until < len(cuts)]
-            end = cuts[until[until < len(cuts)]]
+            begin, end = [], []
+            for kind in kinds:
+                cuts = np.union1d(np.flatnonzero(kind[a:b]) + a, [a, b])
+                until = np.searchsorted(cuts, cuts + min_words)
+                if kind is not kinds[2]:  # lines and paragraphs end at the next cut
+                    until = np.where(until <= np.arange(len(cuts)) + 1, np.arange(len(cuts)) + 1, len(cuts))
+                begin.append(cuts[until < len(cuts)])
+                end.append(cuts[until[until < len(cuts)]])
+            whole = np.unique(np.concatenate(begin) * (b + 1) + np.concatenate(end))
+            begin, end = whole // (b + 1), whole % (b + 1)
             digest = mix((sums[end] - sums[begin]) * _inverses(begin) + (end - begin).astype(np.uint64))
             base = chars[offsets[row + i] - low]
             yield row + i, digest, chars[first[begin]] - base, chars[last[end - 1] - 1] + 1 - base
@@ -79,31 +88,16 @@ def _inverses(at: np.ndarray) -> np.ndarray:
     return _table(_BACK, int(at.max()) + 1 if len(at) else 1)[at]
 
 
-def repeats(digest: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Whether each unit of a text begins behind the first unit of its digest."""
-    _, first, own = np.unique(digest, return_index=True, return_inverse=True)
-    return start >= end[first][own]
-
-
-def _digests(min_words: int, spans: bool):
+def _units(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, parts = batch.column(0).to_numpy(zero_copy_only=False), []
 
             def flush(parts: list) -> pa.RecordBatch:
-                cols = [np.concatenate([p[c] for p in parts]) for c in range(len(parts[0]))]
-                return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["digest", "doc_id", "again", "start", "end"][: len(cols)])
+                return pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[c] for p in parts])) for c in range(4)], names=["digest", "doc_id", "start", "end"])
 
             for row, digest, start, end in units(batch.column(1), min_words):
-                digest = digest.view(np.int64)
-                again = repeats(digest, start, end)
-                if not spans:
-                    # Each digest once, as one that repeats if any of its units does.
-                    more = np.unique(digest[again])
-                    digest = np.unique(digest)
-                    again = np.isin(digest, more)
-                own = np.full(len(digest), ids[row], np.int64)
-                parts.append((digest, own, again, start.astype(np.int32), end.astype(np.int32)) if spans else (digest, own, again))
+                parts.append((digest.view(np.int64), np.full(len(digest), ids[row], np.int64), start.astype(np.int32), end.astype(np.int32)))
                 if len(parts) == 500:
                     yield flush(parts)
                     parts = []
@@ -118,17 +112,19 @@ def repeated_spans(docs: DataFrame, *, min_words: int = MIN_WORDS, id_col: str =
 
     ``start`` and ``end`` count characters of the original text; spans of a document
     do not touch.  ``kept_doc_id`` is the earliest document of the span's units, which
-    may be the document itself.  Texts
-    that are null or have fewer than ``min_words`` words have no units; rows with a null
-    id are not read.  Rows that share an id are one document, so repeated rows keep what
-    they repeat.  Other columns are not read; an empty table gives no rows.
+    may be the document itself.  Texts that are null or have fewer than ``min_words``
+    words have no units; rows with a null id are not read.  Rows that share an id are
+    one document, so repeated rows keep what they repeat.  Other columns are not read;
+    an empty table gives no rows.
     """
+    scratch = Scratch(docs.sparkSession, "passages")
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    owners = rows.mapInArrow(_digests(min_words, False), "digest long, doc_id long, again boolean")
-    owners = owners.groupBy("digest").agg(F.min("doc_id").alias("kept"), F.max("doc_id").alias("last"), F.max("again").alias("again"))
-    owners = owners.where("kept < last or again").select("digest", "kept")
-    found = rows.mapInArrow(_digests(min_words, True), "digest long, doc_id long, again boolean, start int, end int")
-    found = found.join(owners, "digest").where("doc_id > kept or again").select("doc_id", "start", "end", "kept")
+    found = scratch.keep(rows.mapInArrow(_units(min_words), "digest long, doc_id long, start int, end int"), "units")
+    # The owners are written, so that the join deals both sides anew and a digest of very many rows can be split.
+    owners = found.groupBy("digest").agg(F.min(F.struct("doc_id", "start", "end")).alias("kept"), F.max(F.struct("doc_id", "start")).alias("last"))
+    owners = owners.where("kept.doc_id < last.doc_id or kept.end <= last.start")
+    owners = scratch.keep(owners.select("digest", F.col("kept.doc_id").alias("kept"), F.col("kept.end").alias("free")), "owners")
+    found = found.join(owners, "digest").where("doc_id > kept or start >= free").select("doc_id", "start", "end", "kept")
     by = W.partitionBy("doc_id").orderBy("start", "end")
     reach = F.max("end").over(by.rowsBetween(W.unboundedPreceding, -1))
     marked = found.withColumn("fresh", F.when(F.col("start") <= reach, 0).otherwise(1))

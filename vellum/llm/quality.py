@@ -170,15 +170,17 @@ def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = np.zeros(batch.num_rows)
-            for row, stop, *rest in features(batch.column(1), _dense(batch, 3)):
+            for row, stop, *rest in features(batch.column(1), _dense(batch, 4)):
                 out[row:stop] = model.value.score(*rest)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out)], names=["doc_id", "held_out", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(out)], names=["doc_id", "held_out", "text_hash", "score"])
 
     return run
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, folds: int = 5, rows_per_label: int = ROWS_PER_LABEL, metadata: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """``doc_id, held_out, score, predicted`` of every row of ``docs``.
+    """``doc_id, held_out, text_hash, score, predicted`` of every row of ``docs``.
+
+    ``text_hash`` is xxhash64 of the text, which tells apart rows of one id.
 
     Learns ``label_col`` (0 or 1) of the labelled rows outside fold 0, at most about
     ``rows_per_label`` of each label, weighted back to the labels' true shares, in one
@@ -192,7 +194,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3,
     scratch = Scratch(spark, "quality")
     held = F.coalesce(fold(F.col(id_col), folds) == 0, F.lit(False))
     extra = [F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(metadata)]
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), held.alias("held_out"), *extra)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), held.alias("held_out"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), *extra)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     known = known.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").where(fold(F.col("doc_id"), folds) != 0).drop("other")
     total = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
@@ -203,7 +205,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3,
     scratch.drop("sample")
     if fitted:
         shared = spark.sparkContext.broadcast(pickle.loads(bytes(fitted[0]["model"])))
-        scored = rows.mapInArrow(_score(shared), "doc_id long, held_out boolean, score double")
+        scored = rows.mapInArrow(_score(shared), "doc_id long, held_out boolean, text_hash long, score double")
     else:
-        scored = rows.select("doc_id", "held_out", F.lit(0.5).alias("score"))
+        scored = rows.select("doc_id", "held_out", "text_hash", F.lit(0.5).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

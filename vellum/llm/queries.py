@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vellum.llm import mixing, templates
 from vellum.llm.jaccard import jaccard_components
 from vellum.llm.langid import identify
-from vellum.llm.packing import pack_documents, with_crc
+from vellum.llm.packing import pack_documents
 from vellum.llm.passages import repeated_spans
 from vellum.llm.permindex import nearest_neighbours
 from vellum.llm.quality import score_quality
@@ -31,7 +31,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 2048 tokens, a row a piece."""
-    return with_crc(pack_documents(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), limit=2048, end_id=0))
+    return pack_documents(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), limit=2048, end_id=0, ids=False)
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality of every text, learned outside fold 0."""
     docs, labels = (_table(spark, sf_dir, t) for t in ("documents", "labels"))
-    return score_quality(docs, labels, threshold=0.3, metadata=("n_chars",))
+    return score_quality(docs, labels, threshold=0.3, metadata=("n_chars",)).select("doc_id", "held_out", "score", "predicted")
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

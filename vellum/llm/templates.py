@@ -1,92 +1,117 @@
 """Line dedup with a log-template tree, in DataFrame functions only.
 
 The tree has a fixed depth: a line goes by its number of tokens, then by its
-``LEAD`` leading tokens, to a leaf.  Fields that vary are generalised in two ways:
-tokens with a digit stand for any such token, and within a leaf a position is kept
-only where most documents agree on its token.  A line belongs to its leaf's template
-if it shares at least ``similarity`` of its tokens with it.  Lines of templates found
-in at least ``min_docs`` documents are dropped from all documents but the earliest.
+``LEAD`` leading tokens, to a leaf.  Fields that vary are generalised in steps:
+
+1. Tokens with a digit stand for any such token.  Lines that are then equal are one
+   *kind*; a kind found in ``min_docs`` documents is a template.
+2. Within a leaf a token is constant where kinds of ``min_docs`` documents in sum
+   have it at its position; any other is a field.  Kinds whose constants agree share a
+   *form*, and so do those that agree but for one constant behind the leading tokens,
+   as a field may also have common values.  A leaf can thus hold many templates.
+3. A form of at least ``similarity`` constants found in ``min_docs`` documents is a
+   template.
+
+Lines of a template are dropped from all documents but the earliest that has one.
+Lines without a constant, such as blank ones and bare numbers, are no templates.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm._store import Scratch
+from vellum.llm._store import Scratch, small
 
-MIN_DOCS, MIN_TOKENS, LEAD, SIMILARITY = 5, 4, 3, 0.7
+MIN_DOCS, LEAD, SIMILARITY = 5, 3, 0.7
 
 #: White space within a line, and a token with a digit between single blanks.
 BLANKS = r"[ \t\r\f]+"
 FIELD = r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*"
-#: Tables that join with whole texts are broadcast up to so many rows; beyond it they are joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
+#: What a token with a digit becomes.
+HOLE = "<*>"
+#: Bytes of a row of each table that may be broadcast.
+KIND_BYTES, GONE_BYTES = 48, 96
 
 
-def template_lines(docs: DataFrame, *, min_tokens: int = MIN_TOKENS, lead: int = LEAD) -> DataFrame:
-    """``doc, doc_id, line_no, line, leaf, n`` of the lines long enough to be templates.
+def template_lines(docs: DataFrame, *, lead: int = LEAD) -> DataFrame:
+    """``doc, doc_id, line_no, line, leaf, n`` of the lines that can be templates.
 
     ``line`` is the masked line with single blanks; ``doc`` tells apart rows of one id.
     """
     parts = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("doc"), F.split("text", "\n").alias("parts"))
-    lines = parts.select("doc_id", "doc", F.posexplode("parts").alias("line_no", "raw"))
+    lines = parts.select("doc_id", "doc", F.posexplode_outer("parts").alias("line_no", "raw")).where("raw is not null")
     # Each pattern runs only where a plainer one matches.
     raw = F.col("raw")
     uneven = raw.contains("  ") | raw.contains("\t") | raw.contains("\r") | raw.contains("\f")
     flat = F.when(uneven, F.regexp_replace(raw, BLANKS, " ")).otherwise(raw)
-    lines = lines.select("doc_id", "doc", "line_no", F.trim(flat).alias("flat"))
-    lines = lines.withColumn("n", F.length("flat") - F.length(F.replace("flat", F.lit(" "), F.lit(""))) + 1).where(F.col("n") >= min_tokens)
-    masked = F.when(F.col("flat").rlike("[0-9]"), F.regexp_replace("flat", FIELD, "<*>")).otherwise(F.col("flat"))
-    lines = lines.select("doc_id", "doc", "line_no", masked.alias("line"), "n")
+    lines = lines.select("doc_id", "doc", "line_no", F.trim(flat).alias("flat")).where("flat <> ''")
+    masked = F.when(F.col("flat").rlike("[0-9]"), F.regexp_replace("flat", FIELD, HOLE)).otherwise(F.col("flat"))
+    n = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
+    lines = lines.select("doc_id", "doc", "line_no", masked.alias("line")).withColumn("n", n)
+    holes = (F.length("line") - F.length(F.replace("line", F.lit(HOLE), F.lit("")))) / len(HOLE)
+    bare = (F.length("line") == F.col("n") * (len(HOLE) + 1) - 1) & (holes == F.col("n"))
+    lines = lines.where(~bare)
     return lines.withColumn("leaf", F.xxhash64("n", F.substring_index("line", " ", lead)))
 
 
-def _small(rows: DataFrame, count: int) -> DataFrame:
-    return F.broadcast(rows) if count <= BROADCAST_ROWS else rows
-
+def form_templates(kinds: DataFrame, texts: DataFrame, pairs: DataFrame, scratch: Scratch, *, min_docs: int = MIN_DOCS, lead: int = LEAD, similarity: float = SIMILARITY) -> DataFrame:
+    """``leaf, line, first``: kinds that share a form with others, and its earliest document.
 
-def drop_templates(docs: DataFrame, *, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, lead: int = LEAD, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    ``kinds(leaf, line, n, docs, first)``, ``texts(leaf, line, masked)``, ``pairs(leaf, line, doc_id)``.
+    """
+    kinds = kinds.where(F.col("n") > lead)
+    leaves = kinds.groupBy("leaf").agg(F.count("*").alias("kinds"), F.sum("docs").alias("total")).where((F.col("kinds") > 1) & (F.col("total") >= min_docs))
+    leaves = scratch.keep(leaves.select("leaf"), "leaves")
+    open_ = scratch.keep(kinds.join(leaves, "leaf", "left_semi"), "open")
+    words = texts.join(small(open_, KIND_BYTES), ["leaf", "line"]).groupBy("leaf", "line", "n", "docs", "first").agg(F.first("masked").alias("masked"))
+    words = words.select("leaf", "line", "n", "docs", "first", F.posexplode(F.split("masked", " ")).alias("at", "word"))
+    words = scratch.keep(words.select("leaf", "line", "n", "docs", "first", "at", F.when(F.col("word") != HOLE, F.xxhash64("at", "word")).alias("token")), "words")
+    constant = words.where("token is not null").groupBy("leaf", "token").agg(F.sum("docs").alias("votes")).where(F.col("votes") >= min_docs)
+    constant = scratch.keep(constant.select("leaf", "token"), "constant")
+    held = words.join(constant, ["leaf", "token"], "left_semi")
+
+    # The form of a kind is the exclusive or of its constants' hashes; without one of them it is a form with one field more.
+    forms = held.groupBy("leaf", "line", "n", "docs", "first").agg(F.bit_xor("token").alias("form"), F.collect_list(F.when(F.col("at") >= lead, F.col("token"))).alias("free"), F.count("*").alias("constants"))
+    less = F.concat(F.array(F.lit(0).cast("long")), F.when(F.col("constants") - 1 >= F.col("n") * similarity, F.col("free")).otherwise(F.array().cast("array<bigint>")))
+    forms = forms.where(F.col("constants") >= F.col("n") * similarity).select("leaf", "line", "docs", "first", F.explode(F.transform(less, lambda t: F.col("form").bitwiseXOR(t))).alias("form"))
+    forms = scratch.keep(forms, "forms")
+    groups = forms.groupBy("leaf", "form").agg(F.count("*").alias("kinds"), F.sum("docs").alias("total"), F.max("docs").alias("most"), F.min("first").alias("first"))
+    groups = scratch.keep(groups.where((F.col("kinds") > 1) & (F.col("total") >= min_docs)), "groups")
+    # A kind of enough documents settles it; otherwise the documents of kinds that are all rare are counted.
+    rare = forms.join(groups.where(F.col("most") < min_docs).select("leaf", "form"), ["leaf", "form"]).select("leaf", "line", "form")
+    counted = rare.join(pairs, ["leaf", "line"]).groupBy("leaf", "form").agg(F.count_distinct("doc_id").alias("docs")).where(F.col("docs") >= min_docs)
+    settled = groups.where(F.col("most") >= min_docs).select("leaf", "form", "first").union(groups.join(counted, ["leaf", "form"]).select("leaf", "form", "first"))
+    settled = scratch.keep(settled, "settled")
+    return forms.select("leaf", "line", "form").join(settled, ["leaf", "form"]).select("leaf", "line", "first")
+
+
+def drop_templates(docs: DataFrame, *, min_docs: int = MIN_DOCS, lead: int = LEAD, similarity: float = SIMILARITY, keep: Sequence[str] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_lines, n_dropped, text``: every row of ``docs`` without recurring lines.
 
-    Lines end at line feeds and keep their order and their own white space.  Lines of
-    fewer than ``min_tokens`` tokens are never dropped.  The document of smallest id
-    keeps its lines of a template; null ids come last and do not count as documents.
-    A null text stays null, with no lines; an empty text has one empty line.  Rows that
-    share an id are one document, so repeated rows keep what they repeat.  Other columns
-    are not read; an empty table gives no rows.
+    Lines end at line feeds and keep their order and their own white space.  The
+    document of smallest id keeps its lines of a template; null ids come last and do
+    not count as documents.  A null text stays null, with no lines; an empty text has
+    one empty line.  Rows that share an id are one document, so repeated rows keep what
+    they repeat; each row keeps its own text.  ``keep`` names other columns to return
+    unread; no other column is read.  An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "templates")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    lines = template_lines(rows, min_tokens=min_tokens, lead=lead)
-    slim = scratch.keep(lines.select("doc_id", "doc", "line_no", "leaf", F.xxhash64("line").alias("line"), "n", F.col("line").alias("masked")), "lines")
-
-    # Equal masked lines.
+    rest = F.struct(*[F.col(c) for c in keep]) if keep else F.lit(None)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), rest.alias("rest"))
+    lines = template_lines(rows, lead=lead)
+    slim = scratch.keep(lines.select("doc_id", "doc", "line_no", "leaf", F.xxhash64("line").alias("line"), "n", F.when(F.col("n") > lead, F.col("line")).alias("masked")), "lines")
     pairs = scratch.keep(slim.select("leaf", "line", "n", "doc_id").distinct(), "pairs")
     kinds = scratch.keep(pairs.groupBy("leaf", "line", "n").agg(F.count("doc_id").alias("docs"), F.min("doc_id").alias("first")), "kinds")
     same = kinds.where(F.col("docs") >= min_docs).select("leaf", "line", "first")
-
-    # Other lines of leaves that enough documents share, position by position.
-    rare = kinds.where(F.col("docs") < min_docs)
-    shared = pairs.join(rare.select("leaf", "line"), ["leaf", "line"], "left_semi").select("leaf", "doc_id").distinct()
-    leaves = scratch.keep(shared.groupBy("leaf").agg(F.count("doc_id").alias("total")).where(F.col("total") >= min_docs), "leaves")
-    open_ = scratch.keep(rare.join(leaves, "leaf").select("leaf", "line", "n", "docs", "total"), "open")
-    words = slim.select("leaf", "line", "masked").join(_small(open_, open_.count()), ["leaf", "line"]).groupBy("leaf", "line", "n", "docs", "total").agg(F.first("masked").alias("masked"))
-    words = words.select("leaf", "line", "n", "docs", "total", F.posexplode(F.split("masked", " ")).alias("at", "token"))
-    words = scratch.keep(words.select("leaf", "line", "n", "docs", "total", "at", F.xxhash64("token").alias("token")), "words")
-    constant = words.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("votes"), F.first("total").alias("total")).where(F.col("votes") * 2 > F.col("total"))
-    fitting = words.join(constant.select("leaf", "at", "token"), ["leaf", "at", "token"]).groupBy("leaf", "line", "n").count()
-    fitting = scratch.keep(fitting.where(F.col("count") >= F.col("n") * similarity).select("leaf", "line"), "fitting")
-    members = pairs.join(_small(fitting, fitting.count()), ["leaf", "line"], "left_semi").groupBy("leaf").agg(F.count_distinct("doc_id").alias("docs"), F.min("doc_id").alias("first"))
-    alike = fitting.join(members.where(F.col("docs") >= min_docs).select("leaf", "first"), "leaf").select("leaf", "line", "first")
-
-    found = scratch.keep(same.union(alike), "found")
-    gone = slim.join(_small(found, found.count()), ["leaf", "line"]).where(F.col("doc_id").isNull() | (F.col("doc_id") > F.col("first")))
-    gone = scratch.keep(gone.select("doc", "line_no").distinct(), "gone")
-    gone = _small(gone.groupBy("doc").agg(F.array_sort(F.collect_list("line_no")).alias("gone")), gone.count())
-    for name in ("lines", "pairs", "kinds", "leaves", "open", "words", "fitting", "found"):
-        scratch.drop(name)
-    out = rows.withColumn("doc", F.xxhash64("doc_id", "text")).join(gone, "doc", "left")
+    alike = form_templates(kinds, slim.select("leaf", "line", "masked"), pairs.select("leaf", "line", "doc_id"), scratch, min_docs=min_docs, lead=lead, similarity=similarity)
+    found = scratch.keep(same.union(alike).groupBy("leaf", "line").agg(F.min("first").alias("first")), "found")
+    gone = slim.join(small(found, KIND_BYTES), ["leaf", "line"]).where(F.col("doc_id").isNull() | (F.col("doc_id") > F.col("first")))
+    gone = scratch.keep(gone.groupBy("doc").agg(F.array_sort(F.collect_set("line_no")).alias("gone")), "gone")
+    scratch.drop("lines", "pairs", "kinds", "leaves", "open", "words", "constant", "forms", "groups", "settled", "found")
+    out = rows.withColumn("doc", F.xxhash64("doc_id", "text")).join(small(gone, GONE_BYTES), "doc", "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n")
     feeds = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
     return out.select(
@@ -94,6 +119,7 @@ def drop_templates(docs: DataFrame, *, min_docs: int = MIN_DOCS, min_tokens: int
         F.coalesce(feeds + 1, F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text"),
+        *[F.col("rest")[c].alias(c) for c in keep],
     )
 
 
@@ -107,24 +133,31 @@ WITH raw AS (
   FROM (SELECT doc_id, parts, unnest(generate_series(1, len(parts))) AS i FROM raw)
 ), slim AS (
   SELECT doc_id, line_no, line, n, n::VARCHAR || '|' || array_to_string(string_split(line, ' ')[1:3], ' ') AS leaf
-  FROM (SELECT *, len(string_split(line, ' ')) AS n FROM lines) WHERE n >= 4
+  FROM (SELECT *, len(string_split(line, ' ')) AS n FROM lines) WHERE line <> '' AND len(list_filter(string_split(line, ' '), lambda t: t <> '<*>')) > 0
 ), kinds AS (
   SELECT leaf, line, n, count(DISTINCT doc_id) AS docs, min(doc_id) AS first FROM slim GROUP BY ALL
 ), leaves AS (
-  SELECT s.leaf, count(DISTINCT s.doc_id) AS total FROM slim s JOIN kinds k ON s.line = k.line AND k.docs < 5 GROUP BY s.leaf HAVING count(DISTINCT s.doc_id) >= 5
+  SELECT leaf FROM kinds WHERE n > 3 GROUP BY leaf HAVING count(*) > 1 AND sum(docs) >= 5
 ), words AS (
-  SELECT leaf, line, n, docs, total, pos, string_split(line, ' ')[pos] AS token
-  FROM (SELECT k.leaf, k.line, k.n, k.docs, l.total, unnest(generate_series(1, k.n)) AS pos FROM kinds k JOIN leaves l ON k.leaf = l.leaf WHERE k.docs < 5)
+  SELECT leaf, line, n, docs, first, pos, string_split(line, ' ')[pos] AS token
+  FROM (SELECT *, unnest(generate_series(1, n)) AS pos FROM kinds WHERE n > 3 AND leaf IN (FROM leaves))
 ), constant AS (
-  SELECT leaf, pos, token FROM words GROUP BY leaf, pos, token HAVING sum(docs) * 2 > any_value(total)
-), fitting AS (
-  SELECT w.leaf, w.line FROM words w JOIN constant c ON w.leaf = c.leaf AND w.pos = c.pos AND w.token = c.token
-  GROUP BY w.leaf, w.line, w.n HAVING count(*) >= w.n * 0.7
-), members AS (
-  SELECT f.leaf, min(s.doc_id) AS first FROM slim s JOIN fitting f ON s.line = f.line GROUP BY f.leaf HAVING count(DISTINCT s.doc_id) >= 5
+  SELECT leaf, pos, token FROM words WHERE token <> '<*>' GROUP BY ALL HAVING sum(docs) >= 5
+), shaped AS (
+  SELECT w.leaf, w.line, w.n, w.docs, w.first, list(w.pos || ':' || w.token ORDER BY w.pos) AS form, list(w.pos ORDER BY w.pos) AS places
+  FROM words w JOIN constant c ON w.leaf = c.leaf AND w.pos = c.pos AND w.token = c.token GROUP BY ALL
+), forms AS (
+  SELECT leaf, line, docs, first, array_to_string(form, ' ') AS form FROM shaped WHERE len(form) >= n * 0.7
+  UNION ALL
+  SELECT leaf, line, docs, first, array_to_string(list_filter(form, lambda x, i: i <> j), ' ')
+  FROM (SELECT *, unnest(generate_series(1, len(form))) AS j FROM shaped WHERE len(form) - 1 >= n * 0.7) WHERE places[j] > 3
+), groups AS (
+  SELECT f.leaf, f.form, min(f.first) AS first FROM forms f JOIN slim s ON f.leaf = s.leaf AND f.line = s.line
+  GROUP BY f.leaf, f.form HAVING count(DISTINCT f.line) > 1 AND count(DISTINCT s.doc_id) >= 5
 ), found AS (
-  SELECT line, first FROM kinds WHERE docs >= 5
-  UNION ALL SELECT f.line, m.first FROM fitting f JOIN members m ON f.leaf = m.leaf
+  SELECT line, min(first) AS first FROM (
+    SELECT line, first FROM kinds WHERE docs >= 5
+    UNION ALL SELECT f.line, g.first FROM forms f JOIN groups g ON f.leaf = g.leaf AND f.form = g.form) GROUP BY line
 ), gone AS (
   SELECT DISTINCT s.doc_id, s.line_no FROM slim s JOIN found f ON s.line = f.line WHERE s.doc_id > f.first
 ), dropped AS (SELECT doc_id, list(line_no) AS gone FROM gone GROUP BY doc_id)
