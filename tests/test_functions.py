@@ -1,5 +1,6 @@
 """Column functions on literal cases."""
 
+import re
 from decimal import Decimal
 
 import pytest
@@ -7,9 +8,10 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from vellum.functions import checks, numbers, spans
+from vellum.functions import checks, numbers
 from vellum.functions import text as tx
-from vellum.functions.chunks import chunks
+from vellum.functions.chunks import cuts, text_chunks
+from vellum.functions.spans import replace_spans, spans
 
 
 def one(spark, column):
@@ -63,12 +65,33 @@ def test_spans_are_those_of_a_search(spark, text):
     import re
 
     for pattern in (r"[ab]+\d", r"ñ|😀", r"(?<![0-9])[0-9]+"):
-        got = spark.createDataFrame([(text,)], "t string").select(spans.spans(F.col("t"), pattern).alias("s")).first().s
+        got = spark.createDataFrame([(text,)], "t string").select(spans(F.col("t"), pattern).alias("s")).first().s
         assert [(s.start, s.end, s.value) for s in got] == [(m.start(), m.end(), m[0]) for m in re.finditer(pattern, text)]
 
 
-def test_chunks_cover_the_text():
-    text = " ".join(f"palabra{i}" for i in range(2000))
-    found = list(chunks(text, 500, 60))
-    assert found[0][0] == 0 and all(text[at : at + len(c)] == c for at, c in found) and found[-1][0] + len(found[-1][1]) == len(text)
-    assert all(b[0] <= a[0] + len(a[1]) for a, b in zip(found, found[1:], strict=False)) and list(chunks("")) == [(0, "")]
+@given(st.text(alphabet="ab \n", max_size=400), st.integers(2, 60), st.integers(0, 20))
+def test_chunks_cover_the_text(text, size, overlap):
+    found = cuts(text, size, min(overlap, size // 3))
+    assert found[0][0] == 0 and found[-1][1] == len(text) and all(b - a <= size for a, b in found)
+    for (a, b), (c, d) in zip(found, found[1:], strict=False):
+        assert a < c and b <= d and (c <= b or b == len(text))
+        blanks = [i for i in range(a + size // 2, a + size) if text[i] in " \n"]
+        assert b == (blanks[-1] if blanks and blanks[-1] > a else a + size)
+
+
+def test_chunks_of_a_table(spark):
+    rows = [(1, "uno dos " * 600), (2, None), (3, ""), (4, "corto")]
+    got = text_chunks(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.offset, r.chunk) for r in got} == {(d, a, t[a:b]) for d, t in rows if t is not None for a, b in cuts(t, 1800, 240)}
+
+
+def test_spans_in_marked_texts_and_many_matches(spark):
+    texts = ["", "1 2", "\ufdd0 12 \ufdd0\ufdd13", "7 " * 3000, "\U0001f600 5"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", spans(F.col("t"), "[0-9]+").alias("s")).collect()
+    assert all([(x.start, x.end, x.value) for x in r.s] == [(*m.span(), m[0]) for m in re.finditer("[0-9]+", r.t)] for r in got)
+
+
+def test_folds_keep_offsets_and_unify_forms(spark):
+    one = lambda f, v: spark.createDataFrame([(v,)], "v string").select(f(F.col("v")).alias("x")).first().x
+    assert one(tx.accentless, "İİ ÁÑ ﬁ 日本ÿ") == "ii an ﬁ 日本y" and one(tx.same_length_lower, "İÁ") == "iá"
+    assert one(tx.fold, " ＡＢ１\u00a0ﬁn STRASSE straße e\u0301 ½") == "ab1 fin strasse strasse é 1⁄2" and one(tx.ascii_digits, "٣४９x") == "349x"

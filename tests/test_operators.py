@@ -8,6 +8,8 @@ from datetime import datetime
 from decimal import Decimal
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from vellum.operators import detect, drafts, invoices, redact, registry, resolve, templates
@@ -70,6 +72,59 @@ def test_rules_equal_a_search_in_python(spark):
         assert sorted((r.doc_id, r.start, r.end, r.value) for r in rows) == sorted((i, *m.span(rule.group), m[rule.group]) for i, t in enumerate(texts) for m in python.finditer(t)), name
 
 
+def matching_texts(n=10):
+    """Texts that the patterns match, drawn from the patterns themselves with Unicode digits, blanks and letters."""
+    out = []
+    for rule in RULES.values():
+        python = rule.pattern.replace("(?iuU)", "(?i)").replace("(?U)", "").replace("++", "+").replace("*+", "*").replace("?+", "?").replace("{1,127}", "{1,3}").replace("{0,40}", "{0,3}")
+        python = re.sub(r"\(\?<?[!=](?:[^()]|\([^()]*\))*\)|\\b", "", python)
+
+        @settings(max_examples=n, database=None, derandomize=True, suppress_health_check=list(HealthCheck), deadline=None)
+        @given(st.from_regex(python, fullmatch=True))
+        def draw(text):
+            out.append(text)
+
+        draw()
+    return out
+
+
+def test_guards_never_lose_a_match(spark):
+    texts = [t for t in matching_texts() if "\n" not in t and not any(0xD800 <= ord(c) < 0xE000 for c in t)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").repartition(4)
+    lost = rows.select(*[(F.col("t").rlike(r.pattern) & ~F.col("t").rlike(r.guard)).alias(n) for n, r in RULES.items()])
+    hits = rows.select(*[F.count_if(F.col("t").rlike(r.pattern)).alias(n) for n, r in RULES.items()]).first()
+    assert lost.select(*[F.count_if(n).alias(n) for n in RULES]).first().asDict() == dict.fromkeys(RULES, 0)
+    assert all(hits[n] >= 3 for n in RULES), hits
+
+
+@pytest.mark.parametrize("name,text", [
+    ("es_iban", "ES\u00a091 2100 0418 4502 0005 1332"), ("plate", "Coche \u0661\u0662\u0663\u0664 BCD"), ("es_dni", "\uff11\uff12\uff13\uff14\uff15\uff16\uff17\uff18Z"),
+    ("phone", "6\u0661\u0662 345 678"), ("email", "x@" + "a." * 100 + "es"),
+])
+def test_unicode_forms_are_found(spark, name, text):
+    assert len(spark.createDataFrame([(text,)], "t string").select(detect.rule_spans(F.col("t"), name)).first()[0]) == 1
+
+
+def test_places_behind_letters_that_grow(spark):
+    assert [g[2] for g in found(spark, "\u0130\u0130\u0130 en Madrid hoy, C\u00e1diz")] == ["Madrid", "C\u00e1diz"]
+    rows = docs(spark, "\u0130\u0130 Ana y ana")
+    asked = spark.createDataFrame([(0, "text:body:block[0]", 3, 6, "PERSON", True)], "doc_id long, location_id string, start int, end int, entity_type string, all_occurrences boolean")
+    manual, _ = detect.manual_findings(rows, asked)
+    assert sorted((r.start, r.value) for r in manual.collect()) == [(3, "Ana"), (9, "ana")]
+
+
+@pytest.mark.parametrize("text", ["x@" + "a." * 500_000, "a@" * 500_000, "nacido el" + " " * 1_000_000, "\u20ac 1" + ".123" * 250_000, "cliente" + " " * 1_000_000, "calle Aa" + " " * 1_000_000 + "x", "ab " * 333_000 + "S.L.", "edad" + " " * 1_000_000, "1." * 500_000])
+def test_lines_of_a_megabyte(spark, text):
+    rows = docs(spark, text)
+    assert rows.select(F.size(detect.candidates(F.col("text"), F.col("label"))).alias("n")).first().n < 10
+
+
+def test_allowlist_as_a_table(spark):
+    rows = detect.as_findings(detect.detect_rules(docs(spark, "Madrid, Vigo y Toledo")))
+    allowed = spark.createDataFrame([(" MADRID ",), ("vigo",), (" ",), (None,)], "value string")
+    assert [r.value for r in detect.filter_allowlist(rows, allowed).collect()] == ["Toledo"]
+
+
 def test_aliases_by_appearance_or_text(spark):
     rows = docs(spark, "\n".join(["x"] * 2 + ["a@b.es"] + ["x"] * 7 + ["c@d.es"]))
     _, groups = redact.analyse(rows)

@@ -8,24 +8,29 @@ from pyspark.sql import functions as F
 SPAN = "array<struct<start:int,end:int,value:string>>"
 
 
+#: A noncharacter that marks the ends of matches, and one that stands for it where a text has it.
+MARK, OTHER = "\ufdd0", "\ufdd1"
+
+
 def spans(text: Column, pattern: str, group: int = 0) -> Column:
     """All matches of ``pattern`` in order, as ``start, end, value``.
 
-    ``split`` gives the gaps between matches and ``regexp_extract_all`` the matches, so
-    running lengths give the offsets.  A ``group`` must end where the match ends.
+    One pass marks the matches; the lengths of what precedes their marks are the offsets.
+    A ``group`` must end where the match ends, and what precedes it is the group before it.
     """
-    gaps = F.split(text, pattern, -1)
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    parts = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(whole)).alias("gap"), whole.alias("whole"), value.alias("value"))
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("found"))
-
-    def step(acc: Column, x: Column) -> Column:
-        end = acc["at"] + F.length(x["gap"]) + F.length(x["whole"])
-        span = F.struct((end - F.length(x["value"])).alias("start"), end.alias("end"), x["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["found"], F.array(span)).alias("found"))
-
-    return F.aggregate(parts, first, step, lambda acc: acc["found"])
+    clean = F.when(text.contains(MARK), F.translate(text, MARK, OTHER)).otherwise(text)
+    marked = F.regexp_replace(clean, pattern, f"${group - 1}{MARK}${group}{MARK}" if group else f"{MARK}$0{MARK}")
+
+    def between(marked: Column) -> Column:
+        def one(i: Column) -> Column:
+            start = F.length(F.call_function("substring_index", marked, F.lit(MARK), i)) - i + 1
+            value = F.call_function("split_part", marked, F.lit(MARK), i + 1)
+            return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"))
+
+        marks = F.length(marked) - F.length(F.replace(marked, F.lit(MARK), F.lit("")))
+        return F.when(marks > 0, F.transform(F.sequence(F.lit(1), marks - 1, F.lit(2)), one)).otherwise(F.array().cast(SPAN))
+
+    return F.element_at(F.transform(F.array(marked), between), 1)
 
 
 def replace_spans(text: Column, items: Column) -> Column:

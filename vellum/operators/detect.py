@@ -7,6 +7,7 @@ resolution need no shuffle.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,16 +63,21 @@ def labelled_passports(text: Column, label: Column) -> Column:
     return _candidates(found, "PASSPORT", 0.92, 92, len(RULES), RULE_SOURCE, "Numero de pasaporte en una celda etiquetada como pasaporte.")
 
 
+def _any_of(names: Iterable[str]) -> str:
+    return r"(?U)(?<!\w)(?:" + "|".join(sorted(names, key=lambda n: (-len(n), n))) + r")(?!\w)"
+
+
 def gazetteer_candidates(text: Column) -> Column:
     """Places of the local gazetteers as whole words, whatever their case and marks."""
+    every = _any_of(n for names, _ in GAZETTEERS.values() for n in names)
 
     def places(folded: Column) -> Column:
         out = []
         for i, (kind, (names, confidence)) in enumerate(GAZETTEERS.items()):
-            pattern = r"(?U)(?<!\w)(?:" + "|".join(sorted(names, key=lambda n: (-len(n), n))) + r")(?!\w)"
+            pattern = _any_of(names)
             found = F.transform(spans(folded, pattern), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("value")))
-            out.append(_candidates(_guarded(folded, pattern, found), kind, confidence, 65, len(RULES) + 1 + i, GAZETTEER_SOURCE, GAZETTEER_REASON))
-        return F.concat(*out)
+            out.append(_candidates(found, kind, confidence, 65, len(RULES) + 1 + i, GAZETTEER_SOURCE, GAZETTEER_REASON))
+        return F.when(folded.rlike(every), F.concat(*out)).otherwise(F.array().cast(NONE))
 
     return tx.let(tx.accentless(text), places)
 
@@ -86,9 +92,15 @@ def candidates(text: Column, label: Column, rules: Iterable[str] = tuple(RULES),
     return F.coalesce(F.concat(*parts), F.array().cast(NONE))
 
 
+@lru_cache(maxsize=16)
+def _candidates_of(application: str, rules: tuple[str, ...], gazetteers: bool) -> Column:
+    """The expression over ``text`` and ``label``: some thousand nodes, so it is built once an application."""
+    return candidates(F.col("text"), F.col("label"), rules, gazetteers)
+
+
 def detect_rules(blocks: DataFrame, rules: Iterable[str] = tuple(RULES), gazetteers: bool = True) -> DataFrame:
     """``blocks`` with the array column ``candidates``."""
-    return blocks.withColumn("candidates", candidates(F.col("text"), F.col("label"), rules, gazetteers))
+    return blocks.withColumn("candidates", _candidates_of(blocks.sparkSession.sparkContext.applicationId, tuple(rules), gazetteers))
 
 
 def filter_candidates(blocks: DataFrame, categories: Iterable[str] = (), allowlist: Iterable[str] = ()) -> DataFrame:
@@ -109,8 +121,12 @@ def filter_allowlist(findings: DataFrame, allowlist: DataFrame) -> DataFrame:
 
 
 def as_findings(blocks: DataFrame, column: str = "candidates") -> DataFrame:
-    """One row a finding, with its id and context."""
-    out = blocks.select("doc_id", "location_id", "part", "block_index", "text", F.explode(column).alias("c")).select("doc_id", "location_id", "part", "block_index", "text", "c.*")
+    """One row a finding, with its id and context.
+
+    The outer form of explode keeps the optimiser from asking for the size of the
+    candidates in a filter of its own, which would detect them twice.
+    """
+    out = blocks.select("doc_id", "location_id", "part", "block_index", "text", F.explode_outer(column).alias("c")).where("c is not null").select("doc_id", "location_id", "part", "block_index", "text", "c.*")
     fid = tx.finding_id(F.col("location_id"), F.col("entity_type"), F.col("start"), F.col("end"), F.col("value"), F.element_at("sources", 1))
     return out.withColumns({"id": fid, "context": tx.context_snippet(F.col("text"), F.col("start"), F.col("end"))}).drop("text")
 
@@ -126,7 +142,7 @@ def detect_legacy5(blocks: DataFrame) -> DataFrame:
     rows = blocks.withColumn("all", F.coalesce(F.concat(*parts), F.array().cast(NONE)))
     free = lambda acc, c: ~F.exists(acc, lambda a: (c["start"] < a["end"]) & (c["end"] > a["start"]))
     kept = F.aggregate("all", F.array().cast(NONE), lambda acc, c: F.when(free(acc, c), F.concat(acc, F.array(c))).otherwise(acc))
-    rows = rows.select("doc_id", "location_id", "text", F.explode(kept).alias("c")).select("doc_id", "location_id", "text", "c.*")
+    rows = rows.select("doc_id", "location_id", "text", F.explode_outer(kept).alias("c")).where("c is not null").select("doc_id", "location_id", "text", "c.*")
     legacy_id = F.substring(F.sha2(F.concat_ws(":", "location_id", "entity_type", "start", "end", "value").cast("binary"), 256), 1, 20)
     return rows.select("doc_id", "location_id", legacy_id.alias("id"), "entity_type", "start", "end", "value", "confidence", tx.context_snippet(F.col("text"), F.col("start"), F.col("end"), 44).alias("context"))
 
@@ -157,7 +173,7 @@ def manual_findings(blocks: DataFrame, manual: DataFrame) -> tuple[DataFrame, Da
     rejects = asked.where(~fits).select("doc_id", "location_id", "start", "end", "entity_type")
     good = asked.where(fits).select("doc_id", F.col("location_id").alias("asked_at"), "start", "end", "entity_type", "all_occurrences", "value")
     spread = good.join(blocks, "doc_id").where(F.col("all_occurrences") | (F.col("asked_at") == F.col("location_id")))
-    gaps = F.split(F.lower("text"), F.concat(F.lit(r"\Q"), F.lower("value"), F.lit(r"\E")), -1)
+    gaps = F.split(tx.same_length_lower(F.col("text")), F.concat(F.lit(r"\Q"), tx.same_length_lower(F.col("value")), F.lit(r"\E")), -1)
     size = F.length("value")
     first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("found"))
     step = lambda acc, g: F.struct((acc["at"] + F.length(g) + size).alias("at"), F.concat(acc["found"], F.array(F.struct((acc["at"] + F.length(g)).alias("start"), (acc["at"] + F.length(g) + size).alias("end")))).alias("found"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vellum.functions.spans import replace_spans
 from vellum.operators import resolve as rs
 from vellum.operators.detect import as_findings, candidates, detect_rules, filter_candidates
+from vellum.sources.scratch import Scratch
 
 
 def validate_decisions(groups: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -45,9 +46,10 @@ def coverage_gate(issues: DataFrame, remove_unsupported: bool) -> DataFrame:
 
 def verify_literal(redacted: DataFrame, selected: DataFrame) -> DataFrame:
     """Applied values that, whatever their case, are still in a block of their document."""
-    values = selected.select("doc_id", F.lower("value").alias("needle"), "value").dropDuplicates(["doc_id", "needle"])
-    left = redacted.join(values, "doc_id").where(F.lower("text").contains(F.col("needle")))
-    return left.select("doc_id", "location_id", "needle").distinct()
+    values = selected.groupBy("doc_id").agg(F.collect_set(F.lower("value")).alias("_needles"))
+    lower = F.lower("text")
+    left = redacted.join(values, "doc_id").select("doc_id", "location_id", F.filter("_needles", lambda n: lower.contains(n)).alias("_left"))
+    return left.select("doc_id", "location_id", F.explode_outer("_left").alias("needle")).where("needle is not null").distinct()
 
 
 def verify_detectors(redacted: DataFrame, selected: DataFrame) -> DataFrame:
@@ -57,9 +59,13 @@ def verify_detectors(redacted: DataFrame, selected: DataFrame) -> DataFrame:
 
 
 def analyse(blocks: DataFrame, categories: tuple[str, ...] = (), allowlist: tuple[str, ...] = (), gazetteers: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Findings with alias and band, and groups: filtered before they are resolved."""
+    """Findings with alias and band, and groups: filtered before they are resolved.
+
+    The findings are written once: groups, aliases and redaction all read them, and
+    none detects again.
+    """
     found = as_findings(rs.resolve_overlaps(filter_candidates(detect_rules(blocks, gazetteers=gazetteers), categories, allowlist)))
-    found = rs.with_groups(found)
+    found = Scratch(blocks.sparkSession, "findings").keep(rs.with_groups(found), "found")
     groups = rs.assign_aliases(rs.group_findings(found))
     return rs.enrich_findings(found, groups), groups
 

@@ -58,7 +58,11 @@ def with_groups(findings: DataFrame) -> DataFrame:
 
 
 def group_findings(findings: DataFrame) -> DataFrame:
-    """One row a document and group: its values' first form, evidence and place of first appearance."""
+    """One row a document and group: its values' first form, evidence and place of first appearance.
+
+    A group's ids are gathered in one row, so a group is bounded by the findings of one
+    value in one document.
+    """
     if "group_id" not in findings.columns:
         findings = with_groups(findings)
     place = F.struct("part", "block_index", "start", "end")

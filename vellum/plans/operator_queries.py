@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from vellum.functions import chunks
 from vellum.functions import text as tx
 from vellum.operators import detect, redact, registry, resolve
 from vellum.operators import templates as tp
 from vellum.operators.rules import RULES
-from vellum.plans.seeds import IDS, VALID, on_duckdb, on_spark, table
+from vellum.plans.seeds import IDS, VALID, on_duckdb, on_spark, spread_table, table
 from vellum.sources import blocks as bl
+from vellum.sources import profiles as pf
+from vellum.sources.scratch import Scratch, spread
+from vellum.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,7 +60,7 @@ def _rule_query(name: str) -> None:
     rule, (before, column, valid) = RULES[name], _CASES[name]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = bl.text_blocks(on_spark(spark, sf_dir, _sentences(name)))
+        rows = bl.text_blocks(spread(on_spark(spark, sf_dir, _sentences(name))))
         found = detect.as_findings(rows.withColumn("candidates", detect.rule_candidates(F.col("text"), name)))
         return found.select("doc_id", "entity_type", "start", "end", "value", "confidence", "priority", "id")
 
@@ -79,15 +85,37 @@ def detect_passport_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "c.start", "c.end", "c.value")
 
 
-_PLACES = f"SELECT k AS doc_id, 'En ' || trim(place) || '.' AS text, trim(place) AS v, k FROM ({IDS}) AS ids"
+_PLACES = f"SELECT k AS doc_id, CASE k % 2 WHEN 0 THEN 'En ' ELSE 'İİ en ' END || trim(place) || '.' AS text, trim(place) AS v, k FROM ({IDS}) AS ids"
 
 
-@query(f"SELECT doc_id, ['LOCALITY', 'LOCALITY', 'COUNTRY', 'REGION', NULL][k % 5 + 1] AS entity_type, 3 AS start, 3 + length(v)::INT AS \"end\", v AS value FROM ({on_duckdb(_PLACES)}) WHERE k % 5 < 4")
+@query(f"SELECT doc_id, ['LOCALITY', 'LOCALITY', 'COUNTRY', 'REGION', NULL][k % 5 + 1] AS entity_type, CASE k % 2 WHEN 0 THEN 3 ELSE 6 END AS start, CASE k % 2 WHEN 0 THEN 3 ELSE 6 END + length(v)::INT AS \"end\", v AS value FROM ({on_duckdb(_PLACES)}) WHERE k % 5 < 4")
 def detect_gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bl.text_blocks(on_spark(spark, sf_dir, _PLACES)).withColumn("candidates", detect.gazetteer_candidates(F.col("text")))
     return detect.as_findings(rows).select("doc_id", "entity_type", "start", "end", "value")
 
 
+_ARABIC = "translate({}, '0123456789', '٠١٢٣٤٥٦٧٨٩')"
+#: Rule: (the value in digits of another script, or with a no-break blank; when it is found).
+_UNICODE = {
+    "es_dni": (_ARABIC.format("dni"), VALID["dni"]), "social_security": (_ARABIC.format("nss"), VALID["nss"]), "credit_card": (_ARABIC.format("card"), VALID["card"]),
+    "plate": (_ARABIC.format("plate"), "true"), "es_iban": ("'ES\u00a0' || substring(iban, 3, 22)", VALID["iban"]), "email": ("'ñ' || email", "true"),
+}
+
+
+def _unicode(name: str) -> str:
+    return f"SELECT k AS doc_id, 'İ: ' || {_UNICODE[name][0]} || ', fin' AS text, {_UNICODE[name][0]} AS v, * FROM ({IDS}) AS ids"
+
+
+@query(" UNION ALL ".join(f"SELECT k AS doc_id, '{RULES[n].kind}' AS entity_type, 3 AS start, v AS value FROM ({on_duckdb(_unicode(n))}) WHERE {_UNICODE[n][1]}" for n in _UNICODE))
+def detect_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digits of other scripts, no-break blanks and letters beyond ASCII, behind a letter that lower case lengthens."""
+    parts = []
+    for name in _UNICODE:
+        rows = bl.text_blocks(spread(on_spark(spark, sf_dir, _unicode(name))))
+        parts.append(detect.as_findings(rows.withColumn("candidates", detect.rule_candidates(F.col("text"), name))).select("doc_id", "entity_type", "start", "value"))
+    return reduce(DataFrame.union, parts)
+
+
 _LEGACY = f"SELECT k AS doc_id, email || ' o ' || phone || ' o ' || dni AS text, email, phone, dni, k FROM ({IDS}) AS ids"
 
 
@@ -105,7 +133,7 @@ def detect_legacy5(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, unnest(regexp_extract_all(x, '(?i)(?:^|[^\pL\pN_.+-])([\pL\pN_.+-]+@(?:[\pL\pN_-]+\.)+[A-Z]{2,})(?:$|[^\pL\pN_-])', 1)) AS v FROM t) GROUP BY ALL""")
 def detect_email_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Email addresses of the corpus."""
-    rows = bl.text_blocks(table(spark, sf_dir, "documents"))
+    rows = bl.text_blocks(spread_table(spark, sf_dir, "documents"))
     found = detect.as_findings(rows.withColumn("candidates", detect.rule_candidates(F.col("text"), "email")))
     return found.groupBy("doc_id", F.lower("value").alias("value")).agg(F.count("*").alias("n"))
 
@@ -113,18 +141,23 @@ def detect_email_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def detect_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rules over the corpus, unresolved."""
-    found = detect.as_findings(detect.detect_rules(bl.text_blocks(table(spark, sf_dir, "documents"))))
+    found = detect.as_findings(detect.detect_rules(bl.text_blocks(spread_table(spark, sf_dir, "documents"))))
     return found.select("doc_id", "location_id", "entity_type", "start", "end", "value", "confidence", "priority")
 
 
-@query()
+@query("""
+  WITH RECURSIVE c AS (
+    SELECT doc_id, text, 0 AS start, 0 AS stop, false AS made FROM documents WHERE text IS NOT NULL
+    UNION ALL
+    SELECT doc_id, text, low, CASE WHEN low + 1800 >= len(text) THEN len(text) WHEN blank > 0 THEN low + 1800 - blank ELSE low + 1800 END, true
+    FROM (SELECT *, strpos(reverse(translate(substr(text, low + 901, 900), chr(10), ' ')), ' ') AS blank
+          FROM (SELECT *, CASE WHEN made THEN greatest(start + 1, stop - 240) ELSE 0 END AS low FROM c WHERE NOT made OR stop < len(text)))
+  )
+  SELECT doc_id, start::INT AS "offset", (stop - start)::INT AS size, md5(substr(text, start + 1, stop - start)) AS digest FROM c WHERE made""")
 def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlapping chunks of every text, through the table function."""
-    from vellum.functions.chunks import TextChunks
-
-    spark.udtf.register("text_chunks_1800", TextChunks)
-    docs = table(spark, sf_dir, "documents")
-    return spark.sql("SELECT doc_id, c.offset, length(c.chunk) AS size, md5(c.chunk) AS digest FROM {docs}, LATERAL text_chunks_1800(text, 1800, 240) AS c", docs=docs)
+    """Overlapping chunks of every text."""
+    found = chunks.text_chunks(spread_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "offset", F.length("chunk").alias("size"), F.md5(F.col("chunk").cast("binary")).alias("digest"))
 
 
 _HITS = "SELECT doc_id, 'text:body:block[0]' AS location_id, 0 AS offset, 0 AS start, CAST(3 + doc_id % 9 AS INT) AS `end`, CASE doc_id % 4 WHEN 0 THEN 'PERSON' WHEN 1 THEN 'MISC' ELSE 'LOCATION' END AS entity_type, doc_id % 100 / 100.0 AS score FROM {documents}"
@@ -139,12 +172,23 @@ def external_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.external_findings(bl.text_blocks(table(spark, sf_dir, "documents")), hits).select("doc_id", "entity_type", "start", "end", "value", "confidence")
 
 
-_CARDS = f"SELECT k AS doc_id, person || ' paga a ' || email || ' desde ' || ip || ' y ' || email AS text, person, email, ip, k FROM ({IDS}) AS ids"
-_FOUND = f"SELECT doc_id, 'EMAIL' AS entity_type, email AS value, unnest([1, 2]) AS nr, k FROM ({on_duckdb(_CARDS)}) UNION ALL SELECT doc_id, 'IP_ADDRESS', ip, 1, k FROM ({on_duckdb(_CARDS)}) WHERE {VALID['ip']}"
+_AUX = "'aux' || CAST(k AS STRING) || '@example.org'"
+_CARDS = f"""SELECT k AS doc_id, CASE WHEN k % 4 = 0 THEN {_AUX} || ', ' ELSE '' END || person || ' paga a ' || email || ' desde ' || ip || ' y ' || email || CASE WHEN k % 3 = 0 THEN ', llame al ' || phone ELSE '' END AS text,
+  person, email, {_AUX} AS aux, ip, phone, k FROM ({IDS}) AS ids"""
+_FOUND = f"""SELECT doc_id, 'EMAIL' AS entity_type, email AS value, unnest([1, 2]) AS nr, k FROM ({on_duckdb(_CARDS)}) UNION ALL SELECT doc_id, 'IP_ADDRESS', ip, 1, k FROM ({on_duckdb(_CARDS)}) WHERE {VALID['ip']}
+  UNION ALL SELECT doc_id, 'EMAIL', aux, 1, k FROM ({on_duckdb(_CARDS)}) WHERE k % 4 = 0 UNION ALL SELECT doc_id, 'ES_PHONE', phone, 1, k FROM ({on_duckdb(_CARDS)}) WHERE k % 3 = 0"""
+
+
+def _masked(email: str, aux: str, ip: str = "ip", phone: str = "phone") -> str:
+    """SQL of the text with these in place of its identifiers."""
+    return f"replace(replace(replace(replace(text, email, {email}), aux, {aux}), ip, {ip}), phone, {phone})"
+
+
+_OWN = "CASE WHEN k % 4 = 0 THEN '[EMAIL_02]' ELSE '[EMAIL_01]' END"
 
 
 def _analysed(spark: SparkSession, sf_dir: str, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
-    rows = bl.text_blocks(on_spark(spark, sf_dir, _CARDS))
+    rows = bl.text_blocks(spread(on_spark(spark, sf_dir, _CARDS)))
     findings, groups = redact.analyse(rows, **options)
     return rows, findings, groups
 
@@ -159,11 +203,19 @@ def filter_allowlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _analysed(spark, sf_dir, allowlist=("USER1@example.com", " user22@example.com "))[1].groupBy("doc_id", "entity_type", "value").agg(F.count("*").alias("n"))
 
 
+@query(f"SELECT doc_id, entity_type, value, nr FROM ({_FOUND}) WHERE value NOT IN (SELECT 'user' || c_custkey || '@example.com' FROM customer WHERE c_nationkey = 3)")
+def filter_allowlist_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same against a table of values, by an anti-join."""
+    allowed = on_spark(spark, sf_dir, "SELECT ' USER' || CAST(c_custkey AS STRING) || '@example.com' AS value FROM {customer} WHERE c_nationkey = 3")
+    found = detect.filter_allowlist(_analysed(spark, sf_dir)[1], allowed)
+    return found.select("doc_id", "entity_type", "value", F.row_number().over(W.partitionBy("doc_id", "entity_type", "value").orderBy("start")).alias("nr"))
+
+
 _MANUAL = "SELECT c_custkey AS doc_id, 'text:body:block[0]' AS location_id, CASE c_custkey % 5 WHEN 3 THEN 900 ELSE 0 END AS start, CASE c_custkey % 5 WHEN 3 THEN 905 ELSE 3 END AS `end`, CASE c_custkey % 5 WHEN 4 THEN 'NOTHING' ELSE 'PERSON' END AS entity_type, c_custkey % 2 = 0 AS all_occurrences FROM {customer}"
 
 
 @query(f"""
-  SELECT doc_id, 'ok' AS verdict, CASE WHEN k % 2 = 0 THEN (length(lower(text)) - length(replace(lower(text), 'ana', ''))) // 3 ELSE 1 END AS n FROM ({on_duckdb(_CARDS)}) WHERE k % 5 < 3
+  SELECT doc_id, 'ok' AS verdict, CASE WHEN k % 2 = 0 THEN (length(lower(text)) - length(replace(lower(text), lower(text)[1:3], ''))) // 3 ELSE 1 END AS n FROM ({on_duckdb(_CARDS)}) WHERE k % 5 < 3
   UNION ALL SELECT doc_id, 'rejected', 1 FROM ({on_duckdb(_CARDS)}) WHERE k % 5 >= 3""")
 def manual_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, rejects = detect.manual_findings(bl.text_blocks(on_spark(spark, sf_dir, _CARDS)), on_spark(spark, sf_dir, _MANUAL))
@@ -209,8 +261,8 @@ def merge_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _G = f"SELECT doc_id, entity_type, value, count(*) AS n, min(k) AS k FROM ({_FOUND}) GROUP BY doc_id, entity_type, value"
 _GID = "substr(sha256(entity_type || ':' || lower(value)), 1, 18)"
-_BAND = "CASE entity_type WHEN 'EMAIL' THEN 'validated' ELSE 'validated' END"
-_ALIAS = "CASE entity_type WHEN 'EMAIL' THEN '[EMAIL_01]' ELSE '[IP_01]' END"
+_BAND = "CASE entity_type WHEN 'ES_PHONE' THEN 'probable' ELSE 'validated' END"
+_ALIAS = f"CASE entity_type WHEN 'EMAIL' THEN CASE WHEN value LIKE 'aux%' THEN '[EMAIL_01]' ELSE {_OWN} END WHEN 'ES_PHONE' THEN '[TEL_01]' ELSE '[IP_01]' END"
 
 
 @query(f"SELECT doc_id, {_GID} AS group_id, entity_type, value, n AS occurrences, {_BAND} AS band FROM ({_G})")
@@ -249,10 +301,10 @@ def review_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.review_filter(_analysed(spark, sf_dir)[2], "EMAIL", "validated", "USER12").select("doc_id", "value")
 
 
-@query(f"SELECT doc_id, value FROM ({_FOUND}) WHERE entity_type = 'EMAIL' AND k % 10 = 0")
+@query(f"SELECT doc_id, value FROM ({_FOUND}) WHERE entity_type = 'EMAIL'")
 def group_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, findings, groups = _analysed(spark, sf_dir)
-    chosen = groups.where("entity_type = 'EMAIL' and doc_id % 10 = 0").select("doc_id", "group_id")
+    chosen = groups.where("entity_type = 'EMAIL'").select("doc_id", "group_id")
     return findings.join(chosen, ["doc_id", "group_id"]).select("doc_id", "value")
 
 
@@ -270,14 +322,14 @@ def selected_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- Decisions, redaction, verification.
 
 
-@query(f"SELECT doc_id, CASE WHEN k % 7 = 0 THEN 'unknown_group' WHEN k % 2 = 1 THEN 'nothing_selected' ELSE 'ok' END AS verdict FROM ({_G}) WHERE entity_type = 'EMAIL'")
+@query(f"SELECT DISTINCT doc_id, CASE WHEN k % 7 = 0 THEN 'unknown_group' WHEN k % 2 = 1 THEN 'nothing_selected' ELSE 'ok' END AS verdict FROM ({_G}) WHERE entity_type = 'EMAIL'")
 def validate_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = _analysed(spark, sf_dir)[2]
     made = _decisions(groups).withColumn("group_id", F.when(F.col("doc_id") % 7 == 0, "unknown").otherwise(F.col("group_id")))
     return redact.validate_decisions(groups, made).select("doc_id", "verdict")
 
 
-@query(f"SELECT doc_id, value, CASE WHEN k % 6 = 0 THEN '[CORREO]' ELSE '[EMAIL_01]' END AS replacement, count(*) AS n FROM ({_FOUND}) WHERE entity_type = 'EMAIL' AND k % 2 = 0 GROUP BY ALL")
+@query(f"SELECT doc_id, value, CASE WHEN k % 6 = 0 THEN '[CORREO]' ELSE {_ALIAS} END AS replacement, count(*) AS n FROM ({_FOUND}) WHERE entity_type = 'EMAIL' AND k % 2 = 0 GROUP BY ALL")
 def select_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, findings, groups = _analysed(spark, sf_dir)
     return redact.select_findings(findings, _decisions(groups)).groupBy("doc_id", "value", "replacement").agg(F.count("*").alias("n"))
@@ -289,7 +341,7 @@ def _redacted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
     return redact.redact_blocks(rows, chosen), findings, chosen
 
 
-@query(f"SELECT doc_id, CASE WHEN k % 6 = 0 THEN replace(text, email, '[CORREO]') WHEN k % 2 = 0 THEN replace(text, email, '[EMAIL_01]') ELSE text END AS text FROM ({on_duckdb(_CARDS)})")
+@query(f"SELECT doc_id, CASE WHEN k % 6 = 0 THEN {_masked("'[CORREO]'", "'[CORREO]'")} WHEN k % 2 = 0 THEN {_masked(_OWN, "'[EMAIL_01]'")} ELSE text END AS text FROM ({on_duckdb(_CARDS)})")
 def redact_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _redacted(spark, sf_dir)[0].select("doc_id", "text")
 
@@ -303,12 +355,14 @@ def applied_remaining(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ISSUES = "SELECT page_id AS doc_id, page_id % 3 = 0 AS blocking, page_id % 2 = 0 AS removable FROM {pages}"
 
 
-@query(f"SELECT doc_id, CASE WHEN blocking AND NOT removable THEN 'rejected_not_removable' WHEN blocking THEN 'rejected_not_removed' ELSE 'pass' END AS verdict FROM ({on_duckdb(_ISSUES)})")
+@query(f"SELECT doc_id, removal, CASE WHEN blocking AND NOT removable THEN 'rejected_not_removable' WHEN blocking AND NOT removal THEN 'rejected_not_removed' ELSE 'pass' END AS verdict FROM ({on_duckdb(_ISSUES)}), (SELECT unnest([true, false]) AS removal)")
 def coverage_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return redact.coverage_gate(on_spark(spark, sf_dir, _ISSUES), remove_unsupported=False)
+    """Both with and without the wish to remove what cannot be inspected."""
+    gate = lambda removal: redact.coverage_gate(on_spark(spark, sf_dir, _ISSUES), remove_unsupported=removal).withColumn("removal", F.lit(removal))
+    return gate(True).union(gate(False))
 
 
-@query(f"SELECT doc_id, 'text:body:block[0]' AS location_id, lower(email) AS needle FROM ({on_duckdb(_CARDS)}) WHERE k % 2 = 0 AND k % 10 = 0")
+@query(f"SELECT DISTINCT doc_id, 'text:body:block[0]' AS location_id, lower(value) AS needle FROM ({_FOUND}) WHERE entity_type = 'EMAIL' AND k % 10 = 0")
 def verify_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every tenth document is left as it was, so its emails are found."""
     redacted, _, chosen = _redacted(spark, sf_dir)
@@ -316,7 +370,7 @@ def verify_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact.verify_literal(redacted.where("doc_id % 10 <> 0").select(*kept.columns).union(kept), chosen)
 
 
-@query(f"SELECT doc_id, 'EMAIL' AS entity_type, email AS value, 2::BIGINT AS n FROM ({on_duckdb(_CARDS)}) WHERE k % 2 = 0 AND k % 10 = 0")
+@query(f"SELECT doc_id, entity_type, value, n FROM ({_G}) WHERE entity_type = 'EMAIL' AND k % 10 = 0")
 def verify_detectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     redacted, _, chosen = _redacted(spark, sf_dir)
     kept = bl.text_blocks(on_spark(spark, sf_dir, _CARDS)).where("doc_id % 10 = 0")
@@ -324,28 +378,32 @@ def verify_detectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.groupBy("doc_id", "entity_type", "value").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT doc_id, CASE WHEN {VALID['ip']} THEN replace(replace(text, email, '[EMAIL_01]'), ip, '[IP_01]') ELSE replace(text, email, '[EMAIL_01]') END AS text FROM ({on_duckdb(_CARDS)})")
+@query(f"SELECT doc_id, CASE WHEN {VALID['ip']} THEN {_masked(_OWN, "'[EMAIL_01]'", "'[IP_01]'", "'[TEL_01]'")} ELSE {_masked(_OWN, "'[EMAIL_01]'", phone="'[TEL_01]'")} END AS text FROM ({on_duckdb(_CARDS)})")
 def anonymize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole chain, every finding replaced."""
-    return redact.anonymise(bl.text_blocks(on_spark(spark, sf_dir, _CARDS))).select("doc_id", "text")
+    return redact.anonymise(bl.text_blocks(spread(on_spark(spark, sf_dir, _CARDS)))).select("doc_id", "text")
 
 
 @query()
 def anonymize_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole chain over the corpus: redacted blocks."""
-    return redact.anonymise(bl.text_blocks(table(spark, sf_dir, "documents"))).select("doc_id", "location_id", "text")
+    return redact.anonymise(bl.text_blocks(spread_table(spark, sf_dir, "documents"))).select("doc_id", "location_id", "text")
 
 
 @query()
 def anonymize_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole chain over conversations: a conversation is a document."""
-    return redact.anonymise(bl.conversation_blocks(table(spark, sf_dir, "conversations"))).select("doc_id", "location_id", "text")
+    return redact.anonymise(bl.conversation_blocks(spread_table(spark, sf_dir, "conversations"))).select("doc_id", "location_id", "text")
 
 
-@query(f"SELECT doc_id, CASE WHEN {VALID['ip']} THEN replace(replace(text, email, '[EMAIL_01]'), ip, '[IP_01]') ELSE replace(text, email, '[EMAIL_01]') END AS text FROM ({on_duckdb(_CARDS)})")
+@query(f"SELECT doc_id, CASE WHEN {VALID['ip']} THEN {_masked(_OWN, "'[EMAIL_01]'", "'[IP_01]'", "'[TEL_01]'")} ELSE {_masked(_OWN, "'[EMAIL_01]'", phone="'[TEL_01]'")} END AS text FROM ({on_duckdb(_CARDS)})")
 def redact_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The expression of the stream, in batch: one row a document."""
-    return on_spark(spark, sf_dir, _CARDS).select("doc_id", redact.redact_text(F.col("text")).alias("text"))
+    """A stream over the texts, read to its end: one row a document."""
+    scratch = Scratch(spark, "redact-stream")
+    scratch.keep(on_spark(spark, sf_dir, _CARDS).select("doc_id", "text"), "in")
+    docs = spark.readStream.schema("doc_id long, text string").parquet(f"{scratch.base}/in")
+    streams.redact_stream(docs, f"{scratch.base}/out", f"{scratch.base}/state").awaitTermination()
+    return spark.read.parquet(f"{scratch.base}/out").select("doc_id", "text")
 
 
 # --- Sources.
@@ -465,6 +523,21 @@ def observed_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.observed_users(on_spark(spark, sf_dir, _EVENTS))
 
 
+@query(_USERS)
+def observed_users_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream over the events, read to its end: the last row of each identity."""
+    scratch = Scratch(spark, "users-stream")
+    scratch.keep(on_spark(spark, sf_dir, _EVENTS), "in")
+    events = spark.readStream.schema(spark.read.parquet(f"{scratch.base}/in").schema).parquet(f"{scratch.base}/in")
+
+    def sink(rows: DataFrame, batch: int) -> None:
+        rows.withColumn("batch", F.lit(batch)).write.mode("append").parquet(f"{scratch.base}/out")
+
+    streams.observed_users_stream(events, sink, f"{scratch.base}/state").awaitTermination()
+    newest = W.partitionBy("key").orderBy(F.desc("batch"))
+    return spark.read.parquet(f"{scratch.base}/out").withColumn("n", F.row_number().over(newest)).where("n = 1").drop("n", "batch")
+
+
 @query(f"SELECT key, email FROM ({_USERS}) ORDER BY last_seen_at DESC, key")
 def users_by_recency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.users_by_recency(registry.observed_users(on_spark(spark, sf_dir, _EVENTS))).select("key", "email")

@@ -11,6 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vellum.sources.scratch import spread
+
 LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
 
 
@@ -18,6 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for work that costs much more a row than reading it, over all cores."""
+    return spread(table(spark, sf_dir, name))
+
+
 def on_spark(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Run SQL that names its tables in braces."""
     return spark.sql(sql, **{n: table(spark, sf_dir, n) for n in set(re.findall(r"\{(\w+)\}", sql))})

@@ -21,7 +21,7 @@ BLOCKS = "doc_id long, kind string, part string, block_index int, label string,
 
 def text_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kind: str = "text", part: str = "body") -> DataFrame:
     """One row for each line of a text that is not blank, with a stable location id."""
-    lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("block_index", "text"))
+    lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode_outer(F.split(F.col(text_col), "\n")).alias("block_index", "text"))
     location = F.format_string(f"{kind}:{part}:block[%d]", "block_index")
     return lines.where(F.trim("text") != "").select("doc_id", F.lit(kind).alias("kind"), F.lit(part).alias("part"), "block_index", F.lit("").alias("label"), location.alias("location_id"), "text")
 

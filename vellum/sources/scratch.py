@@ -28,8 +28,9 @@ class Scratch:
             base = "file:/tmp/checkpoints"
         self.spark, self.base = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{self.base}/{name}")
+    def keep(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """``df`` as it was written, in a folder for each value of ``by`` if that is named."""
+        (df.write.partitionBy(by) if by else df.write).parquet(f"{self.base}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.base}/{name}")
 
     def drop(self, *names: str) -> None:
