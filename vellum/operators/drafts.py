@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions.numbers import parse_decimal, within_tolerance
 from vellum.functions.text import optional_text
+from vellum.sources.scratch import Scratch
 
 TEXTS = ("supplier_name", "supplier_tax_id", "invoice_number", "invoice_date", "customer_code", "customer_name", "currency")
 NUMBERS = ("taxable_base", "tax_rate", "tax_amount", "invoice_total")
@@ -54,7 +55,8 @@ def parse_payload(payloads: DataFrame) -> DataFrame:
     rows = payloads.withColumns({"keys": F.from_json(json, KEYS), "page_warnings": warnings})
     fields = _fields(F.col("keys"), (*TEXTS, *NUMBERS, "line_items", "taxes"), PAGE_ALIASES)
     texts = {n: optional_text(fields[n]) for n in TEXTS}
-    return rows.select("doc_id", "page_no", "page_warnings", *[c.alias(n) for n, c in (fields | texts).items()])
+    status = ["status"] if "status" in payloads.columns else []
+    return rows.select("doc_id", "page_no", "page_warnings", *status, *[c.alias(n) for n, c in (fields | texts).items()])
 
 
 def _headers(pages: DataFrame, names: tuple[str, ...], value, same) -> DataFrame:
@@ -152,10 +154,10 @@ def invoice_draft(payloads: DataFrame, tolerance: float = 0.10) -> DataFrame:
 
     ``payloads`` has ``doc_id, page_no, payload, raw_text, errors`` and may have ``status``.
     """
-    pages = parse_payload(payloads)
+    pages = Scratch(payloads.sparkSession, "drafts").keep(parse_payload(payloads), "pages")  # parsed once for all that follows
     lines, taxes = draft_lines(pages, tolerance), draft_taxes(pages)
     status = F.max("status") if "status" in payloads.columns else F.lit("success")
-    base = payloads.groupBy("doc_id").agg(F.count("*").alias("pages"), F.lower(status).alias("status"))
+    base = pages.groupBy("doc_id").agg(F.count("*").alias("pages"), F.lower(status).alias("status"))
     page_warnings = pages.groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "page_warnings"))), lambda p: p["page_warnings"])).alias("page_warnings"))
     bad_taxes = taxes.groupBy("doc_id").agg(F.sum("bad").alias("bad_taxes"))
     rows = base.join(page_warnings, "doc_id", "left").join(draft_headers(pages), "doc_id", "left").join(line_totals(lines), "doc_id", "left").join(bad_taxes, "doc_id", "left")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions.numbers import decimal_es
 from vellum.sources.profiles import java_pattern
+from vellum.sources.scratch import Scratch
 
 HEADER = ("invoice_number", "invoice_date", "customer_code", "customer_name", "taxable_base", "tax_rate", "tax_amount", "invoice_total")
 NUMBERS = ("taxable_base", "tax_rate", "tax_amount", "invoice_total")
@@ -27,13 +28,14 @@ def match_provider(pages: DataFrame, profiles: list[dict]) -> tuple[DataFrame, D
     """``doc_id, profile_id`` of the first profile by name whose terms are all on the first
     pages, and the ``doc_id`` of documents that no profile fits."""
     furthest = max([p["detection"]["page_limit"] for p in profiles], default=1)
-    texts = pages.where(F.col("page_index") < furthest).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_index", F.coalesce("text", F.lit("")).alias("text")))).alias("pages"))
+    front_page = F.when(F.col("page_index") < furthest, F.struct("page_index", F.coalesce("text", F.lit("")).alias("text")))
+    texts = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(front_page)).alias("pages"))
     found = F.lit(None).cast("string")
     for p in sorted(profiles, key=lambda p: p["name"].lower(), reverse=True):
         front = F.lower(_front(p["detection"]["page_limit"]))
         fits = reduce(lambda a, b: a & b, [front.contains(t.strip().lower()) for t in p["detection"]["all_terms"]])
         found = F.when(fits, p["id"]).otherwise(found)
-    rows = pages.select("doc_id").distinct().join(texts.select("doc_id", found.alias("profile_id")), "doc_id", "left")
+    rows = texts.select("doc_id", found.alias("profile_id"))
     return rows.where("profile_id is not null"), rows.where("profile_id is null").select("doc_id")
 
 
@@ -167,12 +169,14 @@ def invoice_analysis(pages: DataFrame, profile: dict) -> tuple[DataFrame, DataFr
 
 
 def analyse_all(pages: DataFrame, profiles: list[dict]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Invoices, lines and unsupported documents of a mixed table: a branch a profile."""
+    """Invoices, lines and unsupported documents of a mixed table.
+
+    Documents are matched once and written in a folder a profile, so that each profile's
+    patterns read only their own pages, however many profiles there are.
+    """
     matched, unsupported = match_provider(pages, profiles)
-    parts = []
-    for p in profiles:
-        own = pages.join(matched.where(F.col("profile_id") == p["id"]).select("doc_id"), "doc_id", "left_semi")
-        parts.append(invoice_analysis(own, p))
+    dealt = Scratch(pages.sparkSession, "profiles").keep(pages.join(matched, "doc_id"), "pages", by="profile_id")
+    parts = [invoice_analysis(dealt.where(F.col("profile_id") == p["id"]).drop("profile_id"), p) for p in profiles]
     return reduce(DataFrame.unionByName, [a for a, _ in parts]), reduce(DataFrame.unionByName, [b for _, b in parts]), unsupported
 
 

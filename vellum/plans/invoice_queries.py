@@ -148,11 +148,11 @@ def invoice_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", (F.size("warnings") > 0).alias("warned"), "verdict")
 
 
-@query(f"SELECT provider, count(*) AS invoices, sum(n)::BIGINT AS lines FROM (SELECT 'Flat demo' AS provider, i.doc_id, t.n FROM ({_INV}) i JOIN ({_SUM}) t ON i.doc_id = t.doc_id WHERE flat AND i.doc_id % 10 <> 0 UNION ALL SELECT 'Grouped demo', doc_id, count(*) FROM ({_GROUPED_LINES}) GROUP BY doc_id) GROUP BY provider")
+@query(f"SELECT doc_id, provider, n::BIGINT AS n_lines FROM (SELECT 'Flat demo' AS provider, i.doc_id, t.n FROM ({_INV}) i JOIN ({_SUM}) t ON i.doc_id = t.doc_id WHERE flat AND i.doc_id % 10 <> 0 UNION ALL SELECT 'Grouped demo', doc_id, count(*) FROM ({_GROUPED_LINES}) GROUP BY doc_id)")
 def analyse_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table of both issuers' invoices, extracted by whichever profile fits."""
     rows, _, _ = iv.analyse_all(pages(spark, sf_dir), [FLAT, GROUPED])
-    return rows.where("verdict = 'ok'").groupBy("provider").agg(F.count("*").alias("invoices"), F.sum("n_lines").alias("lines"))
+    return rows.where("verdict = 'ok'").select("doc_id", "provider", "n_lines")
 
 
 @query(f"SELECT *, doc_id % 10 <> 0 AS detected FROM ({_ANALYSED})")
@@ -162,43 +162,53 @@ def profile_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _flat_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flat invoices' lines as a table, accepted but for every fourth in order."""
-    rows = _items(spark, sf_dir).where("doc_id % 2 = 0")
-    status = F.when(F.col("rn") % 4 == 0, "pending").when(F.col("doc_id") % 14 == 0, "pending").otherwise("accepted")
+    """All invoices' lines as a table, accepted but for every fourth in order; some invoices are put off or left out whole."""
+    rows = _items(spark, sf_dir)
+    status = F.when(F.col("doc_id") % 11 == 0, "excluded").when((F.col("rn") % 4 == 0) | (F.col("doc_id") % 14 == 0), "pending").otherwise("accepted")
     return rows.select(
         "doc_id", F.concat(F.lit("line-"), F.col("rn").cast("string")).alias("line_id"), F.format_string("u%d@x.es", "s").alias("user"), F.format_string("SVC %d", "p").alias("service"), F.col("q").cast("decimal(18,6)").alias("quantity"),
         (F.col("s") % 90 + 1.5).cast("decimal(18,6)").alias("unit_price"), (F.col("c") / 100).cast("decimal(18,6)").alias("amount"), F.lit(0.95).alias("confidence"), F.col("s").cast("string").alias("project_reference"), status.alias("status"), F.lit("").alias("comment"),
     )
 
 
-_STATUS = f"SELECT *, CASE WHEN rn % 4 = 0 OR doc_id % 14 = 0 THEN 'pending' ELSE 'accepted' END AS status FROM ({_L}) WHERE doc_id % 2 = 0"
+_STATUS = f"SELECT *, CASE WHEN doc_id % 11 = 0 THEN 'excluded' WHEN rn % 4 = 0 OR doc_id % 14 = 0 THEN 'pending' ELSE 'accepted' END AS status FROM ({_L})"
 
 
 def _bases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sums = _items(spark, sf_dir).where("doc_id % 2 = 0").groupBy("doc_id").agg(F.sum("c").alias("c"))
+    sums = _items(spark, sf_dir).groupBy("doc_id").agg(F.sum("c").alias("c"))
     off = F.when(F.col("doc_id") % 3 == 0, F.floor(F.col("c") * 0.01)).otherwise(0)
     return sums.select("doc_id", F.lit("01/02/2024").alias("invoice_date"), ((F.col("c") + off) / 100).cast("decimal(18,6)").alias("taxable_base"))
 
 
-@query(f"""SELECT doc_id, c / 100.0::DOUBLE AS line_total, (c + d) / 100.0::DOUBLE AS taxable_base, d / 100.0::DOUBLE AS absolute_difference, d * 1000 <= c + d AS matches
-  FROM (SELECT doc_id, c, CASE WHEN doc_id % 3 = 0 THEN floor(c * 0.01::DOUBLE)::BIGINT ELSE 0 END AS d FROM ({_SUM}) WHERE doc_id % 2 = 0)""")
+@query(f"""SELECT doc_id, c / 100.0::DOUBLE AS line_total, (c + d) / 100.0::DOUBLE AS taxable_base, d / 100.0::DOUBLE AS absolute_difference, d * 1000 <= c + d AS matches,
+  (d / 100.0::DOUBLE) / ((c + d) / 100.0::DOUBLE) * 100 AS percentage_difference
+  FROM (SELECT doc_id, c, CASE WHEN doc_id % 3 = 0 THEN floor(c * 0.01::DOUBLE)::BIGINT ELSE 0 END AS d FROM ({_SUM}))""")
 def reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _doubles(iv.reconcile(_bases(spark, sf_dir), _flat_lines(spark, sf_dir)).drop("percentage_difference"))
+    return _doubles(iv.reconcile(_bases(spark, sf_dir), _flat_lines(spark, sf_dir)))
 
 
 @query(f"""SELECT doc_id, 'line-' || rn AS line_id, CASE WHEN rn = 1 AND doc_id % 4 = 0 THEN 1.0 ELSE c / 100.0 END::DOUBLE AS amount, CASE WHEN rn = 1 AND doc_id % 4 = 0 THEN 'checked' ELSE '' END AS comment FROM ({_STATUS})""")
 def update_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _flat_lines(spark, sf_dir)
-    docs = lines.select("doc_id").distinct()
-    patches = docs.select("doc_id", F.when(F.col("doc_id") % 6 == 2, "line-999").otherwise("line-1").alias("line_id"), F.when(F.col("doc_id") % 4 == 0, 1.0).otherwise(-1.0).alias("amount"), F.lit("checked").alias("comment"))
-    patches = patches.where("doc_id % 4 = 2 or line_id = 'line-1'").union(docs.where("doc_id % 4 = 0 and doc_id % 6 = 2").select("doc_id", F.lit("line-1"), F.lit(1.0), F.lit("checked")))
-    changed, _ = iv.update_lines(lines, patches)
+    changed, _ = _patched(spark, sf_dir)
     return _doubles(changed.select("doc_id", "line_id", "amount", "comment"))
 
 
-@query(f"SELECT 'accepted' AS status, count(*) AS n FROM ({_STATUS})")
+def _patched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A patch an invoice: of a line that is not there, with a negative number, or right."""
+    lines = _flat_lines(spark, sf_dir)
+    docs, unknown = lines.select("doc_id").distinct(), (F.col("doc_id") % 4 == 2) & (F.col("doc_id") % 6 == 2)
+    patches = docs.select("doc_id", F.when(unknown, "line-999").otherwise("line-1").alias("line_id"), F.when(F.col("doc_id") % 4 == 0, 1.0).otherwise(-1.0).alias("amount"), F.lit("checked").alias("comment"))
+    return iv.update_lines(lines, patches)
+
+
+@query(f"SELECT DISTINCT doc_id, CASE WHEN doc_id % 4 = 2 AND doc_id % 6 = 2 THEN 'unknown_line' ELSE 'negative_number' END AS reject FROM ({_L}) WHERE doc_id % 4 <> 0")
+def update_lines_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _patched(spark, sf_dir)[1].select("doc_id", "reject")
+
+
+@query(f"SELECT doc_id, 'line-' || rn AS line_id, 'accepted' AS status FROM ({_L})")
 def accept_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return iv.accept_all(_flat_lines(spark, sf_dir)).groupBy("status").agg(F.count("*").alias("n"))
+    return iv.accept_all(_flat_lines(spark, sf_dir)).select("doc_id", "line_id", "status")
 
 
 @query(f"SELECT doc_id, count(*) FILTER (status = 'accepted') AS accepted, count(*) FILTER (status = 'pending') AS pending FROM ({_STATUS}) GROUP BY doc_id")
@@ -206,7 +216,7 @@ def pending_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iv.pending_counts(_flat_lines(spark, sf_dir))
 
 
-@query(f"SELECT doc_id, CASE WHEN count(*) FILTER (status = 'pending') > 0 THEN 'confirmation_needed' ELSE 'ok' END AS verdict FROM ({_STATUS}) GROUP BY doc_id")
+@query(f"SELECT doc_id, CASE WHEN count(*) FILTER (status = 'pending') > 0 THEN 'confirmation_needed' WHEN count(*) FILTER (status = 'accepted') = 0 THEN 'nothing_accepted' ELSE 'ok' END AS verdict FROM ({_STATUS}) GROUP BY doc_id")
 def export_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iv.export_gate(_flat_lines(spark, sf_dir), confirmed=False)
 
@@ -248,13 +258,13 @@ def provider_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = _items(spark, sf_dir).groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct("rn", F.struct(F.format_string("SVC %d", "p").alias("service"), F.col("s").cast("string").alias("reference"), F.col("q").cast("string").alias("quantity"), _es(F.floor(F.col("c") / F.col("q"))).alias("unit_price"), _es(F.floor(F.col("c") / F.col("q")) * F.col("q")).alias("amount")).alias("x")))).alias("x"),
+        F.array_sort(F.collect_list(F.struct("rn", F.struct(F.when(F.col("p") % 17 != 0, F.format_string("SVC %d", "p")).alias("service"), F.col("s").cast("string").alias("reference"), F.col("q").cast("string").alias("quantity"), _es(F.floor(F.col("c") / F.col("q"))).alias("unit_price"), _es(F.floor(F.col("c") / F.col("q")) * F.col("q")).alias("amount")).alias("x")))).alias("x"),
         F.sum(F.floor(F.col("c") / F.col("q")) * F.col("q")).alias("c"),
     )
     k, c = F.col("doc_id"), F.col("c")
     head = F.struct(
         F.lit("Emisor").alias("provider"), F.concat(F.lit("A-"), k.cast("string")).alias("invoice_number"), F.lit("01/02/2024").alias("invoice_date"), F.lit("7").alias("customer_code"), F.when(k % 4 != 0, "Firma").otherwise("n/a").alias("customer_name"), F.lit("eur").alias("currency"),
-        F.when(k % 5 != 0, _es(c)).alias("subtotal"), F.lit("10").alias("tax_rate"), _es(c * 2).alias("total"), F.array(F.struct(F.lit("IVA").alias("tax_type"), F.lit("10").alias("tax_rate"), _es(c).alias("base"), _es(c).alias("tax_amount"))).alias("taxes"),
+        F.when(k % 5 != 0, _es(F.when(k % 11 == 0, c * 2).otherwise(c))).alias("subtotal"), F.lit("10").alias("tax_rate"), _es(F.when(k % 13 == 0, c * 3).otherwise(c * 2)).alias("total"), F.array(F.struct(F.lit("IVA").alias("tax_type"), F.lit("10").alias("tax_rate"), _es(c).alias("base"), _es(c).alias("tax_amount"))).alias("taxes"),
     )
     body = F.struct(F.transform("x", lambda i: i["x"]).alias("lines"), F.when(k % 6 == 0, "Otro").alias("provider"), F.array(F.struct(F.lit("IVA").alias("tax_type"), F.lit("10,0").alias("rate"), _es(c).alias("taxable_base"), _es(c).alias("amount"))).alias("taxes"))
     first = sums.select("doc_id", F.lit(1).alias("page_no"), F.to_json(head).alias("payload"), F.lit(None).cast("string").alias("raw_text"), F.array().cast("array<string>").alias("errors"))
@@ -262,7 +272,8 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.union(second)
 
 
-_D = f"SELECT doc_id, sum(c // q * q)::BIGINT AS c, count(*) AS n FROM ({_L}) GROUP BY doc_id"
+_D = f"""SELECT *, CASE WHEN doc_id % 11 = 0 AND doc_id % 5 <> 0 THEN c * 2 ELSE c END AS base, CASE WHEN doc_id % 13 = 0 THEN c * 3 ELSE c * 2 END AS total
+  FROM (SELECT doc_id, sum(c // q * q)::BIGINT AS c, count(*) FILTER (p % 17 <> 0) AS n, count(*) FILTER (p % 17 = 0) AS nameless FROM ({_L}) GROUP BY doc_id)"""
 
 
 @query(f"SELECT doc_id, u AS page_no, CASE u WHEN 1 THEN 'Emisor' WHEN 2 THEN CASE WHEN doc_id % 6 = 0 THEN 'Otro' END END AS supplier_name, CASE WHEN u = 2 AND doc_id % 7 = 0 THEN 1 ELSE 0 END AS warnings FROM (SELECT doc_id, unnest([1, 2]) AS u FROM ({_D}))")
@@ -270,18 +281,25 @@ def parse_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dr.parse_payload(payloads(spark, sf_dir)).select("doc_id", "page_no", "supplier_name", F.size("page_warnings").alias("warnings"))
 
 
-@query(f"SELECT doc_id, 'Emisor' AS value, CASE WHEN doc_id % 6 = 0 THEN 'Valores contradictorios para supplier_name: p.1: Emisor, p.2: Otro.' END AS warning FROM ({_D})")
+_TEXTS = {"supplier_name": "'Emisor'", "invoice_number": "'A-' || doc_id", "invoice_date": "'01/02/2024'", "customer_code": "'7'", "customer_name": "CASE WHEN doc_id % 4 <> 0 THEN 'Firma' END", "currency": "'eur'"}
+_CLASH = "CASE WHEN doc_id % 6 = 0 THEN 'Valores contradictorios para supplier_name: p.1: Emisor, p.2: Otro.' END"
+
+
+@query(" UNION ALL ".join(f"SELECT doc_id, '{n}' AS field, {_TEXTS.get(n, 'NULL')}::VARCHAR AS value, {_CLASH if n == 'supplier_name' else 'NULL::VARCHAR'} AS warning FROM ({_D})" for n in dr.TEXTS))
 def header_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dr.header_text(dr.parse_payload(payloads(spark, sf_dir))).where("field = 'supplier_name'").select("doc_id", "value", "warning")
+    return dr.header_text(dr.parse_payload(payloads(spark, sf_dir))).select("doc_id", "field", "value", "warning")
+
+
+_AMOUNTS = {"taxable_base": "CASE WHEN doc_id % 5 <> 0 THEN base / 100.0 END", "tax_rate": "10", "invoice_total": "total / 100.0"}
 
 
-@query(f"SELECT doc_id, c * 2 / 100.0::DOUBLE AS value FROM ({_D})")
+@query(" UNION ALL ".join(f"SELECT doc_id, '{n}' AS field, {_AMOUNTS.get(n, 'NULL')}::DOUBLE AS value FROM ({_D})" for n in dr.NUMBERS))
 def header_decimal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = dr.header_decimal(dr.parse_payload(payloads(spark, sf_dir))).where("field = 'invoice_total'")
-    return found.select("doc_id", F.col("value").cast("double").alias("value"))
+    found = dr.header_decimal(dr.parse_payload(payloads(spark, sf_dir)))
+    return found.select("doc_id", "field", F.col("value").cast("double").alias("value"))
 
 
-@query(f"SELECT doc_id, rn - 1 AS at, 'SVC ' || p AS description, s::VARCHAR AS project_reference, q::DOUBLE AS quantity, (c // q) / 100.0::DOUBLE AS unit_price, (c // q * q) / 100.0::DOUBLE AS amount, 0 AS warnings FROM ({_L})")
+@query(f"SELECT doc_id, rn - 1 AS at, CASE WHEN p % 17 <> 0 THEN 'SVC ' || p END AS description, s::VARCHAR AS project_reference, q::DOUBLE AS quantity, (c // q) / 100.0::DOUBLE AS unit_price, (c // q * q) / 100.0::DOUBLE AS amount, (p % 17 = 0)::INT AS warnings FROM ({_L})")
 def draft_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dr.draft_lines(dr.parse_payload(payloads(spark, sf_dir)))
     return _doubles(found.select("doc_id", F.col("at").cast("long").alias("at"), "description", "project_reference", "quantity", "unit_price", "amount", F.size("warnings").alias("warnings")))
@@ -292,18 +310,18 @@ def draft_taxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _doubles(dr.draft_taxes(dr.parse_payload(payloads(spark, sf_dir))).select("doc_id", "page_no", "tax_type", "rate", "amount"))
 
 
-@query(f"SELECT doc_id, c / 100.0::DOUBLE AS taxable_base, 10::DOUBLE AS tax_rate, c / 100.0::DOUBLE AS tax_amount FROM ({_D})")
+@query(f"SELECT doc_id, base / 100.0::DOUBLE AS taxable_base, 10::DOUBLE AS tax_rate, c / 100.0::DOUBLE AS tax_amount FROM ({_D})")
 def backfill_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = dr.parse_payload(payloads(spark, sf_dir))
     return _doubles(dr.backfill_totals(dr.draft_headers(parsed), dr.draft_taxes(parsed)).select("doc_id", "taxable_base", "tax_rate", "tax_amount"))
 
 
-@query(f"SELECT doc_id, c / 100.0::DOUBLE AS line_total, n AS complete, 0::BIGINT AS pending FROM ({_D})")
+@query(f"SELECT doc_id, c / 100.0::DOUBLE AS line_total, n AS complete, nameless AS pending FROM ({_D})")
 def line_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _doubles(dr.line_totals(dr.draft_lines(dr.parse_payload(payloads(spark, sf_dir)))).select("doc_id", "line_total", "complete", "pending"))
 
 
-_READY = "doc_id % 4 <> 0 AND doc_id % 6 <> 0 AND doc_id % 7 <> 0"
+_READY = "doc_id % 4 <> 0 AND doc_id % 6 <> 0 AND doc_id % 7 <> 0 AND nameless = 0 AND base = c AND base + c = total"
 
 
 @query(f"SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'customer_name' ELSE '' END AS missing FROM ({_D})")
@@ -311,7 +329,7 @@ def missing_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dr.invoice_draft(payloads(spark, sf_dir)).select("doc_id", F.array_join("missing", ",").alias("missing"))
 
 
-@query(f"SELECT doc_id, true AS lines_match, true AS total_match FROM ({_D})")
+@query(f"SELECT doc_id, base = c AS lines_match, base + c = total AS total_match FROM ({_D})")
 def draft_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dr.invoice_draft(payloads(spark, sf_dir)).select("doc_id", "lines_match", "total_match")
 
@@ -321,7 +339,7 @@ def ready_for_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dr.invoice_draft(payloads(spark, sf_dir)).select("doc_id", "ready")
 
 
-@query(f"SELECT doc_id, 2::BIGINT AS pages, 'Emisor' AS supplier_name, 'A-' || doc_id AS invoice_number, 'EUR' AS currency, c * 2 / 100.0::DOUBLE AS invoice_total, n AS complete, (CASE WHEN doc_id % 6 = 0 THEN 1 ELSE 0 END + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END)::INT AS warnings, {_READY} AS ready FROM ({_D})")
+@query(f"SELECT doc_id, 2::BIGINT AS pages, 'Emisor' AS supplier_name, 'A-' || doc_id AS invoice_number, 'EUR' AS currency, total / 100.0::DOUBLE AS invoice_total, n AS complete, ((doc_id % 6 = 0)::INT + (doc_id % 7 = 0)::INT + (base <> c)::INT + (base + c <> total)::INT)::INT AS warnings, {_READY} AS ready FROM ({_D})")
 def invoice_draft(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dr.invoice_draft(payloads(spark, sf_dir))
     return _doubles(found.select("doc_id", "pages", "supplier_name", "invoice_number", "currency", "invoice_total", "complete", F.size("warnings").alias("warnings"), "ready"))
