@@ -160,7 +160,7 @@ def test_linked_objects_are_coverage_issues(spark):
     rows = [(k, "word/document.xml", part(v)) for k, v in bodies.items()] + [("a", "word/header1.xml", part("<w:object/>")), ("f", "word/styles.xml", part("<w:object/>")), ("g", "ppt/slides/slide1.xml", part("<w:object/>"))]
     parts = spark.createDataFrame(rows, "name string, part string, xml string")
     got = {r.name: r for r in bl.coverage_issues(parts, "name").collect()}
-    assert {k: (r.kind, r.blocking, r.parts) for k, r in got.items()} == {"a": ("linked_object", True, 2), "b": ("linked_object", True, 1), "c": ("linked_object", True, 1)}
+    assert {k: (r.kind, r.blocking, r.parts) for k, r in got.items()} == {"a": ("linked_object", True, 2), "b": ("linked_object", True, 1), "c": ("linked_object", True, 1), "e": ("unreadable_part", True, 1)}
     assert got["a"].id == hashlib.sha256(b"linked_object:word/document.xml:word/header1.xml").hexdigest()[:18]
 
 

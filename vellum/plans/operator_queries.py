@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Callable
 from functools import reduce
+from xml.sax.saxutils import escape
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from vellum.functions import chunks
 from vellum.functions import text as tx
@@ -16,7 +21,6 @@ from vellum.operators import templates as tp
 from vellum.operators.rules import RULES
 from vellum.plans.seeds import IDS, VALID, on_duckdb, on_spark, spread_table, table
 from vellum.sources import blocks as bl
-from vellum.sources import profiles as pf
 from vellum.sources.scratch import Scratch, spread
 from vellum.streaming import streams
 
@@ -441,6 +445,60 @@ def gazetteer_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(F.broadcast(bl.gazetteer_dim(spark)), "name").groupBy("entity_type").agg(F.count("*").alias("n"))
 
 
+@F.pandas_udf(BinaryType())
+def _docx(paragraph: pd.Series, head: pd.Series, cell: pd.Series, linked: pd.Series) -> pd.Series:
+    """Office files of a paragraph and a table row; every part but the text is left out."""
+
+    def one(values: tuple) -> bytes:
+        out, texts = io.BytesIO(), [f"<w:p><w:r><w:t>{escape(v)}</w:t></w:r></w:p>" for v in values[:3]]
+        row = "".join(f"<w:tc>{t}</w:tc>" for t in texts[1:])
+        body = f"{texts[0]}<w:tbl><w:tr>{row}</w:tr></w:tbl>{'<w:altChunk/>' if values[3] else ''}"
+        with zipfile.ZipFile(out, "w") as archive:
+            archive.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>')
+            archive.writestr("word/header1.xml", "<w:hdr" if values[3] else "<hdr/>")
+        return out.getvalue()
+
+    return pd.Series([one(v) for v in zip(paragraph, head, cell, linked, strict=True)])
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = on_spark(spark, sf_dir, "SELECT c_name || '.docx' AS name, c_name, '<' || c_mktsegment || '>' AS head, CAST(c_acctbal AS STRING) AS cell, c_custkey % 9 = 0 AS linked FROM {customer}")
+    return rows.select("name", _docx("c_name", "head", "cell", "linked").alias("content"))
+
+
+@query("""SELECT c_name || '.docx' AS name, u AS block_index, CASE u WHEN 2 THEN 'Documento · ' || left('<' || c_mktsegment || '>', 80) ELSE 'Documento' END AS label, 'word/document.xml:paragraph[' || u || ']' AS location_id,
+  [c_name, '<' || c_mktsegment || '>', c_acctbal::VARCHAR][u + 1] AS text FROM (SELECT *, unnest([0, 1, 2]) AS u FROM customer)""")
+def ooxml_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Office files made of customers, unzipped and read again."""
+    return bl.ooxml_blocks(bl.ooxml_parts(_files(spark, sf_dir))).select("name", "block_index", "label", "location_id", "text")
+
+
+@query("""SELECT c_name || '.docx' AS name, k AS kind, substr(sha256(k || ':' || CASE k WHEN 'linked_object' THEN 'word/document.xml' ELSE 'word/header1.xml' END), 1, 18) AS id, 1 AS parts
+  FROM (SELECT *, unnest(['linked_object', 'unreadable_part']) AS k FROM customer) WHERE c_custkey % 9 = 0""")
+def coverage_issues_ooxml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files' content that no rule can inspect."""
+    return bl.coverage_issues(bl.ooxml_parts(_files(spark, sf_dir)), "name").select("name", "kind", "id", "parts")
+
+
+@query(f"SELECT doc_id, 'text' AS kind, doc_id || '_anonimizado.text' AS file, text FROM ({ORACLES['anonymize']})")
+def write_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Redacted blocks written and read again."""
+    path = f"{Scratch(spark, 'redacted').base}/out"
+    bl.write_redacted(redact.anonymise(bl.text_blocks(spread(on_spark(spark, sf_dir, _CARDS)))), path)
+    return spark.read.parquet(path).select("doc_id", "kind", "file", "text")
+
+
+@query("SELECT page_id AS doc_id, (page_id % 3)::INT AS page_index, html AS text, u AS form FROM pages, (SELECT unnest(['parquet', 'json']) AS u)")
+def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page texts from Parquet and from JSON lines."""
+    base = Scratch(spark, "pages").base
+    rows = on_spark(spark, sf_dir, "SELECT page_id AS doc_id, page_id % 3 AS page_index, html AS text FROM {pages}")
+    rows.write.parquet(f"{base}/pages")
+    rows.write.json(f"{base}/pages.json")
+    parts = [bl.page_texts(spark, f"{base}/{p}").withColumn("form", F.lit(form)) for p, form in (("pages", "parquet"), ("pages.json", "json"))]
+    return reduce(DataFrame.union, parts)
+
+
 # --- Templates: a paragraph a customer, its marker cut into runs as its key says.
 
 _BRACES = "replace(replace({}, '<<', chr(123) || chr(123)), '>>', chr(125) || chr(125))"

@@ -5,13 +5,14 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import StringType
 
 from vellum.functions import text as tx
 from vellum.operators.rules import GAZETTEERS
@@ -39,24 +40,37 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(tx.safe_name(F.col("path")).alias("name"), F.col("length").alias("size"), "content")
 
 
-def _unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for name, content in zip(batch["name"], batch["content"], strict=True):
-            try:
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    for item in archive.infolist():
-                        if not item.is_dir():
-                            text = archive.read(item).decode("utf-8", "replace") if item.filename.endswith(".xml") else ""
+#: Bytes that one archive may expand to; beyond them its parts are listed without their text.
+EXPANDED_LIMIT = 60 << 20
+
+
+def _unzip(limit: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, content in zip(batch["name"], batch["content"], strict=True):
+                rows = []
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                        items = [item for item in archive.infolist() if not item.is_dir()]
+                        whole = sum(item.file_size for item in items) <= limit
+                        for item in items:
+                            text = archive.read(item).decode("utf-8", "replace") if whole and item.filename.endswith(".xml") else None
                             rows.append((name, item.filename, item.file_size, text))
-            except zipfile.BadZipFile:
-                continue
-        yield pd.DataFrame(rows, columns=["name", "part", "size", "xml"])
+                except (zipfile.BadZipFile, NotImplementedError, RuntimeError, EOFError, zlib.error):
+                    rows = []
+                if rows:
+                    yield pd.DataFrame(rows, columns=["name", "part", "size", "xml"])
 
+    return run
 
-def ooxml_parts(files: DataFrame) -> DataFrame:
-    """``name, part, size, xml`` of the parts of zipped office files; other files have none."""
-    return files.select("name", "content").mapInPandas(_unzip, "name string, part string, size long, xml string")
+
+def ooxml_parts(files: DataFrame, expanded_limit: int = EXPANDED_LIMIT) -> DataFrame:
+    """``name, part, size, xml`` of the parts of zipped office files.
+
+    Other files, damaged and encrypted archives have none.  Only XML parts have their
+    text, and none has in an archive whose parts exceed ``expanded_limit`` together.
+    """
+    return files.select("name", "content").mapInPandas(_unzip(expanded_limit), "name string, part string, size long, xml string")
 
 
 # The parts that hold text, and their labels.
@@ -97,18 +111,29 @@ def _walk(node: ElementTree.Element, label: str, inside: bool) -> Iterator[tuple
         yield from _walk(child, label, inside)
 
 
+def _parsed(xml: str) -> ElementTree.Element | None:
+    try:
+        return ElementTree.fromstring(re.sub(r"<!DOCTYPE[^>]*>", "", xml))
+    except ElementTree.ParseError:
+        return None
+
+
 def _paragraphs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for name, part, label, xml in zip(batch["name"], batch["part"], batch["label"], batch["xml"], strict=True):
-            for i, (own, text) in enumerate(_walk(ElementTree.fromstring(re.sub(r"<!DOCTYPE[^>]*>", "", xml)), label, False)):
+            root = _parsed(xml) if xml is not None else None
+            for i, (own, text) in enumerate(_walk(root, label, False) if root is not None else ()):
                 if text.strip():
                     rows.append((name, "docx" if part.startswith("word/") else "pptx", part, i, own, text))
         yield pd.DataFrame(rows, columns=["name", "kind", "part", "block_index", "label", "text"])
 
 
 def ooxml_blocks(parts: DataFrame) -> DataFrame:
-    """Paragraphs of the text parts; the cells of a row after its first are labelled by the first."""
+    """Paragraphs of the text parts; the cells of a row after its first are labelled by the first.
+
+    Parts without text or that are no XML give no blocks; :func:`coverage_issues` names them.
+    """
     texts = parts.where(F.col("part").rlike(TEXT_PARTS)).select("name", "part", part_label(F.col("part")).alias("label"), "xml")
     found = texts.mapInPandas(_paragraphs, "name string, kind string, part string, block_index int, label string, text string")
     location = F.when(F.col("kind") == "docx", F.format_string("%s:paragraph[%d]", "part", "block_index")).otherwise(F.format_string("%s:%s:block[%d]", "kind", "part", "block_index"))
@@ -134,32 +159,31 @@ BLIP = "{http://schemas.openxmlformats.org/drawingml/2006/main}blip"
 BLIP_LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}link"
 
 
-def _links(xml: str) -> bool:
-    try:
-        root = ElementTree.fromstring(re.sub(r"<!DOCTYPE[^>]*>", "", xml))
-    except ElementTree.ParseError:
-        return False
-    return any(node.tag in LINKING or node.tag == BLIP and BLIP_LINK in node.attrib for node in root.iter() if node is not root)
+def _hidden(xml: str | None) -> str | None:
+    root = _parsed(xml) if xml is not None else None
+    if root is None:
+        return "unreadable_part"
+    linked = any(node.tag in LINKING or node.tag == BLIP and BLIP_LINK in node.attrib for node in root.iter() if node is not root)
+    return "linked_object" if linked else None
 
 
-@F.pandas_udf(BooleanType())
-def links_out(xml: pd.Series) -> pd.Series:
-    """Whether a text part refers to linked pictures, objects or chunks of other formats."""
-    return xml.map(lambda x: bool(x) and _links(x)).astype(bool)
+@F.pandas_udf(StringType())
+def hidden_content(xml: pd.Series) -> pd.Series:
+    """What keeps a text part from being wholly inspected: linked pictures, objects or chunks of other formats, or that it is no XML."""
+    return xml.map(_hidden).astype(object)
 
 
 def coverage_issues(parts: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Content of each document that no rule can inspect, by kind, with a stable id.
 
-    Linked objects are found where ``parts`` has the column ``xml`` of :func:`ooxml_parts`.
+    Linked objects and text parts that cannot be read are found where ``parts`` has the
+    column ``xml`` of :func:`ooxml_parts`.
     """
     name = F.col("part")
     linked = F.lit(None).cast("string")
     if "xml" in parts.columns:
-        # Only text parts that hold one of the words are parsed.
-        xml = F.when(name.startswith("word/") & name.rlike(TEXT_PARTS) & F.col("xml").rlike("object|altChunk|blip"), F.col("xml"))
-        parts = parts.withColumn("linked", links_out(xml))
-        linked = F.when(F.col("linked"), "linked_object")
+        parts = parts.withColumn("hidden", F.when(name.rlike(TEXT_PARTS), hidden_content(F.when(name.rlike(TEXT_PARTS), F.col("xml")).otherwise("<x/>"))))
+        linked = F.when((F.col("hidden") != "linked_object") | name.startswith("word/"), F.col("hidden"))
     kinds = F.filter(
         F.array(
             F.when(name.startswith("word/media/") | name.startswith("ppt/media/"), "image"),
@@ -181,9 +205,12 @@ def gazetteer_dim(spark: SparkSession) -> DataFrame:
 
 
 def write_redacted(redacted: DataFrame, path: str) -> None:
-    """Redacted blocks as Parquet by kind, each with the name its file would have."""
-    named = redacted.withColumn("file", F.format_string("%d_anonimizado.%s", "doc_id", "kind"))
-    named.write.mode("overwrite").partitionBy("kind").parquet(path)
+    """Redacted blocks as Parquet by kind, each with the name its file would have.
+
+    That is the stem of ``name`` where the blocks have one, else the document's id.
+    """
+    own = tx.output_filename(F.col("name"), "anonimizado") if "name" in redacted.columns else F.format_string("%d_anonimizado.%s", "doc_id", "kind")
+    redacted.withColumn("file", own).write.mode("overwrite").partitionBy("kind").parquet(path)
 
 
 def page_texts(spark: SparkSession, path: str) -> DataFrame:
