@@ -22,6 +22,7 @@ from vellum.llm.permindex import nearest_neighbours
 from vellum.llm.quality import FactorisationMachine, score_quality
 from vellum.llm.templates import drop_templates
 from vellum.llm.tokencount import count_spliced, count_tokens, counter
+from vellum.llm._words import word_hashes
 from vellum.llm.vafile import exact_top_k
 
 BYTE_BPE = str(public_tokenizers.path("byte_bpe_50k.json"))
@@ -334,6 +335,56 @@ def test_passages_repeated_within_a_document(spark):
     assert left[2].split() == "kan lor mis".split() * 9 and left[3].startswith(texts[2][1].split("\n")[0])
 
 
+def brute_spans(texts, least):
+    """Spans by plain dictionaries of word tuples; only where a piece is cut comes from the words' hashes."""
+    seen = {}
+    for doc, text in texts:
+        if doc is None or text is None:
+            continue
+        words = [(m.start(), m.end(), re.sub("[A-Z]", lambda c: c[0].lower(), m[0])) for m in re.finditer(r"[^\x20\x09-\x0d]+", text)]
+        if len(words) < least:
+            continue
+        ends = [next(iter(word_hashes(pa.array([w]))))[2][0] & np.uint64(3) == 0 for _, _, w in words]
+        feeds = [text[a[1] : b[0]].count("\n") for a, b in zip(words, words[1:], strict=False)]
+        inner = range(1, len(words))
+        units = set()
+        for kind in (lambda i: feeds[i - 1] > 0, lambda i: feeds[i - 1] > 1):
+            cuts = [0, *[i for i in inner if kind(i)], len(words)]
+            units |= {(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if b - a >= least}
+        cuts = [0, *[i for i in inner if ends[i - 1] or feeds[i - 1] > 0], len(words)]
+        units |= {(a, min(long)) for a in cuts if (long := [b for b in cuts if b - a >= least])}
+        for a, b in units:
+            seen.setdefault(tuple(w for _, _, w in words[a:b]), []).append((doc, words[a][0], words[b - 1][1]))
+    spans = {}
+    for places in seen.values():
+        first = min(places)
+        for doc, start, end in places:
+            if doc > first[0] or start >= first[2]:
+                spans.setdefault(doc, []).append((start, end, first[0]))
+    out = []
+    for doc, own in spans.items():
+        merged = []
+        for start, end, kept in sorted(own):
+            if merged and start <= merged[-1][1]:
+                merged[-1] = [merged[-1][0], max(merged[-1][1], end), min(merged[-1][2], kept)]
+            else:
+                merged.append([start, end, kept])
+        out += [(doc, *m) for m in merged]
+    return sorted(out)
+
+
+def test_passages_match_brute_force(spark):
+    rng = random.Random(23)
+    shared = [prose(rng, n) for n in (26, 30, 60, 12)]
+    texts = [(50, None), (51, ""), (52, " \n ")]
+    for i in range(30):
+        parts = [rng.choice(shared) if rng.random() < 0.5 else prose(rng, rng.randrange(1, 40)) for _ in range(rng.randrange(1, 7))]
+        texts.append((i, "".join(p + rng.choice([" ", "\n", "\n\n", "\n \n", "  "]) for p in parts)))
+    texts.append((60, texts[5][1].upper()))
+    got = sorted((r.doc_id, r.start, r.end, r.kept_doc_id) for r in repeated_spans(frame(spark, texts)).collect())
+    assert got == brute_spans(texts, 25) and len(got) > 15
+
+
 def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("dim", F.lit("x")).withColumn("ids", F.lit(1)).withColumn("q", F.lit(2))
 
