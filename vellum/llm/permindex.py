@@ -11,6 +11,8 @@ every vector, so that reading them by id would move each of them many times.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -64,10 +66,16 @@ def footrules(index: bytes, order: np.ndarray, pivots: int, count: int) -> np.nd
     rows = np.frombuffer(index, np.int32, count * prefix, 4 * pivots)
     places = np.frombuffer(index, np.int16, count * prefix, 4 * (pivots + count * prefix))
     spans = [slice(ends[p], ends[p + 1]) for p in order]
-    own = np.repeat(np.arange(prefix), [s.stop - s.start for s in spans])
-    hit, at = np.concatenate([rows[s] for s in spans]), np.concatenate([places[s] for s in spans]).astype(np.int64)
-    saved = (prefix - own) + (prefix - at) - np.abs(own - at)
-    return prefix * (prefix + 1) - np.bincount(hit, saved, count).astype(np.int64)
+    own = np.repeat(np.arange(prefix, dtype=np.int32) * prefix, [s.stop - s.start for s in spans])
+    hit, at = np.concatenate([rows[s] for s in spans]), np.concatenate([places[s] for s in spans])
+    return prefix * (prefix + 1) - np.bincount(hit, savings(prefix)[own + at], count).astype(np.int32)
+
+
+@lru_cache(maxsize=4)
+def savings(prefix: int) -> np.ndarray:
+    """What a shared pivot takes off the greatest distance, by its two places."""
+    own, at = np.arange(prefix)[:, None], np.arange(prefix)[None]
+    return ((prefix - own) + (prefix - at) - np.abs(own - at)).astype(np.float64).ravel()
 
 
 def nearest_neighbours(vectors: DataFrame, *, every: int = 100, k: int = 10, pivots: int = PIVOTS, prefix: int = PREFIX, rerank: float = RERANK, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -98,7 +106,7 @@ def nearest_neighbours(vectors: DataFrame, *, every: int = 100, k: int = 10, piv
         for i, q in enumerate(one.tolist()):
             near = np.arange(len(ids))
             if lists:
-                near = np.argsort(footrules(lists, orders[i], len(own), len(ids)).astype(np.int32), kind="stable")[:take]
+                near = np.argsort(footrules(lists, orders[i], len(own), len(ids)), kind="stable")[:take]
             near = near[ids[near] != q]
             far = np.sqrt(((data[near].astype(np.float64) - queries[i]) ** 2).sum(1))
             order = np.lexsort((ids[near], far))
