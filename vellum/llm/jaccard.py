@@ -42,6 +42,8 @@ COUNT_FRAGMENTS = 16
 ID_BYTES = 16
 #: Classes and shingles of a block of a component whose links are counted, and shingles of a product.
 LINK_BLOCK, LINK_SHINGLES, LINK_WIDTH = 512, 1 << 20, 4096
+#: A component has up to so many blocks of so many classes before its blocks grow, so that its pairs are spread over tasks.
+LINK_SPREAD, LINK_LEAST = 8, 64
 #: Widths of the size classes; at least the largest ratio of sizes a link can bridge.
 SIZE_RATIO = 1.5
 
@@ -217,7 +219,7 @@ def link_counts(roots: DataFrame, segments: DataFrame, num: int, den: int) -> Da
     """``node, links``: the links of each class of ``roots(node, root)``, all pairs of each component compared."""
     sizes = segments.groupBy("cls").agg(F.first("n").alias("n"))
     blocks = roots.join(sizes, F.col("node") == F.col("cls")).groupBy("root").agg(F.count("*").alias("members"), F.sum("n").alias("total"))
-    blocks = blocks.select("root", "members", F.greatest(F.ceil(F.col("members") / LINK_BLOCK), F.ceil(F.col("total") / LINK_SHINGLES)).cast("int").alias("blocks"))
+    blocks = blocks.select("root", "members", F.greatest(F.ceil(F.col("members") / LINK_BLOCK), F.least(F.lit(LINK_SPREAD), F.ceil(F.col("members") / LINK_LEAST)), F.ceil(F.col("total") / LINK_SHINGLES)).cast("int").alias("blocks"))
     placed = roots.join(blocks, "root")
     two = placed.where("members = 2").select("node", F.lit(1).cast("long").alias("links"))
     placed = placed.where("members > 2").select("node", "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
