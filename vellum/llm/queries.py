@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import mixing, templates
+from vellum.llm import bitplanes, mixing, templates
 from vellum.llm.jaccard import jaccard_components
 from vellum.llm.langid import identify
 from vellum.llm.packing import pack_documents
@@ -81,6 +81,11 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.drop_templates(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.col("text"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forty centroids of the vectors of 64 components, five rounds, exact."""
+    return bitplanes.cluster(_table(spark, sf_dir, "embeddings"), k=40, rounds=5, seed=2, scale=256)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -92,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_line_templates": op10_line_templates,
+    "op11_centroid_clustering": op11_centroid_clustering,
 }
 
 #: DuckDB SQL for the queries that SQL can express over whole tables.
@@ -110,4 +116,5 @@ SELECT query_id, rank, vec_id, score FROM (
 """,
     "op7_mix_sources": mixing.SQL,
     "op10_line_templates": templates.SQL,
+    "op11_centroid_clustering": bitplanes.sql(),
 }
