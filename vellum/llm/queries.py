@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import bitplanes, mixing, templates
+from vellum.llm import bitplanes, mixing, templates, treap
 from vellum.llm.jaccard import jaccard_components
 from vellum.llm.langid import identify
 from vellum.llm.packing import pack_documents
@@ -86,6 +86,11 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplanes.cluster(_table(spark, sf_dir, "embeddings"), k=40, rounds=5, seed=2, scale=256)
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifty documents of greatest score for each item of the benchmark."""
+    return treap.ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=50)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -98,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_line_templates": op10_line_templates,
     "op11_centroid_clustering": op11_centroid_clustering,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 #: DuckDB SQL for the queries that SQL can express over whole tables.
@@ -117,4 +123,5 @@ SELECT query_id, rank, vec_id, score FROM (
     "op7_mix_sources": mixing.SQL,
     "op10_line_templates": templates.SQL,
     "op11_centroid_clustering": bitplanes.sql(),
+    "op13_ranked_search": treap.SQL,
 }
