@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.llm import bitplanes, mixing, templates, treap
+from vellum.llm.htmltext import extract
 from vellum.llm.jaccard import jaccard_components
 from vellum.llm.langid import identify
 from vellum.llm.packing import pack_documents
@@ -86,6 +87,11 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplanes.cluster(_table(spark, sf_dir, "embeddings"), k=40, rounds=5, seed=2, scale=256)
 
 
+def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fifty documents of greatest score for each item of the benchmark."""
     return treap.ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=50)
@@ -103,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_line_templates": op10_line_templates,
     "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_html_text": op12_html_text,
     "op13_ranked_search": op13_ranked_search,
 }
 
