@@ -475,6 +475,19 @@ def _without_broadcast(monkeypatch, frame_of):
         return frame_of().collect()
 
 
+def test_lines_are_dropped_in_linear_time(spark):
+    import time
+
+    line = lambda i: f"{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]} {i % 7} of {'uvwxyzabcd'[i // 100 % 10]} things seen here"
+    long = "\n".join(line(i) for i in range(200_000))
+    table = spark.createDataFrame([(i, long if i == 9 else "\n".join(line(j) for j in range(1000))) for i in range(10)], "doc_id long, text string")
+    began = time.perf_counter()
+    got = {r["doc_id"]: r for r in drop_templates(table).collect()}
+    assert time.perf_counter() - began < 60
+    assert got[9]["n_lines"] == 200_000 == got[9]["n_dropped"] and got[9]["text"] == "" and got[0]["n_dropped"] == 0
+
+
+
 def test_mixing_budgets(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "w " * (1 + i % 3), "abc"[i % 3], "xy"[i % 2]) for i in range(60)] + [(90, None, "a", "x"), (None, "w", None, "y"), (91, "", "c", None)], "doc_id long, text string, lang string, source string")
     docs = docs.withColumn("tokens", F.lit("q")).withColumn("range", F.lit(1)).withColumn("budget", F.lit(2))

@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm._store import Scratch, small
@@ -32,8 +32,8 @@ BLANKS = r"[ \t\r\f]+"
 FIELD = r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*"
 #: What a token with a digit becomes.
 HOLE = "<*>"
-#: Bytes of a row of each table that may be broadcast.
-KIND_BYTES, GONE_BYTES = 48, 96
+#: Bytes of a row of the kinds, which may be broadcast, and of a document's dropped lines: its own and those of each.
+KIND_BYTES, GONE_BYTES, LINE_BYTES = 48, 64, 4
 
 
 def template_lines(docs: DataFrame, *, lead: int = LEAD) -> DataFrame:
@@ -111,8 +111,14 @@ def drop_templates(docs: DataFrame, *, min_docs: int = MIN_DOCS, lead: int = LEA
     gone = slim.join(small(found, KIND_BYTES), ["leaf", "line"]).where(F.col("doc_id").isNull() | (F.col("doc_id") > F.col("first")))
     gone = scratch.keep(gone.groupBy("doc").agg(F.array_sort(F.collect_set("line_no")).alias("gone")), "gone")
     scratch.drop("lines", "pairs", "kinds", "leaves", "open", "words", "constant", "forms", "groups", "settled", "found")
-    out = rows.withColumn("doc", F.xxhash64("doc_id", "text")).join(small(gone, GONE_BYTES), "doc", "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n")
+    out = rows.withColumn("doc", F.xxhash64("doc_id", "text")).join(small(gone, F.size("gone") * LINE_BYTES + GONE_BYTES), "doc", "left")
+
+    def others(parts: Column) -> Column:
+        """What is left of a text's lines; the difference of two sets of numbers keeps their order."""
+        left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone"))
+        return F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n")
+
+    kept = F.element_at(F.transform(F.array(F.split("text", "\n")), others), 1)  # the text is split once
     feeds = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
     return out.select(
         "doc_id",
