@@ -4,7 +4,8 @@ Rows are packed where they lie into blocks of bounded size: ids, an index, and w
 an operator asks for it the vectors themselves, in their own precision.
 Queries are dealt to blocks of bounded size by hash.  Each pair of a query block and
 a row block is one row of a join on the pair's numbers, so no task holds more than
-two blocks at a time and nothing passes through the driver.
+two blocks at a time and nothing passes through the driver.  There are as many lanes as
+the table is long, so that more rows give more tasks.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-#: Rows of a row block and of a query block; row blocks are spread over so many lanes of each query block.
-ROW_BLOCK, QUERY_BLOCK, LANES = 8192, 512, 16
+#: Rows of a row block and of a query block; a query block meets so many row blocks in a lane, and there are so many lanes at least.
+ROW_BLOCK, QUERY_BLOCK, PER_LANE, LANES = 8192, 512, 4, 16
 
 BLOCK = "dim int, ids binary, data binary, index binary"
 
@@ -73,16 +74,23 @@ def pack(size: int, dtype: str | None, index: Callable):
     return run
 
 
-def search(rows: DataFrame, queries: DataFrame, *, index: Callable, answer: Callable, schema: str, dtype: str | None = None) -> DataFrame:
+def lanes_of(total: int) -> int:
+    """Lanes of a table of ``total`` rows."""
+    return max(LANES, -(-total // (ROW_BLOCK * PER_LANE)))
+
+
+def search(rows: DataFrame, queries: DataFrame, *, index: Callable, answer: Callable, schema: str, dtype: str | None = None, total: int | None = None) -> DataFrame:
     """``answer(query ids, queries, row ids, rows, index)`` for each pair of blocks.
 
     ``answer`` gives the columns of ``schema`` for one pair of blocks of one dimension;
     its ``rows`` are ``None`` without ``dtype``, and then no vector of a row is moved.
+    ``total`` is the number of rows, if it is known.
     """
     count = queries.count()
+    lanes = lanes_of(rows.count() if total is None else total)
     blocks = max(1, -(-count // QUERY_BLOCK))
     packed = rows.mapInArrow(pack(ROW_BLOCK, dtype, index), BLOCK)
-    packed = packed.withColumn("lane", F.pmod(F.crc32("ids"), F.lit(LANES)).cast("int")).select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("q"))
+    packed = packed.withColumn("lane", F.pmod(F.crc32("ids"), F.lit(lanes)).cast("int")).select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("q"))
     dealt = queries.withColumn("q", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
 
     def gather(table: pa.Table) -> pa.Table:
@@ -93,7 +101,7 @@ def search(rows: DataFrame, queries: DataFrame, *, index: Callable, answer: Call
         return pa.table({"q": pa.array([q] * out.num_rows, pa.int32()), "dim_q": out["dim"], "ids_q": out["ids"], "data_q": out["data"]})
 
     asked = dealt.groupBy("q").applyInArrow(gather, "q int, dim_q int, ids_q binary, data_q binary")
-    asked = asked.select("*", F.explode(F.sequence(F.lit(0), F.lit(LANES - 1))).alias("lane"))
+    asked = asked.select("*", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"))
     pairs = asked.join(packed, ["q", "lane"]).where("dim = dim_q").select("dim", "ids_q", "data_q", "ids", "data", "index")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

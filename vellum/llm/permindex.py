@@ -92,7 +92,8 @@ def nearest_neighbours(vectors: DataFrame, *, every: int = 100, k: int = 10, piv
     rows = clean(vectors, id_col, vector_col).where(F.exists("v", lambda x: x != 0))
     drawn = rows.orderBy(F.xxhash64(F.lit("pivot"), "vec_id"), "vec_id").limit(SAMPLE).collect()
     base = {dim: choose_pivots(np.array([r["v"] for r in drawn if len(r["v"]) == dim]), pivots) for dim in {len(r["v"]) for r in drawn}}
-    share = rerank / max(1, rows.count()) ** 0.5
+    total = rows.count()
+    share = rerank / max(1, total) ** 0.5
 
     def index(data: np.ndarray) -> bytes:
         own = base.get(data.shape[1])
@@ -117,6 +118,6 @@ def nearest_neighbours(vectors: DataFrame, *, every: int = 100, k: int = 10, piv
             out.append((np.full(len(found), q, np.int64), found, far))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[c] for o in out])) for c in range(3)], names=["query_id", "vec_id", "score"])
 
-    found = search(rows, rows.where(F.col("vec_id") % every == 0), dtype=precision(vectors, vector_col), index=index, answer=answer, schema="query_id long, vec_id long, score double")
+    found = search(rows, rows.where(F.col("vec_id") % every == 0), dtype=precision(vectors, vector_col), index=index, answer=answer, schema="query_id long, vec_id long, score double", total=total)
     by = W.partitionBy("query_id").orderBy("score", "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
