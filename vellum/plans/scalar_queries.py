@@ -40,8 +40,19 @@ FROM {customer}
 KINDS = "'EMAIL', 'PERSON', 'LOCALITY', 'LOCATION', 'CUSTOMKIND', 'AGE'"
 GAPS = "SELECT o_orderkey AS k, CAST(o_orderkey % 50 AS DECIMAL(18,6)) AS expected, CAST(o_orderkey % 50 + o_orderkey % 3 * 0.02 AS DECIMAL(18,6)) AS actual FROM {orders}"
 
-# Fixed values of the checks: accents and what they fold to.
-_FOLD = f"translate(lower(v), '{tx.MARKED}', '{tx.PLAIN}')"
+def _quoted(v: str) -> str:
+    return "'" + v.replace("'", "''") + "'"
+
+
+def _replaced(v: str, pairs: list[tuple[str, str]]) -> str:
+    for old, new in pairs:
+        v = f"replace({v}, {_quoted(old)}, {_quoted(new)})"
+    return v
+
+
+_PLAIN = f"lower(replace(translate(v, {_quoted(tx.MARKED)}, {_quoted(tx.PLAIN)}), 'İ', 'I'))"
+_USUAL = _replaced(f"translate(nfc_normalize(v), {_quoted(tx.FORMS)}, {_quoted(tx.USUAL)})", tx.WIDER)
+_FOLD = rf"trim(regexp_replace(lower({_USUAL}), '[ \t\n\x0B\f\r\x85\x{{a0}}\x{{2028}}\x{{2029}}]+', ' ', 'g'))"
 _DEC_ES = r"TRY_CAST(CASE WHEN contains(t, ',') THEN replace(replace(t, '.', ''), ',', '.') ELSE t END AS DECIMAL(18,6))"
 _PARSE = r"""CASE k % 8 WHEN 0 THEN m * 1000 + r + c / 100 WHEN 1 THEN m * 1000 + r + c / 100 WHEN 2 THEN m + c / 100 WHEN 3 THEN m * 1000 + r
   WHEN 4 THEN m WHEN 5 THEN r / 1000 WHEN 6 THEN m + c / 100 END"""
@@ -68,8 +79,8 @@ SPECS: dict[str, Spec] = {
       SELECT k, CASE WHEN s > 64 THEN '…' ELSE '' END || replace(substr(v, greatest(0, s - 64) + 1, least(length(v), e + 64) - greatest(0, s - 64)), chr(10), ' ') || CASE WHEN e + 64 < length(v) THEN '…' ELSE '' END AS snippet FROM s"""),
     "finding_id": (TEXTS, lambda: {"id": tx.finding_id(F.lit("body:0"), F.lit("EMAIL"), c("s"), c("e"), F.substring(c("v"), c("s") + 1, F.lit(5)), F.lit("rules"))}, """
       SELECT k, substr(sha256('body:0:EMAIL:' || s || ':' || e || ':' || substr(v, s + 1, 5) || ':rules'), 1, 20) AS id FROM s"""),
-    "fold": (TEXTS, lambda: {"folded": tx.fold(c("v"))}, rf"SELECT k, trim(regexp_replace(lower(v), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS folded FROM s"),
-    "accentless": (TEXTS, lambda: {"plain": tx.accentless(c("v"))}, f"SELECT k, {_FOLD} AS plain FROM s"),
+    "fold": (TEXTS, lambda: {"folded": tx.fold(c("v"))}, f"SELECT k, {_FOLD} AS folded FROM s"),
+    "accentless": (TEXTS, lambda: {"plain": tx.accentless(c("v"))}, f"SELECT k, {_PLAIN} AS plain FROM s"),
     "money_words": (WORDS, lambda: {"v": c("v"), "n": numbers.money_words(c("v"))}, "SELECT k, v, (CASE k % 4 WHEN 0 THEN nu * 1000 + nt WHEN 1 THEN nu WHEN 2 THEN 1000 + nu ELSE nu * 1000000 END)::BIGINT AS n FROM s"),
     "money_number": (NUMBERS, lambda: {"v": c("v"), "n": numbers.money_number(c("v")).cast("double")}, f"SELECT s.k, v, n FROM s JOIN (SELECT k, ({_MONEY})::DOUBLE AS n FROM ({_PARTS})) p ON s.k = p.k"),
     "canonical_value": (IDS, lambda: {"dni_key": tx.canonical_value(F.lit("ES_DNI"), c("dni")), "company_key": tx.canonical_value(F.lit("ORGANIZATION"), c("company")), "money_key": tx.canonical_value(F.lit("MONEY"), c("money")), "person_key": tx.canonical_value(F.lit("PERSON"), c("person"))}, r"""
