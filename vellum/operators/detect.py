@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from vellum.functions import text as tx
 from vellum.functions.checks import valid_passport
-from vellum.functions.spans import SPAN, spans
+from vellum.functions.scan import cut, let, pieces, running, window
+from vellum.functions.spans import SPAN, marked, placed, spans
 from vellum.operators.rules import GAZETTEER_REASON, GAZETTEER_SOURCE, GAZETTEERS, LEGACY, MANUAL_SOURCE, PASSPORT_VALUE, RULE_SOURCE, RULES
 
 CANDIDATE = "struct<entity_type:string,start:int,end:int,value:string,confidence:double,priority:int,ord:int,sources:array<string>,reason:string>"
@@ -51,14 +52,53 @@ def rule_spans(text: Column, name: str) -> Column:
 
 
 def rule_candidates(text: Column, name: str) -> Column:
-    rule = RULES[name]
-    return _candidates(rule_spans(text, name), rule.kind, rule.confidence, rule.priority, list(RULES).index(name), RULE_SOURCE, rule.reason)
+    return _rule_candidates(text, None, [name])
+
+
+#: What candidates of each rule in order, and of passports by label, have in common.
+_COMMON = [(r.kind, r.confidence, r.priority, r.reason) for r in RULES.values()] + [("PASSPORT", 0.92, 92, "Numero de pasaporte en una celda etiquetada como pasaporte.")]
+
+
+def _rule_candidates(text: Column, label: Column | None, names: list[str]) -> Column:
+    """Candidates of several rules: each rule only marks the text, and one expression makes candidates of all marks."""
+    orders = [list(RULES).index(n) for n in names]
+    entries = [F.struct(F.lit(o).alias("ord"), F.when(text.rlike(RULES[n].guard), marked(text, RULES[n].pattern, RULES[n].group)).alias("held")) for o, n in zip(orders, names, strict=True)]
+    if label is not None:
+        orders.append(len(RULES))
+        entries.append(F.struct(F.lit(len(RULES)).alias("ord"), F.when(_asks_for_passport(label), marked(text, PASSPORT_VALUE)).alias("held")))
+    common = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(c).alias("confidence"), F.lit(p).alias("priority"), F.lit(why).alias("reason")) for k, c, p, why in _COMMON])
+
+    def valid(ord_: Column, value: Column) -> Column:
+        out = F.lit(True)
+        for o in orders:
+            check = RULES[list(RULES)[o]].validator if o < len(RULES) else valid_passport
+            if check is not None:
+                out = F.when(ord_ == o, F.coalesce(check(value), F.lit(False))).otherwise(out)
+        return out
+
+    def of(entry: Column) -> Column:
+        about = F.get(common, entry["ord"])
+
+        def one(s: Column) -> Column:
+            return F.struct(
+                about["kind"].alias("entity_type"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"),
+                about["confidence"].alias("confidence"), about["priority"].alias("priority"), entry["ord"].alias("ord"),
+                F.array(F.lit(RULE_SOURCE)).alias("sources"), about["reason"].alias("reason"),
+            ).cast(CANDIDATE)
+
+        return F.transform(F.filter(placed(entry["held"], text), lambda s: valid(entry["ord"], s["value"])), one)
+
+    return F.flatten(F.transform(F.filter(F.array(*entries), lambda e: F.size(e["held"]["parts"]) > 2), of))
+
+
+def _asks_for_passport(label: Column) -> Column:
+    return tx.accentless(F.coalesce(label, F.lit(""))).contains("pasaporte")
 
 
 def labelled_passports(text: Column, label: Column) -> Column:
     """Bare numbers in a block whose label names a passport, unless the rule found some."""
     bare = _valid(spans(text, PASSPORT_VALUE), valid_passport)
-    asked = tx.accentless(F.coalesce(label, F.lit(""))).contains("pasaporte") & (F.size(rule_spans(text, "passport")) == 0)
+    asked = _asks_for_passport(label) & (F.size(rule_spans(text, "passport")) == 0)
     found = F.when(asked, bare).otherwise(F.array().cast(SPAN))
     return _candidates(found, "PASSPORT", 0.92, 92, len(RULES), RULE_SOURCE, "Numero de pasaporte en una celda etiquetada como pasaporte.")
 
@@ -70,26 +110,40 @@ def _any_of(names: Iterable[str]) -> str:
 def gazetteer_candidates(text: Column) -> Column:
     """Places of the local gazetteers as whole words, whatever their case and marks."""
     every = _any_of(n for names, _ in GAZETTEERS.values() for n in names)
+    common = F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(confidence).alias("confidence")) for kind, (_, confidence) in GAZETTEERS.items()])
+
+    def places(held: Column) -> Column:
+        folded, parts = held["folded"], held["parts"]
+        entries = [F.struct(F.lit(i).alias("at"), marked(folded, _any_of(names)).alias("held")) for i, (names, _) in enumerate(GAZETTEERS.values())]
+
+        def of(entry: Column) -> Column:
+            about = F.get(common, entry["at"])
+            return F.transform(
+                placed(entry["held"], folded),
+                lambda s: F.struct(
+                    about["kind"].alias("entity_type"), s["start"].alias("start"), s["end"].alias("end"), window(parts, s["start"], s["end"]).alias("value"),
+                    about["confidence"].alias("confidence"), F.lit(65).alias("priority"), (entry["at"] + len(RULES) + 1).alias("ord"),
+                    F.array(F.lit(GAZETTEER_SOURCE)).alias("sources"), F.lit(GAZETTEER_REASON).alias("reason"),
+                ).cast(CANDIDATE),
+            )
 
-    def places(folded: Column) -> Column:
-        out = []
-        for i, (kind, (names, confidence)) in enumerate(GAZETTEERS.items()):
-            pattern = _any_of(names)
-            found = F.transform(spans(folded, pattern), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("value")))
-            out.append(_candidates(found, kind, confidence, 65, len(RULES) + 1 + i, GAZETTEER_SOURCE, GAZETTEER_REASON))
-        return F.when(folded.rlike(every), F.concat(*out)).otherwise(F.array().cast(NONE))
+        return F.flatten(F.transform(F.array(*entries), of))
 
-    return tx.let(tx.accentless(text), places)
+    def some(folded: Column) -> Column:
+        held = F.struct(folded.alias("folded"), pieces(text).alias("parts"))
+        return F.when(folded.rlike(every), let(held, places)).otherwise(F.array().cast(NONE))
+
+    return let(tx.accentless(text), some)
 
 
 def candidates(text: Column, label: Column, rules: Iterable[str] = tuple(RULES), gazetteers: bool = True) -> Column:
     """Every rule's, labelled passports' and gazetteers' candidates of a block."""
-    parts = [rule_candidates(text, name) for name in rules]
-    if "passport" in set(rules):
-        parts.append(labelled_passports(text, label))
-    if gazetteers:
-        parts.append(gazetteer_candidates(text))
-    return F.coalesce(F.concat(*parts), F.array().cast(NONE))
+    names = list(rules)
+    found = _rule_candidates(text, label if "passport" in names else None, names)
+    if "passport" in names:  # bare numbers count only where the rule has found none
+        ruled = list(RULES).index("passport")
+        found = let(found, lambda all_: F.when(F.exists(all_, lambda c: c["ord"] == ruled), F.filter(all_, lambda c: c["ord"] != len(RULES))).otherwise(all_))
+    return F.coalesce(F.concat(found, gazetteer_candidates(text)) if gazetteers else found, F.array().cast(NONE))
 
 
 @lru_cache(maxsize=16)
@@ -120,15 +174,27 @@ def filter_allowlist(findings: DataFrame, allowlist: DataFrame) -> DataFrame:
     return findings.join(allowed, F.trim(F.lower("value")) == F.col("_allowed"), "left_anti")
 
 
+def bunches(found: Column) -> Column:
+    """Candidates by position, in bunches that do not overlap: those of a bunch are joined by overlaps."""
+    ordered = F.array_sort(F.transform(found, lambda c: F.struct(c["start"].alias("s"), c["end"].alias("e"), c.alias("c"))))
+
+    def of(ordered: Column) -> Column:
+        ends = running(F.transform(ordered, lambda x: x["e"]), F.lit(0), lambda a, b: F.greatest(a, b))
+        return let(ends, lambda ends: cut(ordered, lambda v, i: F.get(v, i)["s"] >= F.get(ends, i)))
+
+    return F.transform(let(ordered, of), lambda bunch: F.transform(bunch, lambda x: x["c"]))
+
+
 def as_findings(blocks: DataFrame, column: str = "candidates") -> DataFrame:
     """One row a finding, with its id and context.
 
     The outer form of explode keeps the optimiser from asking for the size of the
     candidates in a filter of its own, which would detect them twice.
     """
-    out = blocks.select("doc_id", "location_id", "part", "block_index", "text", F.explode_outer(column).alias("c")).where("c is not null").select("doc_id", "location_id", "part", "block_index", "text", "c.*")
+    found = F.explode_outer(tx.with_snippets(F.col("text"), F.col(column)))
+    out = blocks.select("doc_id", "location_id", "part", "block_index", found.alias("f")).where("f is not null").select("doc_id", "location_id", "part", "block_index", "f.c.*", "f.context")
     fid = tx.finding_id(F.col("location_id"), F.col("entity_type"), F.col("start"), F.col("end"), F.col("value"), F.element_at("sources", 1))
-    return out.withColumns({"id": fid, "context": tx.context_snippet(F.col("text"), F.col("start"), F.col("end"))}).drop("text")
+    return out.withColumn("id", fid)
 
 
 def detect_legacy5(blocks: DataFrame) -> DataFrame:
@@ -141,10 +207,15 @@ def detect_legacy5(blocks: DataFrame) -> DataFrame:
         parts.append(_candidates(found, kind, confidence, -i, i, RULE_SOURCE, ""))
     rows = blocks.withColumn("all", F.coalesce(F.concat(*parts), F.array().cast(NONE)))
     free = lambda acc, c: ~F.exists(acc, lambda a: (c["start"] < a["end"]) & (c["end"] > a["start"]))
-    kept = F.aggregate("all", F.array().cast(NONE), lambda acc, c: F.when(free(acc, c), F.concat(acc, F.array(c))).otherwise(acc))
-    rows = rows.select("doc_id", "location_id", "text", F.explode_outer(kept).alias("c")).where("c is not null").select("doc_id", "location_id", "text", "c.*")
+
+    def earlier(bunch: Column) -> Column:
+        by_rule = F.transform(F.array_sort(F.transform(bunch, lambda c: F.struct(c["ord"].alias("o"), c["start"].alias("s"), c.alias("c")))), lambda x: x["c"])
+        return F.aggregate(by_rule, F.array().cast(NONE), lambda acc, c: F.when(free(acc, c), F.concat(acc, F.array(c))).otherwise(acc))
+
+    kept = tx.with_snippets(F.col("text"), F.flatten(F.transform(bunches(F.col("all")), earlier)), 44)
+    rows = rows.select("doc_id", "location_id", F.explode_outer(kept).alias("f")).where("f is not null").select("doc_id", "location_id", "f.c.*", "f.context")
     legacy_id = F.substring(F.sha2(F.concat_ws(":", "location_id", "entity_type", "start", "end", "value").cast("binary"), 256), 1, 20)
-    return rows.select("doc_id", "location_id", legacy_id.alias("id"), "entity_type", "start", "end", "value", "confidence", tx.context_snippet(F.col("text"), F.col("start"), F.col("end"), 44).alias("context"))
+    return rows.select("doc_id", "location_id", legacy_id.alias("id"), "entity_type", "start", "end", "value", "confidence", "context")
 
 
 def external_findings(blocks: DataFrame, hits: DataFrame, source: str = "external", least: float = 0.45) -> DataFrame:
@@ -175,9 +246,10 @@ def manual_findings(blocks: DataFrame, manual: DataFrame) -> tuple[DataFrame, Da
     spread = good.join(blocks, "doc_id").where(F.col("all_occurrences") | (F.col("asked_at") == F.col("location_id")))
     gaps = F.split(tx.same_length_lower(F.col("text")), F.concat(F.lit(r"\Q"), tx.same_length_lower(F.col("value")), F.lit(r"\E")), -1)
     size = F.length("value")
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("found"))
-    step = lambda acc, g: F.struct((acc["at"] + F.length(g) + size).alias("at"), F.concat(acc["found"], F.array(F.struct((acc["at"] + F.length(g)).alias("start"), (acc["at"] + F.length(g) + size).alias("end")))).alias("found"))
-    every = F.aggregate(F.slice(gaps, F.lit(1), F.size(gaps) - 1), first, step, lambda acc: acc["found"])
+    # Each gap but the last is followed by the value: a place is the sum of the gaps before it and of as many values.
+    ends = running(F.transform(gaps, F.length), F.lit(0), lambda a, b: a + b)
+    places = lambda ends: F.transform(F.slice(ends, F.lit(2), F.size(ends) - 2), lambda e, i: F.struct((e + size * i).alias("start"), (e + size * (i + 1)).alias("end")))
+    every = let(ends, places)
     one = F.array(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end")))
     rows = spread.withColumn("s", F.explode(F.when(F.col("all_occurrences"), every).otherwise(one)))
     value = F.substring(F.col("text"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellum.functions import text as tx
+from vellum.functions.scan import cut
 from vellum.functions.spans import replace_spans
 from vellum.operators import resolve as rs
 from vellum.operators.detect import as_findings, candidates, detect_rules, filter_candidates
@@ -76,20 +80,25 @@ def anonymise(blocks: DataFrame, categories: tuple[str, ...] = (), allowlist: tu
     return redact_blocks(blocks, findings.withColumn("replacement", F.col("alias")))
 
 
-def redact_text(text: Column) -> Column:
-    """One whole document in one row: its redacted text, aliases numbered within the row.
+def redact_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Whole documents, one a row, with their text redacted, aliases numbered within the row.
 
     Without a shuffle, so it serves streams: number ``n`` of a prefix is the count of
-    different groups of that prefix that appear up to there.
+    different groups of that prefix that appear up to there.  Findings are sorted by
+    group, and groups by prefix and first appearance; their places are their numbers.
+    A null text stays null.
     """
-    from vellum.functions import text as tx
-
-    found = rs.resolve(candidates(text, F.lit("")))
-    keyed = F.transform(found, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), tx.prefix_of(c["entity_type"]).alias("prefix"), F.concat_ws(":", c["entity_type"], tx.canonical_value(c["entity_type"], c["value"])).alias("key")))
-    firsts = F.aggregate(keyed, F.array().cast("array<struct<prefix:string,key:string>>"), lambda acc, k: F.when(F.exists(acc, lambda a: a["key"] == k["key"]), acc).otherwise(F.concat(acc, F.array(F.struct(k["prefix"].alias("prefix"), k["key"].alias("key"))))))
-
-    def item(k: Column) -> Column:
-        own = F.filter(firsts, lambda f: f["prefix"] == k["prefix"])
-        return F.struct(k["start"].alias("start"), k["end"].alias("end"), F.format_string("[%s_%02d]", k["prefix"], F.array_position(F.transform(own, lambda f: f["key"]), k["key"])).alias("text"))
-
-    return replace_spans(text, F.transform(keyed, item))
+    text = F.col(text_col)
+    keyed = lambda c: F.struct(tx.prefix_of(c["entity_type"]).alias("prefix"), F.concat_ws(":", c["entity_type"], tx.canonical_value(c["entity_type"], c["value"])).alias("key"), c["start"].alias("start"), c["end"].alias("end"))
+    changes = lambda *names: lambda v, i: reduce(lambda a, b: a | b, [F.get(v, i)[n] != F.get(v, i - 1)[n] for n in names])
+    group = lambda g: F.struct(F.get(g, 0)["prefix"].alias("prefix"), F.get(g, 0)["start"].alias("first"), g.alias("items"))
+
+    def numbered(g: Column, n: Column) -> Column:
+        return F.transform(g["items"], lambda k: F.struct(k["start"].alias("start"), k["end"].alias("end"), F.format_string("[%s_%02d]", g["prefix"], n + 1).alias("text")))
+
+    out = docs.withColumn("_found", candidates(text, F.lit("")))
+    out = out.withColumn("_found", rs.resolve(F.col("_found")))
+    out = out.withColumn("_found", F.array_sort(F.transform("_found", keyed)))
+    out = out.withColumn("_found", F.array_sort(F.transform(cut(F.col("_found"), changes("prefix", "key")), group)))
+    out = out.withColumn("_found", F.flatten(F.transform(cut(F.col("_found"), changes("prefix")), lambda own: F.flatten(F.transform(own, numbered)))))
+    return out.withColumn(text_col, replace_spans(text, F.col("_found"))).drop("_found")

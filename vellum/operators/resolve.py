@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vellum.functions import text as tx
-from vellum.operators.detect import NONE
+from vellum.operators.detect import NONE, bunches
 
 
 def resolve(found: Column) -> Column:
@@ -15,7 +15,14 @@ def resolve(found: Column) -> Column:
 
     Authority is priority, confidence, length, then position and order of emission.  A
     candidate that overlaps an accepted one only adds its evidence to the first it overlaps.
+    Each bunch of overlapping candidates is resolved by itself, so time grows with the
+    candidates of a block, and with the square only of those in a chain of overlaps.
     """
+    alone = lambda bunch: F.when(F.size(bunch) == 1, bunch).otherwise(_resolve_bunch(bunch))
+    return F.flatten(F.transform(bunches(found), alone))
+
+
+def _resolve_bunch(found: Column) -> Column:
     ranked = F.array_sort(
         F.transform(found, lambda c: F.struct((-c["priority"]).alias("p"), (-c["confidence"]).alias("q"), (c["start"] - c["end"]).alias("l"), c["start"].alias("s"), c["ord"].alias("o"), c.alias("c")))
     )

@@ -5,10 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from vellum.operators.redact import redact_text
+from vellum.operators.redact import redact_texts
 from vellum.operators.registry import identities, seen
 
 
@@ -22,5 +21,5 @@ def observed_users_stream(events: DataFrame, sink: Callable[[DataFrame, int], No
 
 def redact_stream(docs: DataFrame, path: str, checkpoint: str, text_col: str = "text") -> StreamingQuery:
     """Whole documents redacted as they arrive, appended as Parquet; stateless."""
-    redacted = docs.withColumn(text_col, redact_text(F.col(text_col)))
+    redacted = redact_texts(docs, text_col)
     return redacted.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
