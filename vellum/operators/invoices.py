@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import json
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vellum.functions.numbers import decimal_es
 from vellum.sources.profiles import java_pattern
-from vellum.sources.scratch import Scratch
+from vellum.sources.scratch import BROADCAST_BYTES, Scratch
 
 HEADER = ("invoice_number", "invoice_date", "customer_code", "customer_name", "taxable_base", "tax_rate", "tax_amount", "invoice_total")
 NUMBERS = ("taxable_base", "tax_rate", "tax_amount", "invoice_total")
@@ -18,24 +23,103 @@ MISMATCH = "El detalle no coincide con el resumen del servicio."
 NOT_EXACT = "La suma extraída no coincide exactamente con la base imponible."
 
 
-def _front(limit: int) -> Column:
-    """The first pages of ``pages`` as one text."""
-    first = F.filter("pages", lambda x: x["page_index"] < limit)
-    return F.array_join(F.transform(first, lambda x: x["text"]), "\n")
+#: A profile as a row: its patterns in the JVM's syntax, with the numbers of their groups.
+_CAPTURE = "struct<pattern:string,`group`:int,after:int,required:boolean,following:boolean>"
+_PATTERN = "struct<pattern:string,groups:map<string,int>>"
+_PATTERNS = ("user_pattern", "summary_pattern", "detail_pattern", "row_pattern", "project_reference_pattern")
+SPEC = (
+    f"struct<name:string,header_page:int,{','.join(f'{f}:{_CAPTURE}' for f in HEADER)},flat:boolean,line_page:int,"
+    f"{','.join(f'{p}:{_PATTERN}' for p in _PATTERNS)},service_names:array<string>>"
+)
+#: Bytes of a row of a table of profiles that may be broadcast.
+SPEC_BYTES = 16 << 10
+
+
+def _capture_spec(capture: dict | None) -> dict | None:
+    if capture is None:
+        return None
+    pattern, names = java_pattern(capture["pattern"])
+    group = capture.get("group", "value")
+    return {
+        "pattern": pattern, "group": int(group) if group.isdigit() else names[group], "after": re.compile(capture["pattern"]).groups + 1,
+        "required": capture.get("required", True), "following": bool(capture.get("join_following_line")),
+    }
+
+
+def _spec(profile: dict) -> dict:
+    lines = profile["lines"]
+    made = {p: dict(zip(("pattern", "groups"), java_pattern(lines[p]), strict=True)) if lines.get(p) else None for p in _PATTERNS}
+    header = {f: _capture_spec(profile["header"].get(f)) for f in HEADER}
+    flat = lines["mode"] != "grouped_detail"
+    return {"name": profile["name"], "header_page": profile["header"]["page"], "flat": flat, "line_page": lines["page"], "service_names": [s.lower() for s in lines["service_names"]]} | header | made
+
+
+def profile_table(spark: SparkSession, profiles: list[dict]) -> DataFrame:
+    """``profile_id, spec``: profiles as data, so that a plan is as large for a thousand as for one."""
+    return spark.createDataFrame([(p["id"], _spec(p)) for p in profiles], f"profile_id string, spec {SPEC}")
+
+
+def _with_specs(pages: DataFrame, profiles: list[dict]):
+    """Adds ``spec`` to rows that have a ``profile_id``: of one profile as constants, of several by a join."""
+    if len(profiles) == 1:
+        spec = F.from_json(F.lit(json.dumps(_spec(profiles[0]))), SPEC)
+        return lambda rows: rows.withColumn("spec", spec)
+    table = profile_table(pages.sparkSession, profiles)
+    if len(profiles) * SPEC_BYTES <= BROADCAST_BYTES:
+        table = F.broadcast(table)
+    return lambda rows: rows.join(table, "profile_id")
+
+
+def _find_profiles(profiles: list[dict]):
+    """Front pages to the first profile by name whose terms are all there.
+
+    The terms of all profiles are one automaton, which reads a text once and gives the
+    first end of each term; a term counts for a profile if it ends within its pages.
+    """
+    ordered = sorted(profiles, key=lambda p: p["name"].lower())
+    owners: dict[str, list[int]] = {}
+    needs = []
+    for n, p in enumerate(ordered):
+        terms = {t.strip().lower() for t in p["detection"]["all_terms"]}
+        needs.append((len(terms), p["detection"]["page_limit"], p["id"]))
+        for t in terms:
+            owners.setdefault(t, []).append(n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for t in owners:
+            if t:
+                automaton.add_word(t, t)
+        automaton.make_automaton()
+        for batch in batches:
+            found = []
+            for pages in batch.column("pages").to_pylist():
+                ends, at = [], -1  # where each page ends in the text of all, and its number
+                for page in pages:
+                    at += 1 + len(page["text"])
+                    ends.append((page["page_index"], at))
+                first = {"": 0}
+                for end, term in automaton.iter("\n".join(p["text"] for p in pages)) if len(automaton) else ():
+                    first.setdefault(term, end + 1)
+                counts: Counter = Counter()
+                for term, end in first.items():
+                    for n in owners.get(term, ()):
+                        counts[n] += end <= max((e for i, e in ends if i < needs[n][1]), default=0)
+                found.append(next((needs[n][2] for n in sorted(counts) if counts[n] == needs[n][0]), None))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.string())], names=["doc_id", "profile_id"])
+
+    return run
 
 
 def match_provider(pages: DataFrame, profiles: list[dict]) -> tuple[DataFrame, DataFrame]:
     """``doc_id, profile_id`` of the first profile by name whose terms are all on the first
     pages, and the ``doc_id`` of documents that no profile fits."""
     furthest = max([p["detection"]["page_limit"] for p in profiles], default=1)
-    front_page = F.when(F.col("page_index") < furthest, F.struct("page_index", F.coalesce("text", F.lit("")).alias("text")))
+    front_page = F.when(F.col("page_index") < furthest, F.struct("page_index", F.lower(F.coalesce("text", F.lit(""))).alias("text")))
     texts = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(front_page)).alias("pages"))
-    found = F.lit(None).cast("string")
-    for p in sorted(profiles, key=lambda p: p["name"].lower(), reverse=True):
-        front = F.lower(_front(p["detection"]["page_limit"]))
-        fits = reduce(lambda a, b: a & b, [front.contains(t.strip().lower()) for t in p["detection"]["all_terms"]])
-        found = F.when(fits, p["id"]).otherwise(found)
-    rows = texts.select("doc_id", found.alias("profile_id"))
+    rows = texts.mapInArrow(_find_profiles(profiles), f"doc_id {dict(pages.dtypes)['doc_id']}, profile_id string")
     return rows.where("profile_id is not null"), rows.where("profile_id is null").select("doc_id")
 
 
@@ -43,99 +127,101 @@ def _trim(v: Column) -> Column:
     return F.regexp_replace(v, r"(?U)^\s+|\s+$", "")
 
 
+def _extract(text: Column, pattern: Column, group: Column) -> Column:
+    return _trim(F.call_function("regexp_extract", text, pattern, group))
+
+
+def _captured(text: Column, spec: Column) -> Column:
+    pattern = spec["pattern"]
+    value = _extract(text, pattern, spec["group"])
+    following = F.when(spec["following"], _extract(text, F.concat(pattern, F.lit(r"[\r\n]*([^\r\n]*)")), spec["after"]))
+    value = F.when(following != "", F.concat_ws(" ", value, following)).otherwise(value)
+    missing = F.when(spec["required"], F.lit(None).cast("string")).otherwise("")
+    return F.when(pattern.isNull(), "").when(F.rlike(F.coalesce(text, F.lit("")), pattern), value).otherwise(missing)
+
+
 def capture_field(text: Column, capture: dict | None) -> Column:
     """The captured value, ``''`` if an optional one is not there, null if a required one is not."""
-    if capture is None:
-        return F.lit("")
-    pattern, names = java_pattern(capture["pattern"])
-    group = capture.get("group", "value")
-    value = _trim(F.regexp_extract(text, pattern, int(group) if group.isdigit() else names[group]))
-    if capture.get("join_following_line"):
-        import re
+    return _captured(text, F.from_json(F.lit(json.dumps(_capture_spec(capture))), _CAPTURE))
 
-        after = re.compile(capture["pattern"]).groups + 1
-        following = _trim(F.regexp_extract(text, pattern + r"[\r\n]*([^\r\n]*)", after))
-        value = F.when(following != "", F.concat_ws(" ", value, following)).otherwise(value)
-    missing = F.lit(None).cast("string") if capture.get("required", True) else F.lit("")
-    return F.when(F.coalesce(text, F.lit("")).rlike(pattern), value).otherwise(missing)
 
-
-def invoice_header(pages: DataFrame, profile: dict) -> DataFrame:
-    """One row a document: the header's fields, numbers parsed, and what is ``missing``."""
-    header = profile["header"]
-    page = pages.where(F.col("page_index") == header["page"]).select("doc_id", "text")
-    rows = pages.select("doc_id").distinct().join(page, "doc_id", "left")
-    fields = {f: capture_field(F.col("text"), header.get(f)) for f in HEADER}
-    out = rows.select("doc_id", F.col("text").isNull().alias("_gone"), *[c.alias(f) for f, c in fields.items()])
+def _headers(pages: DataFrame, add_spec) -> DataFrame:
+    """One row a document of ``pages`` that have a ``profile_id``."""
+    page = F.col("spec.header_page")
+    rows = add_spec(pages.select("doc_id", "profile_id", "page_index", "text")).withColumn("text", F.when(F.col("page_index") == page, F.coalesce("text", F.lit(""))))
+    rows = add_spec(rows.groupBy("doc_id", "profile_id").agg(F.max("text").alias("text")))
+    out = rows.select("doc_id", F.col("text").isNull().alias("_gone"), F.col("spec.name").alias("provider"), *[_captured(F.col("text"), F.col(f"spec.{f}")).alias(f) for f in HEADER])
     lost = [F.when(F.col(f).isNull(), f) for f in HEADER] + [F.when((F.col(f) != "") & decimal_es(F.col(f)).isNull(), f) for f in NUMBERS]
     missing = F.when(F.col("_gone"), F.array(F.lit("page"))).otherwise(F.array_distinct(F.filter(F.array(*lost), lambda x: x.isNotNull())))
     numbers = {f: F.when(F.col(f) == "", F.lit(0).cast("decimal(18,6)")).otherwise(decimal_es(F.col(f))) for f in NUMBERS}
-    return out.withColumn("missing", missing).withColumns(numbers).withColumn("provider", F.lit(profile["name"])).drop("_gone")
+    return out.withColumn("missing", missing).withColumns(numbers).select("doc_id", *HEADER, "missing", "provider")
 
 
-def page_rows(pages: DataFrame, page: int) -> DataFrame:
-    """The lines of one page that are not blank, in order."""
-    rows = pages.where(F.col("page_index") == page).select("doc_id", F.posexplode(F.split("text", r"\r\n|[\n\r\x0B\f\x85]")).alias("row", "line"))
-    return rows.withColumn("line", _trim(F.col("line"))).where("line <> ''")
+def _of(pages: DataFrame, profile: dict) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    return pages.withColumn("profile_id", F.lit(profile["id"])), _with_specs(pages, [profile])
 
 
-def _group(line: Column, pattern: str, name: str) -> Column:
-    java, names = java_pattern(pattern)
-    return _trim(F.regexp_extract(line, java, names[name])) if name in names else F.lit("")
-
+def invoice_header(pages: DataFrame, profile: dict) -> DataFrame:
+    """One row a document: the header's fields, numbers parsed, and what is ``missing``."""
+    return _headers(*_of(pages, profile))
 
-def _matches(line: Column, pattern: str) -> Column:
-    return line.rlike(java_pattern(pattern)[0])
 
+_LINE = ["doc_id", "row", "user", "service", "quantity", "unit_price", "amount", "confidence", "project_reference", "comment"]
 
-def _reference(rows: DataFrame, pattern: str | None) -> DataFrame:
-    """Rows with the last project reference seen above or in them."""
-    if not pattern:
-        return rows.withColumn("seen", F.lit(""))
-    found = F.when(_matches(F.col("line"), pattern), _group(F.col("line"), pattern, "project_reference"))
-    above = W.partitionBy("doc_id").orderBy("row").rowsBetween(W.unboundedPreceding, 0)
-    return rows.withColumn("seen", F.coalesce(F.last(found, ignorenulls=True).over(above), F.lit("")))
 
+def _lines(pages: DataFrame, add_spec) -> DataFrame:
+    """The lines of documents by the form of their profiles, in one pass over the rows of their line pages.
 
-_LINE = ["doc_id", "row", "user", "service", "quantity", "unit_price", "amount", "confidence", "project_reference", "comment"]
+    Flat forms give a line for each row that the row pattern matches.  In grouped forms
+    rows are users, summaries of allowed services, or details; other rows do not count,
+    and a detail gives a line if the last event before it is a summary and a user is known.
+    A row without a project reference takes the last one seen above or in it.
+    """
+    spec, line = F.col("spec"), F.col("line")
+    at_page = add_spec(pages.select("doc_id", "profile_id", "page_index", "text")).where(F.col("page_index") == spec["line_page"])
+    rows = at_page.select("doc_id", "profile_id", F.posexplode(F.split("text", r"\r\n|[\n\r\x0B\f\x85]")).alias("row", "line"))
+    rows = add_spec(rows.withColumn("line", _trim(line)).where("line <> ''"))
+    fits = lambda p: F.coalesce(F.rlike(line, spec[p]["pattern"]), F.lit(False))
+
+    def group(p: str, name: str) -> Column:
+        at = F.try_element_at(spec[p]["groups"], F.lit(name))
+        return F.when(at.isNotNull(), _extract(line, spec[p]["pattern"], at)).otherwise("")
+
+    service = group("summary_pattern", "service")
+    allowed = (F.size(spec["service_names"]) == 0) | F.array_contains(spec["service_names"], F.lower(service))
+    grouped = F.when(fits("user_pattern"), "user").when(fits("summary_pattern") & allowed, "summary").when(fits("detail_pattern"), "detail")
+    by = W.partitionBy("doc_id").orderBy("row")
+    above = by.rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumns({
+        "kind": F.when(spec["flat"], F.when(fits("row_pattern"), "flat")).otherwise(grouped),
+        "seen": F.coalesce(F.last(F.when(fits("project_reference_pattern"), group("project_reference_pattern", "project_reference")), ignorenulls=True).over(above), F.lit("")),
+    }).where("kind is not null")
+    own = group("summary_pattern", "project_reference")
+    summary = F.struct(service.alias("service"), decimal_es(group("summary_pattern", "quantity")).alias("q"), decimal_es(group("summary_pattern", "amount")).alias("a"), F.when(own != "", own).otherwise(F.col("seen")).alias("ref"))
+    rows = rows.withColumns({
+        "holder": F.last(F.when(F.col("kind") == "user", group("user_pattern", "user")), ignorenulls=True).over(by.rowsBetween(W.unboundedPreceding, -1)),
+        "before": F.lag("kind").over(by),
+        "sum": F.lag(F.when(F.col("kind") == "summary", summary)).over(by),
+    }).where("kind = 'flat' or kind = 'detail' and before = 'summary' and holder is not null and holder <> ''")
+    flat = F.col("kind") == "flat"
+    either = lambda name: F.when(flat, group("row_pattern", name)).otherwise(group("detail_pattern", name))
+    named = either("project_reference")
+    rows = rows.withColumns({n: decimal_es(either(n)) for n in ("quantity", "unit_price", "amount")} | {
+        "user": F.when(flat, group("row_pattern", "user")).otherwise(F.col("holder")), "service": F.when(flat, group("row_pattern", "service")).otherwise(F.col("sum.service")),
+        "project_reference": F.when(named != "", named).when(flat, F.col("seen")).otherwise(F.col("sum.ref")),
+    })
+    rows = detail_vs_summary(rows, F.col("sum.q"), F.col("sum.a"))
+    return rows.withColumns({"confidence": F.when(flat, 0.95).otherwise(F.col("confidence")), "comment": F.when(flat, "").otherwise(F.col("comment"))}).select(*_LINE)
 
 
 def lines_flat(pages: DataFrame, profile: dict) -> DataFrame:
     """A line for each row that the row pattern matches."""
-    cfg, line = profile["lines"], F.col("line")
-    rows = _reference(page_rows(pages, cfg["page"]), cfg.get("project_reference_pattern")).where(_matches(line, cfg["row_pattern"]))
-    own = _group(line, cfg["row_pattern"], "project_reference")
-    return rows.select(
-        "doc_id", "row", _group(line, cfg["row_pattern"], "user").alias("user"), _group(line, cfg["row_pattern"], "service").alias("service"),
-        *[decimal_es(_group(line, cfg["row_pattern"], n)).alias(n) for n in ("quantity", "unit_price", "amount")],
-        F.lit(0.95).alias("confidence"), F.when(own != "", own).otherwise(F.col("seen")).alias("project_reference"), F.lit("").alias("comment"),
-    )
+    return _lines(*_of(pages, profile | {"lines": profile["lines"] | {"mode": "flat"}}))
 
 
 def lines_grouped(pages: DataFrame, profile: dict) -> DataFrame:
-    """Lines under users: a service's summary, then its detail.
-
-    Rows are users, summaries of allowed services, or details; other rows do not count.
-    A detail gives a line if the last event before it is a summary and a user is known.
-    """
-    cfg, line = profile["lines"], F.col("line")
-    rows = _reference(page_rows(pages, cfg["page"]), cfg.get("project_reference_pattern"))
-    service = _group(line, cfg["summary_pattern"], "service")
-    allowed = F.lower(service).isin([s.lower() for s in cfg["service_names"]]) if cfg["service_names"] else F.lit(True)
-    kind = F.when(_matches(line, cfg["user_pattern"]), "user").when(_matches(line, cfg["summary_pattern"]) & allowed, "summary").when(_matches(line, cfg["detail_pattern"]), "detail")
-    rows = rows.withColumn("kind", kind).where("kind is not null")
-    own = _group(line, cfg["summary_pattern"], "project_reference")
-    summary = F.struct(service.alias("service"), decimal_es(_group(line, cfg["summary_pattern"], "quantity")).alias("q"), decimal_es(_group(line, cfg["summary_pattern"], "amount")).alias("a"), F.when(own != "", own).otherwise(F.col("seen")).alias("ref"))
-    by = W.partitionBy("doc_id").orderBy("row")
-    rows = rows.withColumns({
-        "user": F.last(F.when(F.col("kind") == "user", _group(line, cfg["user_pattern"], "user")), ignorenulls=True).over(by.rowsBetween(W.unboundedPreceding, -1)),
-        "before": F.lag("kind").over(by),
-        "sum": F.lag(F.when(F.col("kind") == "summary", summary)).over(by),
-    }).where("kind = 'detail' and before = 'summary' and user is not null and user <> ''")
-    own = _group(line, cfg["detail_pattern"], "project_reference")
-    numbers = {n: decimal_es(_group(line, cfg["detail_pattern"], n)) for n in ("quantity", "unit_price", "amount")}
-    rows = rows.withColumns(numbers).withColumns({"service": F.col("sum.service"), "project_reference": F.when(own != "", own).otherwise(F.col("sum.ref"))})
-    return detail_vs_summary(rows, F.col("sum.q"), F.col("sum.a")).select(*_LINE)
+    """Lines under users: a service's summary, then its detail."""
+    return _lines(*_of(pages, profile | {"lines": profile["lines"] | {"mode": "grouped_detail"}}))
 
 
 def detail_vs_summary(rows: DataFrame, quantity: Column, amount: Column) -> DataFrame:
@@ -151,16 +237,15 @@ def line_ids(lines: DataFrame) -> DataFrame:
 
 
 def invoice_lines(pages: DataFrame, profile: dict) -> DataFrame:
-    return line_ids(lines_grouped(pages, profile) if profile["lines"]["mode"] == "grouped_detail" else lines_flat(pages, profile))
+    return line_ids(_lines(*_of(pages, profile)))
 
 
 def line_totals(lines: DataFrame) -> DataFrame:
     return lines.groupBy("doc_id").agg(F.sum(F.col("amount").cast("decimal(28,6)")).alias("line_total"), F.count("*").alias("n_lines"))
 
 
-def invoice_analysis(pages: DataFrame, profile: dict) -> tuple[DataFrame, DataFrame]:
-    """Headers with a verdict and warnings, and lines of the documents that pass."""
-    header, lines = invoice_header(pages, profile), invoice_lines(pages, profile)
+def _analysed(pages: DataFrame, add_spec) -> tuple[DataFrame, DataFrame]:
+    header, lines = _headers(pages, add_spec), line_ids(_lines(pages, add_spec))
     rows = header.join(line_totals(lines), "doc_id", "left").withColumn("n_lines", F.coalesce("n_lines", F.lit(0)))
     verdict = F.when(F.size("missing") > 0, F.concat(F.lit("missing:"), F.array_join("missing", ","))).when(F.col("n_lines") == 0, "no_lines").otherwise("ok")
     warnings = F.when(F.col("line_total") != F.col("taxable_base"), F.array(F.lit(NOT_EXACT))).otherwise(F.array().cast("array<string>"))
@@ -168,16 +253,21 @@ def invoice_analysis(pages: DataFrame, profile: dict) -> tuple[DataFrame, DataFr
     return rows, lines.join(rows.where("verdict = 'ok'").select("doc_id"), "doc_id", "left_semi")
 
 
+def invoice_analysis(pages: DataFrame, profile: dict) -> tuple[DataFrame, DataFrame]:
+    """Headers with a verdict and warnings, and lines of the documents that pass."""
+    return _analysed(*_of(pages, profile))
+
+
 def analyse_all(pages: DataFrame, profiles: list[dict]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Invoices, lines and unsupported documents of a mixed table.
 
-    Documents are matched once and written in a folder a profile, so that each profile's
-    patterns read only their own pages, however many profiles there are.
+    Profiles are rows that are joined to the pages of their documents, so there is one
+    plan for all of them.  Documents are matched here and now and their pages written,
+    as headers and lines both read them.
     """
     matched, unsupported = match_provider(pages, profiles)
-    dealt = Scratch(pages.sparkSession, "profiles").keep(pages.join(matched, "doc_id"), "pages", by="profile_id")
-    parts = [invoice_analysis(dealt.where(F.col("profile_id") == p["id"]).drop("profile_id"), p) for p in profiles]
-    return reduce(DataFrame.unionByName, [a for a, _ in parts]), reduce(DataFrame.unionByName, [b for _, b in parts]), unsupported
+    dealt = Scratch(pages.sparkSession, "profiles").keep(pages.join(matched, "doc_id"), "pages")
+    return *_analysed(dealt, _with_specs(pages, profiles)), unsupported
 
 
 def profile_preview(pages: DataFrame, profile: dict) -> DataFrame:
@@ -201,15 +291,21 @@ def reconcile(invoices: DataFrame, lines: DataFrame, tolerance: float = 0.10) ->
 PATCHED = {"user": "string", "service": "string", "quantity": "decimal(18,6)", "unit_price": "decimal(18,6)", "amount": "decimal(18,6)", "project_reference": "string", "status": "string", "comment": "string"}
 
 
-def update_lines(lines: DataFrame, patches: DataFrame) -> tuple[DataFrame, DataFrame]:
+def update_lines(lines: DataFrame, patches: DataFrame, order: str = "seq") -> tuple[DataFrame, DataFrame]:
     """Lines with the non-null fields of ``patches(doc_id, line_id, ...)``, and the patches
-    of unknown lines or with negative numbers, which change nothing."""
+    of unknown lines or with negative numbers, which change nothing.
+
+    Patches of one line count one after another by their column ``order``: the last that
+    names a field sets it.  Equal or absent orders go by the patch as JSON.
+    """
     fields = [f for f in PATCHED if f in patches.columns]
     negative = reduce(lambda a, b: a | b, [F.coalesce(F.col(f) < 0, F.lit(False)) for f in fields if PATCHED[f] != "string"], F.lit(False))
     known = patches.join(lines.select("doc_id", "line_id"), ["doc_id", "line_id"], "left_semi")
     rejects = patches.join(lines.select("doc_id", "line_id"), ["doc_id", "line_id"], "left_anti").withColumn("reject", F.lit("unknown_line"))
     rejects = rejects.unionByName(known.where(negative).withColumn("reject", F.lit("negative_number")))
-    new = known.where(~negative).select("doc_id", "line_id", *[F.col(f).cast(PATCHED[f]).alias(f"_{f}") for f in fields])
+    place = F.struct(*([order] if order in patches.columns else []), F.to_json(F.struct(*fields)).alias("json"))
+    last = [F.max_by(F.col(f).cast(PATCHED[f]), F.when(F.col(f).isNotNull(), place)).alias(f"_{f}") for f in fields]
+    new = known.where(~negative).groupBy("doc_id", "line_id").agg(*last)
     rows = lines.join(new, ["doc_id", "line_id"], "left").withColumns({f: F.coalesce(f"_{f}", f) for f in fields})
     return rows.drop(*[f"_{f}" for f in fields]), rejects
 

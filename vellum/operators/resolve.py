@@ -67,28 +67,37 @@ def with_groups(findings: DataFrame) -> DataFrame:
 def group_findings(findings: DataFrame) -> DataFrame:
     """One row a document and group: its values' first form, evidence and place of first appearance.
 
-    A group's ids are gathered in one row, so a group is bounded by the findings of one
-    value in one document.
+    Findings are first summed up by document, group and evidence, of which there are few
+    kinds, so what a value with millions of findings gives to a shuffle is a row or two a
+    task.  Their ids are a table of their own, ``group_members``.
     """
     if "group_id" not in findings.columns:
         findings = with_groups(findings)
     place = F.struct("part", "block_index", "start", "end")
-    items = F.array_sort(F.collect_list(F.struct(place.alias("at"), F.col("id"), F.col("sources"), F.col("reason"))))
-    out = findings.groupBy("doc_id", "group_id").agg(
+    kinds = findings.groupBy("doc_id", "group_id", "sources", "reason").agg(
+        F.first("entity_type").alias("entity_type"), F.min_by("value", place).alias("value"), F.max("confidence").alias("confidence"), F.min(place).alias("first"), F.count("*").alias("n"),
+    )
+    out = kinds.groupBy("doc_id", "group_id").agg(
         F.first("entity_type").alias("entity_type"),
-        F.min_by("value", place).alias("value"),
+        F.min_by("value", "first").alias("value"),
         F.max("confidence").alias("confidence"),
-        F.min(place).alias("first"),
-        items.alias("items"),
+        F.min("first").alias("first"),
+        F.sum("n").alias("occurrences"),
+        F.array_sort(F.collect_list(F.struct("first", "sources", "reason"))).alias("evidence"),
     )
     return out.select(
-        "doc_id", "group_id", "entity_type", "value", "confidence", tx.confidence_band(F.col("confidence")).alias("band"), "first",
-        F.transform("items", lambda i: i["id"]).alias("finding_ids"), F.size("items").cast("long").alias("occurrences"),
-        F.array_distinct(F.flatten(F.transform("items", lambda i: i["sources"]))).alias("sources"),
-        F.array_join(F.array_distinct(F.filter(F.transform("items", lambda i: i["reason"]), lambda r: r != "")), " ").alias("reason"),
+        "doc_id", "group_id", "entity_type", "value", "confidence", tx.confidence_band(F.col("confidence")).alias("band"), "first", "occurrences",
+        F.array_distinct(F.flatten(F.transform("evidence", lambda i: i["sources"]))).alias("sources"),
+        F.array_join(F.array_distinct(F.filter(F.transform("evidence", lambda i: i["reason"]), lambda r: r != "")), " ").alias("reason"),
     )
 
 
+def group_members(findings: DataFrame) -> DataFrame:
+    """``doc_id, group_id, id``: which findings make up each group, a row a finding."""
+    findings = findings if "group_id" in findings.columns else with_groups(findings)
+    return findings.select("doc_id", "group_id", "id")
+
+
 def assign_aliases(groups: DataFrame, order: str = "appearance") -> DataFrame:
     """Number the groups of a document and alias prefix by first appearance.
 

@@ -188,17 +188,21 @@ def reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _doubles(iv.reconcile(_bases(spark, sf_dir), _flat_lines(spark, sf_dir)))
 
 
-@query(f"""SELECT doc_id, 'line-' || rn AS line_id, CASE WHEN rn = 1 AND doc_id % 4 = 0 THEN 1.0 ELSE c / 100.0 END::DOUBLE AS amount, CASE WHEN rn = 1 AND doc_id % 4 = 0 THEN 'checked' ELSE '' END AS comment FROM ({_STATUS})""")
+@query(f"""SELECT doc_id, 'line-' || rn AS line_id, CASE WHEN rn = 1 AND doc_id % 4 = 0 THEN 1.0 ELSE c / 100.0 END::DOUBLE AS amount, CASE WHEN rn = 1 AND doc_id % 4 = 0 THEN 'checked' ELSE '' END AS comment,
+  CASE WHEN rn = 1 AND doc_id % 4 = 0 THEN 'otro' ELSE 'u' || s || '@x.es' END AS "user" FROM ({_STATUS})""")
 def update_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     changed, _ = _patched(spark, sf_dir)
-    return _doubles(changed.select("doc_id", "line_id", "amount", "comment"))
+    return _doubles(changed.select("doc_id", "line_id", "amount", "comment", "user"))
 
 
 def _patched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """A patch an invoice: of a line that is not there, with a negative number, or right."""
+    """A patch an invoice, of a line that is not there or with a negative number, or three right ones of a line, in order."""
     lines = _flat_lines(spark, sf_dir)
     docs, unknown = lines.select("doc_id").distinct(), (F.col("doc_id") % 4 == 2) & (F.col("doc_id") % 6 == 2)
-    patches = docs.select("doc_id", F.when(unknown, "line-999").otherwise("line-1").alias("line_id"), F.when(F.col("doc_id") % 4 == 0, 1.0).otherwise(-1.0).alias("amount"), F.lit("checked").alias("comment"))
+    one = lambda seq, amount, comment, user: F.struct(F.lit(seq).alias("seq"), F.lit(amount).cast("double").alias("amount"), F.lit(comment).cast("string").alias("comment"), F.lit(user).cast("string").alias("user"))
+    right = F.array(one(3, None, None, "otro"), one(1, 7.0, "checked", "nadie"), one(2, 1.0, None, None))
+    patch = F.explode(F.when(F.col("doc_id") % 4 == 0, right).otherwise(F.array(one(1, -1.0, "checked", None)))).alias("p")
+    patches = docs.select("doc_id", F.when(unknown, "line-999").otherwise("line-1").alias("line_id"), patch).select("doc_id", "line_id", "p.*")
     return iv.update_lines(lines, patches)
 
 
