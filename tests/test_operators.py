@@ -215,7 +215,7 @@ def test_reconcile_and_export(spark):
     assert {r.doc_id: float(r.amount) for r in changed.collect()} == {1: 53.63, 2: 2.0} and sorted(r.reject for r in rejects.collect()) == ["negative_number", "unknown_line"]
 
 
-def test_profiles(spark, tmp_path):
+def test_profiles(spark, tmp_path, monkeypatch):
     import json
 
     for folder, profile in (("base", FLAT), ("user", FLAT | {"name": "Mío"}), ("user", GROUPED | {"id": "../fuera"})):
@@ -223,9 +223,18 @@ def test_profiles(spark, tmp_path):
         (tmp_path / folder / f"{len(list((tmp_path / folder).iterdir()))}.json").write_text(json.dumps(profile))
     catalog = pf.provider_catalog(spark, f"{tmp_path}/base", f"{tmp_path}/user")
     assert [(r.id, r.name, r.built_in) for r in catalog.collect()] == [("flat-demo", "Mío", False)]
-    saved = pf.save_profiles(spark, catalog, f"{tmp_path}/saved", f"{tmp_path}/staging")
-    again = pf.save_profiles(spark, catalog.withColumn("name", F.lit("Otro")), f"{tmp_path}/saved", f"{tmp_path}/staging")
-    assert saved.columns and [r.name for r in again.collect()] == ["Otro"]
+    saved = pf.save_profiles(spark, catalog, f"{tmp_path}/saved")
+    twice = catalog.withColumns({"name": F.lit("Otro"), "seq": F.lit(2)}).union(catalog.withColumns({"name": F.lit("Antes"), "seq": F.lit(1)}))
+    again = pf.save_profiles(spark, twice, f"{tmp_path}/saved")
+    assert [r.name for r in saved.collect()] == ["Mío"] and [r.name for r in again.collect()] == ["Otro"] and again.columns == saved.columns
+    # A call that fails before or after it has written leaves the table as it was.
+    broken = catalog.withColumn("name", F.raise_error(F.lit("half way")).cast("string"))
+    with pytest.raises(Exception, match="half way"):
+        pf.save_profiles(spark, broken, f"{tmp_path}/saved")
+    monkeypatch.setattr(pf, "_point", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        pf.save_profiles(spark, catalog.withColumn("name", F.lit("Nunca")), f"{tmp_path}/saved")
+    assert [r.name for r in pf.load_profiles(spark, f"{tmp_path}/saved").collect()] == ["Otro"]
     assert pf.java_pattern(r"(?P<a>x)(?P<unit_price>y)(?P=a)") == (r"(?iuU)(x)(y)\1", {"a": 1, "unit_price": 2})
 
 

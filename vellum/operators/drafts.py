@@ -9,8 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vellum.functions.numbers import parse_decimal, within_tolerance
+from vellum.functions.scan import let
 from vellum.functions.text import optional_text
-from vellum.sources.scratch import Scratch
 
 TEXTS = ("supplier_name", "supplier_tax_id", "invoice_number", "invoice_date", "customer_code", "customer_name", "currency")
 NUMBERS = ("taxable_base", "tax_rate", "tax_amount", "invoice_total")
@@ -59,61 +59,99 @@ def parse_payload(payloads: DataFrame) -> DataFrame:
     return rows.select("doc_id", "page_no", "page_warnings", *status, *[c.alias(n) for n, c in (fields | texts).items()])
 
 
-def _headers(pages: DataFrame, names: tuple[str, ...], value, same) -> DataFrame:
-    rows = pages.select("doc_id", "page_no", F.explode(F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[F.col(n) for n in names]))).alias("field", "raw"))
-    rows = rows.withColumns({"value": value(F.col("raw")), "bad": optional_text(F.col("raw")).isNotNull() & value(F.col("raw")).isNull()})
-    seen = rows.groupBy("doc_id", "field").agg(
-        F.min_by("value", F.when(F.col("value").isNotNull(), F.col("page_no"))).alias("value"),
-        F.count_distinct(same(F.col("value"))).alias("distinct"),
-        F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("page_no", "value")))).alias("all"),
-        F.count_if("bad").alias("bad"),
-    )
-    listed = F.array_join(F.transform("all", lambda x: F.format_string("p.%d: %s", x["page_no"], x["value"].cast("string"))), ", ")
-    clash = F.when(F.col("distinct") > 1, F.concat(F.lit("Valores contradictorios para "), F.col("field"), F.lit(": "), listed, F.lit(".")))
-    return seen.select("doc_id", "field", F.col("value").cast("string").alias("value"), clash.alias("warning"), "bad")
+def _number_struct(names: tuple[str, ...]) -> list[Column]:
+    """Numbers of a page, and how many of them are printed but are no numbers."""
+    bad = [(optional_text(F.col(n)).isNotNull() & parse_decimal(F.col(n)).isNull()).cast("int").alias(f"bad_{n}") for n in names]
+    return [parse_decimal(F.col(n)).alias(n) for n in names] + bad
+
+
+def _page_struct() -> Column:
+    return F.struct("page_no", "page_warnings", *TEXTS, *_number_struct(NUMBERS))
+
+
+def _field(pages: Column, name: str) -> Column:
+    """``value, warning, bad`` of one field over the pages of a document, which are in order."""
+
+    def of(own: Column) -> Column:
+        values = F.transform(own, lambda x: F.lower(x["value"]) if name in TEXTS else x["value"])
+        listed = F.array_join(F.transform(own, lambda x: F.format_string("p.%d: %s", x["page_no"], x["value"].cast("string"))), ", ")
+        clash = F.when(F.size(F.array_distinct(values)) > 1, F.concat(F.lit(f"Valores contradictorios para {name}: "), listed, F.lit(".")))
+        return F.struct(F.get(own, 0)["value"].alias("value"), clash.alias("warning"))
+
+    own = F.filter(F.transform(pages, lambda p: F.struct(p["page_no"].alias("page_no"), p[name].alias("value"))), lambda x: x["value"].isNotNull())
+    return let(own, of)
+
+
+def _bad(pages: Column, name: str) -> Column:
+    if name in TEXTS:
+        return F.lit(0).cast("long")
+    return F.aggregate(pages, F.lit(0).cast("long"), lambda acc, p: acc + p[f"bad_{name}"])
+
+
+def _gather(pages: DataFrame) -> DataFrame:
+    """One row a document with its pages in order."""
+    return pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(_page_struct())).alias("held"))
+
+
+def _header_rows(pages: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    held = F.col("held")
+    rows = F.array(*[F.struct(F.lit(n).alias("field"), _field(held, n)["value"].cast("string").alias("value"), _field(held, n)["warning"].alias("warning"), _bad(held, n).alias("bad")) for n in names])
+    return _gather(pages).select("doc_id", F.explode(rows).alias("f")).select("doc_id", "f.*")
 
 
 def header_text(pages: DataFrame) -> DataFrame:
     """``doc_id, field, value, warning, bad``: the first page's value, and contradictions whatever the case."""
-    return _headers(pages, TEXTS, lambda v: v, F.lower)
+    return _header_rows(pages, TEXTS)
 
 
 def header_decimal(pages: DataFrame) -> DataFrame:
     """The same of numbers; ``bad`` counts the pages whose value is no number."""
-    return _headers(pages, NUMBERS, parse_decimal, lambda v: v)
+    return _header_rows(pages, NUMBERS)
 
 
 def _items(pages: DataFrame, column: str) -> DataFrame:
     return pages.select("doc_id", "page_no", F.posexplode(F.from_json(column, "array<string>")).alias("at", "item")).withColumn("keys", F.from_json("item", KEYS))
 
 
-def draft_lines(pages: DataFrame, tolerance: float = 0.10) -> DataFrame:
-    """One row an item, with its numbers and what is wrong with it."""
-    rows = _items(pages, "line_items")
+def _line_struct(tolerance: float) -> Column:
+    """What an item of lines says, from ``page_no``, ``at`` and ``keys``, with what is wrong with it."""
     fields = _fields(F.col("keys"), ("description", "user", "project_reference", "quantity", "unit_price", "amount"), LINE_ALIASES)
     texts = {n: optional_text(fields[n]) for n in ("description", "user", "project_reference")}
-    raws = {f"raw_{n}": fields[n] for n in ("quantity", "unit_price", "amount")}
-    rows = rows.withColumns(texts | raws).withColumns({n: parse_decimal(F.col(f"raw_{n}")) for n in ("quantity", "unit_price", "amount")})
-    product = (F.col("quantity") * F.col("unit_price")).cast("decimal(38,12)")
+    numbers = {n: parse_decimal(fields[n]) for n in ("quantity", "unit_price", "amount")}
+    product = (numbers["quantity"] * numbers["unit_price"]).cast("decimal(38,12)")
     names = {"quantity": "cantidad", "unit_price": "precio unitario", "amount": "importe"}
     lost = {"quantity": "Falta la cantidad de la línea.", "unit_price": "Falta el precio unitario de la línea.", "amount": "Falta el importe de la línea."}
-    wrong = [F.when(optional_text(F.col(f"raw_{n}")).isNotNull() & F.col(n).isNull(), F.format_string(f"Página %d, línea %d, {label}: Valor numérico no válido: %s", "page_no", F.col("at") + 1, optional_text(F.col(f"raw_{n}")))) for n, label in names.items()]
-    wrong.append(F.when(~within_tolerance(product, F.col("amount"), tolerance), "Cantidad por precio unitario no coincide con el importe."))
-    wrong.append(F.when(F.col("description").isNull(), "Falta la descripción de la línea."))
-    wrong += [F.when(F.col(n).isNull(), text) for n, text in lost.items()]
-    return rows.select("doc_id", "page_no", "at", "description", "user", "project_reference", "quantity", "unit_price", "amount", F.filter(F.array(*wrong), lambda w: w.isNotNull()).alias("warnings"))
+    wrong = [F.when(optional_text(fields[n]).isNotNull() & numbers[n].isNull(), F.format_string(f"Página %d, línea %d, {label}: Valor numérico no válido: %s", "page_no", F.col("at") + 1, optional_text(fields[n]))) for n, label in names.items()]
+    wrong.append(F.when(~within_tolerance(product, numbers["amount"], tolerance), "Cantidad por precio unitario no coincide con el importe."))
+    wrong.append(F.when(texts["description"].isNull(), "Falta la descripción de la línea."))
+    wrong += [F.when(numbers[n].isNull(), text) for n, text in lost.items()]
+    return F.struct(*[v.alias(n) for n, v in (texts | numbers).items()], F.filter(F.array(*wrong), lambda w: w.isNotNull()).alias("warnings"))
 
 
-def draft_taxes(pages: DataFrame) -> DataFrame:
-    """Tax rows that say something, the first of equal ones."""
-    rows = _items(pages, "taxes")
+def draft_lines(pages: DataFrame, tolerance: float = 0.10) -> DataFrame:
+    """One row an item, with its numbers and what is wrong with it."""
+    rows = _items(pages, "line_items").withColumn("l", _line_struct(tolerance))
+    return rows.select("doc_id", "page_no", "at", "l.*")
+
+
+def _tax_struct() -> Column:
+    """What a tax row says, from ``keys``, and how many of its numbers are none."""
     fields = _fields(F.col("keys"), ("tax_type", "rate", "taxable_base", "amount"), TAX_ALIASES)
     numbers = {n: parse_decimal(fields[n]) for n in ("rate", "taxable_base", "amount")}
-    bad = [optional_text(fields[n]).isNotNull() & parse_decimal(fields[n]).isNull() for n in numbers]
-    rows = rows.withColumns({"tax_type": optional_text(fields["tax_type"]), "bad": reduce(lambda a, b: a + b, [b.cast("int") for b in bad])} | numbers)
-    by = W.partitionBy("doc_id", "tax_type", "rate", "taxable_base", "amount").orderBy("page_no", "at")
-    kept = rows.withColumn("n", F.row_number().over(by)).where("n = 1 and coalesce(tax_type, cast(rate as string), cast(taxable_base as string), cast(amount as string)) is not null")
-    return kept.select("doc_id", "page_no", "at", "tax_type", "rate", "taxable_base", "amount", "bad")
+    bad = reduce(lambda a, b: a + b, [(optional_text(fields[n]).isNotNull() & numbers[n].isNull()).cast("int") for n in numbers])
+    return F.struct(optional_text(fields["tax_type"]).alias("tax_type"), *[v.alias(n) for n, v in numbers.items()], bad.alias("bad"))
+
+
+_TAX = ("tax_type", "rate", "taxable_base", "amount")
+
+
+def draft_taxes(pages: DataFrame) -> DataFrame:
+    """Tax rows that say something, the first of equal ones."""
+    rows = _items(pages, "taxes").withColumn("t", _tax_struct()).select("doc_id", "page_no", "at", "t.*")
+    by = W.partitionBy("doc_id", *_TAX).orderBy("page_no", "at")
+    said = F.coalesce(*[F.col(n).cast("string") for n in _TAX]).isNotNull()
+    kept = rows.withColumn("n", F.row_number().over(by)).where((F.col("n") == 1) & said)
+    return kept.select("doc_id", "page_no", "at", *_TAX, "bad")
 
 
 def tax_totals(taxes: DataFrame) -> DataFrame:
@@ -122,7 +160,10 @@ def tax_totals(taxes: DataFrame) -> DataFrame:
 
 def backfill_totals(headers: DataFrame, taxes: DataFrame) -> DataFrame:
     """Headers whose tax amount, base or rate is absent take them from the tax rows; the rate only from a single row."""
-    rows = headers.join(tax_totals(taxes), "doc_id", "left")
+    return _backfilled(headers.join(tax_totals(taxes), "doc_id", "left"))
+
+
+def _backfilled(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"tax_amount": F.coalesce("tax_amount", "t_amount"), "taxable_base": F.coalesce("taxable_base", "t_base"), "tax_rate": F.coalesce("tax_rate", "t_rate")}).drop("t_amount", "t_base", "t_rate")
 
 
@@ -137,32 +178,65 @@ def missing_fields(headers: DataFrame) -> Column:
     return F.filter(F.array(*lost), lambda x: x.isNotNull())
 
 
+def _with_headers(rows: DataFrame) -> DataFrame:
+    """Rows that ``held`` the pages of a document, with its header fields, their contradictions and bad numbers."""
+    names = (*TEXTS, *NUMBERS)
+    rows = rows.withColumns({f"_{n}": _field(F.col("held"), n) for n in names})
+    clashes = F.array_sort(F.filter(F.array(*[F.col(f"_{n}.warning") for n in names]), lambda w: w.isNotNull()))
+    values = {n: F.col(f"_{n}.value") for n in names} | {"currency": F.upper("_currency.value")} | {n: F.col(f"_{n}.value").cast("decimal(28,6)") for n in NUMBERS}
+    bad = reduce(lambda a, b: a + b, [_bad(F.col("held"), n) for n in NUMBERS])
+    return rows.withColumns(values | {"clashes": clashes, "bad": bad}).drop(*[f"_{n}" for n in names])
+
+
 def draft_headers(pages: DataFrame) -> DataFrame:
     """One row a document: header fields, and the count of their warnings."""
-    both = header_text(pages).unionByName(header_decimal(pages))
-    table = both.groupBy("doc_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("m"),
-        F.array_sort(F.collect_list("warning")).alias("clashes"),
-        F.sum("bad").alias("bad"),
-    )
-    texts = [F.col("m")[n].alias(n) for n in TEXTS if n != "currency"] + [F.upper(F.col("m")["currency"]).alias("currency")]
-    return table.select("doc_id", *texts, *[F.col("m")[n].cast("decimal(28,6)").alias(n) for n in NUMBERS], "clashes", "bad")
+    return _with_headers(_gather(pages)).drop("held")
+
+
+def _with_taxes(rows: DataFrame) -> DataFrame:
+    """Rows with the ``taxes`` of a document in order, with what they sum up to, the first of equal ones."""
+    key = lambda t: F.struct(*[t[n].alias(n) for n in _TAX])
+    said = lambda t: F.coalesce(*[t[n].cast("string") for n in _TAX]).isNotNull()
+    kept = let(F.col("taxes"), lambda all_: let(F.transform(all_, key), lambda keys: F.filter(all_, lambda t, i: (F.array_position(keys, key(t)) == i + 1) & said(t))))
+    rows = rows.withColumn("taxes", kept)
+
+    def total(name: str) -> Column:
+        values = F.filter(F.transform("taxes", lambda t: t[name].cast("decimal(38,6)")), lambda v: v.isNotNull())
+        return F.when(F.size(values) > 0, F.aggregate(values, F.lit(0).cast("decimal(38,6)"), lambda a, b: (a + b).cast("decimal(38,6)")))
+
+    return rows.withColumns({
+        "t_amount": total("amount"), "t_base": total("taxable_base"), "t_rate": F.when(F.size("taxes") == 1, F.get("taxes", 0)["rate"]),
+        "bad_taxes": F.aggregate("taxes", F.lit(0).cast("long"), lambda acc, t: acc + t["bad"]),
+    })
 
 
 def invoice_draft(payloads: DataFrame, tolerance: float = 0.10) -> DataFrame:
     """One row a document: the whole draft with its checks.
 
     ``payloads`` has ``doc_id, page_no, payload, raw_text, errors`` and may have ``status``.
+    A page becomes a row of its own and a row for each item and tax; one grouping by
+    document sums the items up and gathers pages and taxes, of which a document has few.
     """
-    pages = Scratch(payloads.sparkSession, "drafts").keep(parse_payload(payloads), "pages")  # parsed once for all that follows
-    lines, taxes = draft_lines(pages, tolerance), draft_taxes(pages)
-    status = F.max("status") if "status" in payloads.columns else F.lit("success")
-    base = pages.groupBy("doc_id").agg(F.count("*").alias("pages"), F.lower(status).alias("status"))
-    page_warnings = pages.groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "page_warnings"))), lambda p: p["page_warnings"])).alias("page_warnings"))
-    bad_taxes = taxes.groupBy("doc_id").agg(F.sum("bad").alias("bad_taxes"))
-    rows = base.join(page_warnings, "doc_id", "left").join(draft_headers(pages), "doc_id", "left").join(line_totals(lines), "doc_id", "left").join(bad_taxes, "doc_id", "left")
-    rows = backfill_totals(rows, taxes)
-    rows = rows.withColumns({"line_total": F.coalesce("line_total", F.lit(0)), "complete": F.coalesce("complete", F.lit(0)), "pending": F.coalesce("pending", F.lit(0))})
+    pages = parse_payload(payloads)
+    status = F.col("status") if "status" in pages.columns else F.lit("success")
+    entry = lambda kind: lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("at"), x.alias("item"))
+    items = [F.coalesce(F.transform(F.from_json(c, "array<string>"), entry(k)), F.array().cast("array<struct<kind:int,at:int,item:string>>")) for k, c in ((1, "line_items"), (2, "taxes"))]
+    page = F.array(F.struct(F.lit(0).alias("kind"), F.lit(0).alias("at"), F.lit(None).cast("string").alias("item")))
+    rows = pages.select("doc_id", "page_no", "page_warnings", status.alias("status"), *TEXTS, *NUMBERS, F.explode(F.concat(page, *items)).alias("e"))
+    rows = rows.select("*", "e.kind", "e.at", F.from_json("e.item", KEYS).alias("keys"))
+    kind = F.col("kind")
+    rows = rows.select(
+        "doc_id", "kind", F.when(kind == 0, F.col("status")).alias("status"), F.when(kind == 0, _page_struct()).alias("page"), F.when(kind == 1, _line_struct(tolerance)).alias("l"),
+        F.when(kind == 2, F.struct("page_no", "at", _tax_struct().alias("t"))).alias("tax"),
+    )
+    complete = F.col("l.description").isNotNull() & F.col("l.quantity").isNotNull() & F.col("l.unit_price").isNotNull() & F.col("l.amount").isNotNull()
+    rows = rows.groupBy("doc_id").agg(
+        F.count_if(kind == 0).alias("pages"), F.lower(F.max("status")).alias("status"), F.array_sort(F.collect_list("page")).alias("held"), F.array_sort(F.collect_list("tax")).alias("taxes"),
+        F.coalesce(F.sum("l.amount"), F.lit(0)).alias("line_total"), F.count_if((kind == 1) & complete).alias("complete"), F.count_if((kind == 1) & ~complete).alias("pending"), F.sum(F.size("l.warnings")).alias("line_warnings"),
+    )
+    warned = F.flatten(F.transform("held", lambda p: p["page_warnings"]))
+    rows = _with_headers(rows.withColumns({"page_warnings": warned, "taxes": F.transform("taxes", lambda x: x["t"])})).drop("held")
+    rows = _backfilled(_with_taxes(rows).drop("taxes"))
     return draft_checks(rows.withColumn("missing", missing_fields(rows)), tolerance)
 
 

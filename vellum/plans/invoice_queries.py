@@ -260,13 +260,14 @@ def provider_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT 'p-' || s_suppkey AS id, CASE WHEN s_suppkey % 2 = 0 THEN 'Later' ELSE 'Base' END AS name FROM supplier UNION ALL SELECT 'q-' || s_suppkey, 'Later' FROM supplier WHERE s_suppkey % 2 = 0")
 def save_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Profiles saved twice: the second time every other is changed and as many are new."""
+    """Profiles saved twice: the second time every other is changed, twice, and as many are new."""
     base = Scratch(spark, "saved-profiles").base
     rows = _profiles(spark, sf_dir).where("built_in")
-    pf.save_profiles(spark, rows, f"{base}/table", f"{base}/staging")
+    pf.save_profiles(spark, rows, f"{base}/table")
     even = rows.where("cast(substring(id, 3) as int) % 2 = 0").withColumn("name", F.lit("Later"))
-    changed = even.union(even.withColumn("id", F.replace("id", F.lit("p-"), F.lit("q-"))))
-    return pf.save_profiles(spark, changed, f"{base}/table", f"{base}/staging").select("id", "name")
+    changed = even.union(even.withColumn("id", F.replace("id", F.lit("p-"), F.lit("q-")))).withColumn("seq", F.lit(2))
+    both = changed.union(changed.withColumns({"name": F.lit("Sooner"), "seq": F.lit(1)}))
+    return pf.save_profiles(spark, both, f"{base}/table").select("id", "name")
 
 
 # --- Drafts: a page with the header and one with the lines, under other names of keys.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,18 +39,71 @@ def pick_profiles(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(by)).where("_n = 1").drop("_n")
 
 
-def save_profiles(spark: SparkSession, profiles: DataFrame, path: str, staging: str) -> DataFrame:
-    """Upsert by id into the Parquet table ``path``: written aside first, then put in place."""
-    try:
-        old = spark.read.parquet(path)
-    except Exception as error:  # no table yet
-        if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-            raise
-        old = profiles.limit(0)
-    merged = old.join(profiles.select("id"), "id", "left_anti").unionByName(profiles, allowMissingColumns=True)
-    merged.write.mode("overwrite").parquet(staging)
-    spark.read.parquet(staging).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+#: The file that names the version of a table of profiles that counts.
+POINTER = "CURRENT"
+
+
+def _files(spark: SparkSession, path: str):
+    """Hadoop's path class, the file system and the settings of ``path``."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    conf = spark._jsc.hadoopConfiguration()
+    return hadoop.Path, hadoop.Path(path).getFileSystem(conf), conf
+
+
+def _version(spark: SparkSession, path: str) -> str | None:
+    """The version that counts, or ``None`` where no table has been saved."""
+    new, files, _ = _files(spark, path)
+    pointer = new(f"{path}/{POINTER}")
+    if not files.exists(pointer):
+        return None
+    return spark._jvm.org.apache.hadoop.io.IOUtils.readFullyToByteArray(files.open(pointer)).decode()
+
+
+def _point(spark: SparkSession, path: str, version: str) -> None:
+    """Make ``version`` the one that counts: one rename, so a reader sees the old or the new one."""
+    new, files, conf = _files(spark, path)
+    aside = new(f"{path}/{POINTER}.{version}")
+    out = files.create(aside, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    rename = getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(aside.toUri(), conf).rename(aside, new(f"{path}/{POINTER}"), options)
+
+
+def load_profiles(spark: SparkSession, path: str) -> DataFrame:
+    """The table of profiles as last saved."""
+    version = _version(spark, path)
+    if version is None:
+        raise FileNotFoundError(f"no profiles saved in {path}")
+    return spark.read.parquet(f"{path}/{version}")
+
+
+def save_profiles(spark: SparkSession, profiles: DataFrame, path: str, order: str = "seq") -> DataFrame:
+    """Upsert by id into the table in the folder ``path``.
+
+    A call writes a version of its own and then makes it the one that counts, so a call
+    that fails on the way leaves the table as it was.  The version before stays for those
+    who read it; older ones go.  Of equal ids in one call the one of greatest ``order``
+    counts (by its JSON, where that is equal or no column).
+    """
+    place = [F.desc(c) for c in ([order] if order in profiles.columns else [])] + [F.desc(F.to_json(F.struct(*profiles.columns)))]
+    ranked = profiles.withColumn("_n", F.row_number().over(W.partitionBy("id").orderBy(*place)))
+    merged = ranked.where("_n = 1").drop("_n", *([order] if order in profiles.columns else []))
+    before = _version(spark, path)
+    if before is not None:
+        old = spark.read.parquet(f"{path}/{before}")
+        merged = old.join(merged.select("id"), "id", "left_anti").select(*old.columns).unionByName(merged, allowMissingColumns=True)
+    version = f"v-{uuid.uuid4().hex}"
+    merged.write.parquet(f"{path}/{version}")
+    _point(spark, path, version)
+    new, files, _ = _files(spark, path)
+    for status in files.listStatus(new(path)):
+        name = status.getPath().getName()
+        if name.startswith("v-") and name not in (version, before):
+            files.delete(status.getPath(), True)
+    return load_profiles(spark, path)
 
 
 def profile_audit(rows: DataFrame) -> DataFrame:
