@@ -59,14 +59,10 @@ def parse_payload(payloads: DataFrame) -> DataFrame:
     return rows.select("doc_id", "page_no", "page_warnings", *status, *[c.alias(n) for n, c in (fields | texts).items()])
 
 
-def _number_struct(names: tuple[str, ...]) -> list[Column]:
-    """Numbers of a page, and how many of them are printed but are no numbers."""
-    bad = [(optional_text(F.col(n)).isNotNull() & parse_decimal(F.col(n)).isNull()).cast("int").alias(f"bad_{n}") for n in names]
-    return [parse_decimal(F.col(n)).alias(n) for n in names] + bad
-
-
 def _page_struct() -> Column:
-    return F.struct("page_no", "page_warnings", *TEXTS, *_number_struct(NUMBERS))
+    """A page: its texts, its numbers, and which of those are printed but are no numbers."""
+    bad = [(F.col(f"s{i}").isNotNull() & F.col(f"n{i}").isNull()).cast("int").alias(f"bad_{n}") for i, n in enumerate(NUMBERS)]
+    return F.struct("page_no", "page_warnings", *TEXTS, *[F.col(f"n{i}").alias(n) for i, n in enumerate(NUMBERS)], *bad)
 
 
 def _field(pages: Column, name: str) -> Column:
@@ -90,7 +86,7 @@ def _bad(pages: Column, name: str) -> Column:
 
 def _gather(pages: DataFrame) -> DataFrame:
     """One row a document with its pages in order."""
-    return pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(_page_struct())).alias("held"))
+    return _parsed(pages, [F.col(n) for n in NUMBERS]).groupBy("doc_id").agg(F.array_sort(F.collect_list(_page_struct())).alias("held"))
 
 
 def _header_rows(pages: DataFrame, names: tuple[str, ...]) -> DataFrame:
@@ -113,15 +109,30 @@ def _items(pages: DataFrame, column: str) -> DataFrame:
     return pages.select("doc_id", "page_no", F.posexplode(F.from_json(column, "array<string>")).alias("at", "item")).withColumn("keys", F.from_json("item", KEYS))
 
 
-def _line_struct(tolerance: float) -> Column:
-    """What an item of lines says, from ``page_no``, ``at`` and ``keys``, with what is wrong with it."""
-    fields = _fields(F.col("keys"), ("description", "user", "project_reference", "quantity", "unit_price", "amount"), LINE_ALIASES)
-    texts = {n: optional_text(fields[n]) for n in ("description", "user", "project_reference")}
-    numbers = {n: parse_decimal(fields[n]) for n in ("quantity", "unit_price", "amount")}
+_LINE_TEXTS, _LINE_NUMBERS, _TAX_NUMBERS = ("description", "user", "project_reference"), ("quantity", "unit_price", "amount"), ("rate", "taxable_base", "amount")
+
+
+def _line_fields() -> dict[str, Column]:
+    return _fields(F.col("keys"), (*_LINE_TEXTS, *_LINE_NUMBERS), LINE_ALIASES)
+
+
+def _tax_fields() -> dict[str, Column]:
+    return _fields(F.col("keys"), ("tax_type", *_TAX_NUMBERS), TAX_ALIASES)
+
+
+def _parsed(rows: DataFrame, raws: list[Column]) -> DataFrame:
+    """Rows with numbers as printed in ``s0`` and on, and as numbers in ``n0`` and on: each is read once."""
+    rows = rows.withColumns({f"s{i}": optional_text(raw) for i, raw in enumerate(raws)})
+    return rows.withColumns({f"n{i}": parse_decimal(F.col(f"s{i}")) for i in range(len(raws))})
+
+
+def _line_struct(texts: dict[str, Column], tolerance: float) -> Column:
+    """What an item of lines says, from ``page_no``, ``at`` and its parsed numbers, with what is wrong with it."""
+    numbers, said = ({n: F.col(f"{kind}{i}") for i, n in enumerate(_LINE_NUMBERS)} for kind in "ns")
     product = (numbers["quantity"] * numbers["unit_price"]).cast("decimal(38,12)")
     names = {"quantity": "cantidad", "unit_price": "precio unitario", "amount": "importe"}
     lost = {"quantity": "Falta la cantidad de la línea.", "unit_price": "Falta el precio unitario de la línea.", "amount": "Falta el importe de la línea."}
-    wrong = [F.when(optional_text(fields[n]).isNotNull() & numbers[n].isNull(), F.format_string(f"Página %d, línea %d, {label}: Valor numérico no válido: %s", "page_no", F.col("at") + 1, optional_text(fields[n]))) for n, label in names.items()]
+    wrong = [F.when(said[n].isNotNull() & numbers[n].isNull(), F.format_string(f"Página %d, línea %d, {label}: Valor numérico no válido: %s", "page_no", F.col("at") + 1, said[n])) for n, label in names.items()]
     wrong.append(F.when(~within_tolerance(product, numbers["amount"], tolerance), "Cantidad por precio unitario no coincide con el importe."))
     wrong.append(F.when(texts["description"].isNull(), "Falta la descripción de la línea."))
     wrong += [F.when(numbers[n].isNull(), text) for n, text in lost.items()]
@@ -130,16 +141,19 @@ def _line_struct(tolerance: float) -> Column:
 
 def draft_lines(pages: DataFrame, tolerance: float = 0.10) -> DataFrame:
     """One row an item, with its numbers and what is wrong with it."""
-    rows = _items(pages, "line_items").withColumn("l", _line_struct(tolerance))
+    fields = _line_fields()
+    rows = _parsed(_items(pages, "line_items").withColumns({f"_{n}": optional_text(fields[n]) for n in _LINE_TEXTS}), [fields[n] for n in _LINE_NUMBERS])
+    rows = rows.withColumn("l", _line_struct({n: F.col(f"_{n}") for n in _LINE_TEXTS}, tolerance))
     return rows.select("doc_id", "page_no", "at", "l.*")
 
 
-def _tax_struct() -> Column:
-    """What a tax row says, from ``keys``, and how many of its numbers are none."""
-    fields = _fields(F.col("keys"), ("tax_type", "rate", "taxable_base", "amount"), TAX_ALIASES)
-    numbers = {n: parse_decimal(fields[n]) for n in ("rate", "taxable_base", "amount")}
-    bad = reduce(lambda a, b: a + b, [(optional_text(fields[n]).isNotNull() & numbers[n].isNull()).cast("int") for n in numbers])
-    return F.struct(optional_text(fields["tax_type"]).alias("tax_type"), *[v.alias(n) for n, v in numbers.items()], bad.alias("bad"))
+def _bad_numbers(count: int) -> Column:
+    return reduce(lambda a, b: a + b, [(F.col(f"s{i}").isNotNull() & F.col(f"n{i}").isNull()).cast("int") for i in range(count)])
+
+
+def _tax_struct(tax_type: Column) -> Column:
+    """What a tax row says, from its parsed numbers, and how many of them are none."""
+    return F.struct(tax_type.alias("tax_type"), *[F.col(f"n{i}").alias(n) for i, n in enumerate(_TAX_NUMBERS)], _bad_numbers(3).alias("bad"))
 
 
 _TAX = ("tax_type", "rate", "taxable_base", "amount")
@@ -147,7 +161,9 @@ _TAX = ("tax_type", "rate", "taxable_base", "amount")
 
 def draft_taxes(pages: DataFrame) -> DataFrame:
     """Tax rows that say something, the first of equal ones."""
-    rows = _items(pages, "taxes").withColumn("t", _tax_struct()).select("doc_id", "page_no", "at", "t.*")
+    fields = _tax_fields()
+    rows = _parsed(_items(pages, "taxes"), [fields[n] for n in _TAX_NUMBERS])
+    rows = rows.withColumn("t", _tax_struct(optional_text(fields["tax_type"]))).select("doc_id", "page_no", "at", "t.*")
     by = W.partitionBy("doc_id", *_TAX).orderBy("page_no", "at")
     said = F.coalesce(*[F.col(n).cast("string") for n in _TAX]).isNotNull()
     kept = rows.withColumn("n", F.row_number().over(by)).where((F.col("n") == 1) & said)
@@ -224,10 +240,15 @@ def invoice_draft(payloads: DataFrame, tolerance: float = 0.10) -> DataFrame:
     page = F.array(F.struct(F.lit(0).alias("kind"), F.lit(0).alias("at"), F.lit(None).cast("string").alias("item")))
     rows = pages.select("doc_id", "page_no", "page_warnings", status.alias("status"), *TEXTS, *NUMBERS, F.explode(F.concat(page, *items)).alias("e"))
     rows = rows.select("*", "e.kind", "e.at", F.from_json("e.item", KEYS).alias("keys"))
-    kind = F.col("kind")
+    kind, lines, taxes = F.col("kind"), _line_fields(), _tax_fields()
+    # The numbers of a page, an item and a tax share four columns, so that each row's are parsed once.
+    numbers = [F.when(kind == 0, F.col(n)).when(kind == 1, lines[_LINE_NUMBERS[i]] if i < 3 else None).otherwise(taxes[_TAX_NUMBERS[i]] if i < 3 else None) for i, n in enumerate(NUMBERS)]
+    texts = {f"t{i}": optional_text(F.when(kind == 1, lines[n]).when(kind == 2, taxes["tax_type"] if i == 0 else None)) for i, n in enumerate(_LINE_TEXTS)}
+    rows = _parsed(rows.withColumns(texts), numbers)
     rows = rows.select(
-        "doc_id", "kind", F.when(kind == 0, F.col("status")).alias("status"), F.when(kind == 0, _page_struct()).alias("page"), F.when(kind == 1, _line_struct(tolerance)).alias("l"),
-        F.when(kind == 2, F.struct("page_no", "at", _tax_struct().alias("t"))).alias("tax"),
+        "doc_id", "kind", F.when(kind == 0, F.col("status")).alias("status"), F.when(kind == 0, _page_struct()).alias("page"),
+        F.when(kind == 1, _line_struct({n: F.col(f"t{i}") for i, n in enumerate(_LINE_TEXTS)}, tolerance)).alias("l"),
+        F.when(kind == 2, F.struct("page_no", "at", _tax_struct(F.col("t0")).alias("t"))).alias("tax"),
     )
     complete = F.col("l.description").isNotNull() & F.col("l.quantity").isNotNull() & F.col("l.unit_price").isNotNull() & F.col("l.amount").isNotNull()
     rows = rows.groupBy("doc_id").agg(
