@@ -4,8 +4,9 @@ import hashlib
 import io
 import os
 import re
+import time
 import zipfile
-from datetime import datetime
+from datetime import datetime, timedelta
 from decimal import Decimal
 
 import pytest
@@ -133,6 +134,63 @@ def test_lines_of_a_megabyte(spark, text):
     assert rows.select(F.size(detect.candidates(F.col("text"), F.col("label"))).alias("n")).first().n < 10
 
 
+def test_fifty_thousand_matches_in_a_line(spark):
+    """A line of a megabyte, through every step that reads it; the first run also builds the plans."""
+    n = 50_000
+    line, want = " ".join(f"ana{i}@x{i % 9}.com" for i in range(n)), " ".join(f"[EMAIL_{i + 1:02d}]" for i in range(n))
+    steps = {
+        "detect": lambda t: detect.as_findings(detect.detect_rules(docs(spark, t))).count(),
+        "anonymise": lambda t: redact.anonymise(docs(spark, t)).first().text,
+        "row": lambda t: redact.redact_texts(spark.createDataFrame([(t,)], "text string")).first().text,
+    }
+    for name, step in steps.items():
+        step("ana@x.com")
+        began = time.perf_counter()
+        assert step(line) == (n if name == "detect" else want)
+        assert time.perf_counter() - began < 60, name
+
+
+def test_fifty_thousand_candidates_in_a_block(spark):
+    """Pairs that overlap, the second of more authority: each leaves one with the evidence of both."""
+    n = 25_000
+    one = lambda at, end, p, src: F.struct(F.lit("X").alias("entity_type"), at.alias("start"), end.alias("end"), F.lit("v").alias("value"), F.lit(0.5).alias("confidence"), F.lit(p).alias("priority"), F.lit(0).alias("ord"), F.array(F.lit(src)).alias("sources"), F.lit("r").alias("reason"))
+    pairs = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.array(one(i * 10, i * 10 + 5, 1, "a"), one(i * 10 + 3, i * 10 + 8, 2, "b"))))
+    rows = spark.range(1).select(F.col("id").alias("doc_id"), pairs.cast(detect.NONE).alias("candidates"))
+    began = time.perf_counter()
+    got = resolve.resolve_overlaps(rows).first().candidates
+    assert time.perf_counter() - began < 30
+    assert [(c.start, c.end, c.priority, c.sources) for c in got] == [(i * 10 + 3, i * 10 + 8, 2, ["b", "a"]) for i in range(n)]
+
+
+def test_many_values_in_many_blocks(spark):
+    blocks = spark.range(10_000).select(F.lit(1).alias("doc_id"), F.concat(F.lit("b"), F.col("id").cast("string")).alias("location_id"), F.col("id").cast("int").alias("block_index"), F.concat(F.lit("Sin nada, salvo VALOR-"), F.col("id").cast("string"), F.lit(".")).alias("text"))
+    values = spark.range(10_000).select(F.lit(1).alias("doc_id"), F.concat(F.lit("valor-"), (F.col("id") * 1000).cast("string"), F.lit(".")).alias("value"))
+    began = time.perf_counter()
+    got = redact.verify_literal(blocks, values).collect()
+    assert time.perf_counter() - began < 60
+    assert {(r.location_id, r.needle) for r in got} == {(f"b{i}", f"valor-{i}.") for i in range(0, 10_000, 1000)}
+    odd = blocks.limit(2).union(spark.createDataFrame([(2, "x", 0, None), (3, "y", 0, "abc")], "doc_id long, location_id string, block_index int, text string"))
+    asked = spark.createDataFrame([(3, "B"), (3, "bC"), (3, None), (3, ""), (2, "a"), (9, "z")], "doc_id long, value string")
+    assert {tuple(r) for r in redact.verify_literal(odd, asked).collect()} == {(3, "y", "b"), (3, "y", "bc")}
+
+
+def test_a_group_of_many_findings_is_summed_up_first(spark):
+    rows = spark.range(100_000).select(F.lit(1).alias("doc_id"), F.lit("p").alias("part"), F.col("id").cast("int").alias("block_index"), F.lit(0).alias("start"), F.lit(3).alias("end"), F.lit("EMAIL").alias("entity_type"), F.when(F.col("id") == 0, "A@b.es").otherwise("a@b.es").alias("value"), F.lit(0.97).alias("confidence"), F.array(F.when(F.col("id") % 2 == 0, "two").otherwise("one")).alias("sources"), F.lit("r").alias("reason"), F.col("id").cast("string").alias("id"))
+    got = resolve.group_findings(rows)
+    assert [(r.value, r.occurrences, r.sources, r.reason) for r in got.collect()] == [("A@b.es", 100_000, ["two", "one"], "r")]
+    assert resolve.group_members(rows).count() == 100_000 and "items" not in got.columns
+
+
+def test_a_thousand_profiles_in_one_plan(spark):
+    profiles = [FLAT | {"id": f"flat-{i}", "name": f"Flat {i:04d}", "detection": {"all_terms": [f"emisor n{i:04d}", "factura"], "page_limit": 2}} for i in range(1000)]
+    rows = [(7, 0, "Emisor N0042\nFactura FAC-7\nFecha : 01/02/2024\nCliente: 9\nBASE IMPONIBLE 10,00\nTOTAL IVA 21,00 %\nTOTAL FACTURA 12,10"), (7, 1, "SVC 3 2,00 5,00 10,00 EUR"), (8, 0, "Emisor desconocido"), (9, 2, "Emisor N0001 factura")]
+    began = time.perf_counter()
+    analysed, lines, rest = invoices.analyse_all(spark.createDataFrame(rows, "doc_id long, page_index int, text string"), profiles)
+    got = [(r.doc_id, r.provider, r.verdict, float(r.taxable_base)) for r in analysed.collect()]
+    assert got == [(7, "Flat 0042", "ok", 10.0)] and [float(r.amount) for r in lines.collect()] == [10.0] and sorted(r.doc_id for r in rest.collect()) == [8, 9]
+    assert time.perf_counter() - began < 60
+
+
 def test_allowlist_as_a_table(spark):
     rows = detect.as_findings(detect.detect_rules(docs(spark, "Madrid, Vigo y Toledo")))
     allowed = spark.createDataFrame([(" MADRID ",), ("vigo",), (" ",), (None,)], "value string")
@@ -263,6 +321,24 @@ def test_registry_in_batch_and_stream(spark, tmp_path):
     assert set(seen.values()) == want
 
 
+def test_identities_are_forgotten(spark, tmp_path):
+    schema = "oid string, email string, name string, authenticated boolean, ts timestamp"
+    start = datetime(2024, 1, 1)
+    for day in range(0, 60, 10):  # each batch is ten days on, with its own twenty users and one of all batches
+        own = [(f"d{day}-{i}", f"d{day}-{i}@x.es", f"N{i}", True, start + timedelta(days=day)) for i in range(20)]
+        spark.createDataFrame([*own, ("all", "all@x.es", None if day else "Ana", True, start + timedelta(days=day, hours=1))], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    users, sizes = {}, []
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(f"{tmp_path}/in")
+    query = observed_users_stream(events, lambda batch, _: users.update({r.key: tuple(r) for r in batch.collect()}), f"{tmp_path}/state", forget_after_days=15)
+    query.awaitTermination(240)
+    sizes = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert len(users) == 121 and users["all"] == ("all", "all@x.es", "Ana", start + timedelta(hours=1), start + timedelta(days=50, hours=1))
+    assert max(sizes) <= 81 and sizes[-1] <= 61  # of 121 identities
+    frame = lambda *rows: spark.createDataFrame(rows, "key string, email string, name string, first_seen_at timestamp, last_seen_at timestamp")
+    merged = registry.merge_users(frame(("k", "old@x.es", "Old", start, start)), frame(("k", "new@x.es", None, start + timedelta(1), start + timedelta(2))))
+    assert [tuple(r) for r in merged.collect()] == [("k", "new@x.es", "Old", start, start + timedelta(2))]
+
+
 def test_redact_stream(spark, tmp_path):
     spark.createDataFrame([(1, "a@b.es y c@d.es y A@b.es"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/in")
     query = redact_stream(spark.readStream.schema("doc_id long, text string").parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/state")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,12 +49,35 @@ def coverage_gate(issues: DataFrame, remove_unsupported: bool) -> DataFrame:
     return flags.select("doc_id", verdict.alias("verdict"))
 
 
+#: Blocks of a slice of a document that is searched for all of the document's values at once.
+SLICE = 256
+
+
+def _find_needles(_, blocks: pa.Table, needles: pa.Table) -> pa.Table:
+    """Which values of a document stand in each block of one of its slices: an automaton of all reads each block once."""
+    import ahocorasick
+
+    automaton, found = ahocorasick.Automaton(), []
+    for needle in needles["needle"].to_pylist():
+        automaton.add_word(needle, needle)
+    if len(automaton) and blocks.num_rows:
+        automaton.make_automaton()
+        for doc, place, text in zip(*(blocks[c].to_pylist() for c in ("doc_id", "location_id", "text")), strict=True):
+            found += [(doc, place, needle) for needle in dict.fromkeys(n for _, n in automaton.iter(text))]
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*found, strict=True) if found else ([], [], []), (blocks.schema.field("doc_id").type, pa.string(), pa.string()), strict=True)], names=["doc_id", "location_id", "needle"])
+
+
 def verify_literal(redacted: DataFrame, selected: DataFrame) -> DataFrame:
-    """Applied values that, whatever their case, are still in a block of their document."""
-    values = selected.groupBy("doc_id").agg(F.collect_set(F.lower("value")).alias("_needles"))
-    lower = F.lower("text")
-    left = redacted.join(values, "doc_id").select("doc_id", "location_id", F.filter("_needles", lambda n: lower.contains(n)).alias("_left"))
-    return left.select("doc_id", "location_id", F.explode_outer("_left").alias("needle")).where("needle is not null").distinct()
+    """Applied values that, whatever their case, are still in a block of their document.
+
+    A document is searched in slices of ``SLICE`` blocks, each with its own copy of the
+    document's values, so a document of many blocks is the work of many tasks.
+    """
+    needles = selected.select("doc_id", F.lower("value").alias("needle")).where("needle <> ''").distinct()
+    blocks = redacted.select("doc_id", F.floor(F.col("block_index") / SLICE).cast("long").alias("slice"), "location_id", F.lower("text").alias("text")).where("text is not null")
+    dealt = blocks.select("doc_id", "slice").distinct().join(needles, "doc_id").toDF("doc_id", "slice", "needle")  # columns of its own
+    schema = f"doc_id {dict(redacted.dtypes)['doc_id']}, location_id string, needle string"
+    return blocks.groupBy("doc_id", "slice").cogroup(dealt.groupBy("doc_id", "slice")).applyInArrow(_find_needles, schema).distinct()
 
 
 def verify_detectors(redacted: DataFrame, selected: DataFrame) -> DataFrame:

@@ -35,6 +35,15 @@ def observed_users(events: DataFrame, merge_emails: bool = False) -> DataFrame:
     ).select("key", "email", "name", "first_seen_at", "last_seen_at")
 
 
+def merge_users(users: DataFrame, changed: DataFrame) -> DataFrame:
+    """Rows of identities with those that a stream has handed on since, one a key."""
+    last = F.struct("last_seen_at", "email")
+    return users.unionByName(changed).groupBy("key").agg(
+        F.max_by("email", last).alias("email"), F.max_by("name", F.when(F.col("name").isNotNull(), F.struct("last_seen_at", "name"))).alias("name"),
+        F.min("first_seen_at").alias("first_seen_at"), F.max("last_seen_at").alias("last_seen_at"),
+    )
+
+
 def users_by_recency(users: DataFrame) -> DataFrame:
     return users.orderBy(F.desc("last_seen_at"), "key")
 
