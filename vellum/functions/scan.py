@@ -55,7 +55,7 @@ def cut(values: Column, begins: Callable[[Column, Column], Column]) -> Column:
 
 def pieces(text: Column) -> Column:
     """A text in pieces of ``SIZE`` characters."""
-    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{SIZE}}}"), F.lit(0))
+    return F.when(F.length(text) <= SIZE, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{SIZE}}}"), F.lit(0)))
 
 
 def window(parts: Column, start: Column, end: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vellum.functions import text as tx
+from vellum.functions.scan import let
 from vellum.operators.detect import NONE, bunches
 
 
@@ -19,7 +20,7 @@ def resolve(found: Column) -> Column:
     candidates of a block, and with the square only of those in a chain of overlaps.
     """
     alone = lambda bunch: F.when(F.size(bunch) == 1, bunch).otherwise(_resolve_bunch(bunch))
-    return F.flatten(F.transform(bunches(found), alone))
+    return let(found, lambda found: F.when(F.size(found) < 2, found).otherwise(F.flatten(F.transform(bunches(found), alone))))
 
 
 def _resolve_bunch(found: Column) -> Column:
