@@ -59,9 +59,9 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two pages an order: the header, and its lines in the order's own form."""
-    rows, flat = _items(spark, sf_dir), F.col("doc_id") % 2 == 0
+def pages(spark: SparkSession, sf_dir: str, flat: bool | None = None) -> DataFrame:
+    """Two pages an order: the header, and its lines in one form, or by default in the order's own."""
+    rows, flat = _items(spark, sf_dir), F.col("doc_id") % 2 == 0 if flat is None else F.lit(flat)
     price = F.concat((F.col("s") % 90 + 1).cast("string"), F.lit(",50"))
     ref = F.when(F.col("rn") % 3 == 1, F.concat(F.lit("Ref: proyecto "), F.col("s").cast("string"), F.lit("\n"))).otherwise("")
     flat_row = F.concat(ref, F.format_string("SVC %d %d,00 %s %s EUR", "p", "q", price, _es(F.col("c"))))
@@ -84,7 +84,8 @@ def _doubles(df: DataFrame) -> DataFrame:
 
 
 def _own(spark: SparkSession, sf_dir: str, flat: bool) -> DataFrame:
-    return pages(spark, sf_dir).where(F.col("doc_id") % 2 == (0 if flat else 1))
+    """All orders in one form."""
+    return pages(spark, sf_dir, flat)
 
 
 @query(f"SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'unsupported' WHEN flat THEN 'flat-demo' ELSE 'grouped-demo' END AS profile_id FROM ({_INV})")
@@ -112,9 +113,9 @@ def invoice_header(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FLAT_LINES = f"""SELECT doc_id, 'line-' || rn AS line_id, 'SVC ' || p AS service, q::DOUBLE AS quantity, s % 90 + 1.5::DOUBLE AS unit_price, c / 100.0::DOUBLE AS amount,
-  last_value(CASE WHEN rn % 3 = 1 THEN s::VARCHAR END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY rn ROWS UNBOUNDED PRECEDING) AS project_reference FROM ({_L}) WHERE doc_id % 2 = 0"""
+  last_value(CASE WHEN rn % 3 = 1 THEN s::VARCHAR END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY rn ROWS UNBOUNDED PRECEDING) AS project_reference FROM ({_L})"""
 _GROUPED_LINES = f"""SELECT doc_id, 'line-' || row_number() OVER (PARTITION BY doc_id ORDER BY rn) AS line_id, 'u' || u || '@x.es' AS "user", q::DOUBLE AS quantity, c / 100.0::DOUBLE AS amount,
-  CASE WHEN p % 5 = 0 THEN 0.75 ELSE 0.99 END::DOUBLE AS confidence FROM ({_GROUPED_OK}) WHERE doc_id % 2 = 1 AND p % 7 <> 0"""
+  CASE WHEN p % 5 = 0 THEN 0.75 ELSE 0.99 END::DOUBLE AS confidence FROM ({_GROUPED_OK}) WHERE p % 7 <> 0"""
 
 
 @query(_FLAT_LINES)
@@ -140,7 +141,7 @@ def line_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iv.invoice_lines(_own(spark, sf_dir, True), FLAT).select("doc_id", "line_id")
 
 
-_ANALYSED = f"SELECT i.doc_id, t.n AS n_lines, i.doc_id % 3 = 0 AS warned, 'ok' AS verdict FROM ({_INV}) i JOIN ({_SUM}) t ON i.doc_id = t.doc_id WHERE flat"
+_ANALYSED = f"SELECT i.doc_id, t.n AS n_lines, i.doc_id % 3 = 0 AS warned, 'ok' AS verdict FROM ({_INV}) i JOIN ({_SUM}) t ON i.doc_id = t.doc_id"
 
 
 @query(_ANALYSED)
@@ -149,7 +150,7 @@ def invoice_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", (F.size("warnings") > 0).alias("warned"), "verdict")
 
 
-@query(f"SELECT doc_id, provider, n::BIGINT AS n_lines FROM (SELECT 'Flat demo' AS provider, i.doc_id, t.n FROM ({_INV}) i JOIN ({_SUM}) t ON i.doc_id = t.doc_id WHERE flat AND i.doc_id % 10 <> 0 UNION ALL SELECT 'Grouped demo', doc_id, count(*) FROM ({_GROUPED_LINES}) GROUP BY doc_id)")
+@query(f"SELECT doc_id, provider, n::BIGINT AS n_lines FROM (SELECT 'Flat demo' AS provider, i.doc_id, t.n FROM ({_INV}) i JOIN ({_SUM}) t ON i.doc_id = t.doc_id WHERE flat AND i.doc_id % 10 <> 0 UNION ALL SELECT 'Grouped demo', doc_id, count(*) FROM ({_GROUPED_LINES}) WHERE doc_id % 2 = 1 GROUP BY doc_id)")
 def analyse_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table of both issuers' invoices, extracted by whichever profile fits."""
     rows, _, _ = iv.analyse_all(pages(spark, sf_dir), [FLAT, GROUPED])

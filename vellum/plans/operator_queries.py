@@ -164,12 +164,13 @@ def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "offset", F.length("chunk").alias("size"), F.md5(F.col("chunk").cast("binary")).alias("digest"))
 
 
-_HITS = "SELECT doc_id, 'text:body:block[0]' AS location_id, 0 AS offset, 0 AS start, CAST(3 + doc_id % 9 AS INT) AS `end`, CASE doc_id % 4 WHEN 0 THEN 'PERSON' WHEN 1 THEN 'MISC' ELSE 'LOCATION' END AS entity_type, doc_id % 100 / 100.0 AS score FROM {documents}"
+#: A hit a document, in one of its first three lines, in a chunk that begins at its start or behind it.
+_HITS = "SELECT doc_id, concat('text:body:block[', doc_id % 3, ']') AS location_id, CAST(doc_id % 4 * 7 AS INT) AS offset, CAST(doc_id % 2 AS INT) AS start, CAST(4 + doc_id % 9 AS INT) AS `end`, CASE doc_id % 4 WHEN 0 THEN 'PERSON' WHEN 1 THEN 'MISC' ELSE 'LOCATION' END AS entity_type, doc_id % 100 / 100.0 AS score FROM {documents}"
 
 
 @query("""
-  SELECT doc_id, entity_type, 0 AS start, "end", substr(l, 1, "end") AS value, score::DOUBLE AS confidence
-  FROM (SELECT doc_id, string_split(text, chr(10))[1] AS l, (3 + doc_id % 9)::INT AS "end", CASE doc_id % 4 WHEN 0 THEN 'PERSON' WHEN 1 THEN 'MISC' ELSE 'LOCATION' END AS entity_type, doc_id % 100 / 100.0 AS score FROM documents)
+  SELECT doc_id, entity_type, start, "end", substr(l, start + 1, "end" - start) AS value, score::DOUBLE AS confidence
+  FROM (SELECT doc_id, string_split(text, chr(10))[doc_id % 3 + 1] AS l, (doc_id % 4 * 7 + doc_id % 2)::INT AS start, (doc_id % 4 * 7 + 4 + doc_id % 9)::INT AS "end", CASE doc_id % 4 WHEN 0 THEN 'PERSON' WHEN 1 THEN 'MISC' ELSE 'LOCATION' END AS entity_type, doc_id % 100 / 100.0 AS score FROM documents)
   WHERE trim(l) <> '' AND score >= 0.45 AND entity_type <> 'MISC'""")
 def external_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = on_spark(spark, sf_dir, _HITS).withColumn("score", F.col("score").cast("double"))
