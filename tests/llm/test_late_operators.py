@@ -2,18 +2,26 @@
 
 import hashlib
 import math
+import pickle
 import random
 import re
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from vellum.llm import bitplanes, treap
+from tests.oracles import TABLES
+from vellum.llm import bitplanes, langid, quality, treap
+from vellum.llm._folds import fold
+from vellum.llm._store import Scratch
 from vellum.llm.bitplanes import cluster, dots, from_planes, nearest, norms, to_planes
 from vellum.llm.htmltext import extract, main_text, smoothed, threshold
+from vellum.llm.permindex import nearest_neighbours
 
 VECTORS = "vec_id long, embedding array<float>, cluster int, distance long, v string, planes string"
 
@@ -198,3 +206,63 @@ def test_a_treap_finds_what_a_scan_finds():
         order = [c for c in np.lexsort((keys[:, 1], -sums)) if sums[c] > 0][:8]
         scores, found = grid.search(rows, 8, keys, (np.zeros(0, np.int64), np.zeros((0, 2), np.int64)))
         assert scores.tolist() == sums[order].tolist() and found.tolist() == keys[order].tolist()
+
+
+@pytest.mark.skipif(not TABLES.is_dir(), reason="the test tables are not here")
+def test_every_language_score_again(spark):
+    """All rows of the smallest table scored text by text from the fitted tables, without numpy's reductions."""
+    docs = spark.read.parquet(str(TABLES / "documents.parquet"))
+    rows = docs.select("doc_id", "text", "lang").where(fold(F.col("doc_id")) != 0)
+    model = langid.fit_languages(rows, Scratch(spark, "again"))
+    texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    for r in langid.identify(docs).collect():
+        text = texts[r["doc_id"]]
+        if text is None or not any(c.isalpha() for c in text):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        margins = [0.0] * model.code.shape[1]
+        for _, _, buckets, _ in langid.grams(pa.array([text])):
+            for b, n in Counter(buckets.tolist()).items():
+                margins = [m + n * float(t) for m, t in zip(margins, model.table[b])]
+        margins = [max(-30.0, min(30.0, langid.EVIDENCE * m)) for m in margins]
+        losses = [sum(w * math.log1p(math.exp(-m * (1 if bit else -1))) for m, w, bit in zip(margins, model.weight, code)) for code in model.code]
+        best = min(range(len(losses)), key=lambda i: losses[i])
+        score = 1 / sum(math.exp(losses[best] - x) for x in losses)
+        assert r["lang_pred"] == model.langs[best] and abs(r["score"] - score) < 1e-4
+
+
+@pytest.mark.skipif(not TABLES.is_dir(), reason="the test tables are not here")
+def test_every_quality_score_again(spark, monkeypatch):
+    """All rows of the smallest table scored pair by pair from the fitted weights, without the identity of squares."""
+    fitted = []
+    monkeypatch.setattr(quality, "pickle", SimpleNamespace(loads=lambda x: fitted.append(pickle.loads(x)) or fitted[-1], dumps=pickle.dumps))
+    docs, labels = (spark.read.parquet(str(TABLES / f"{t}.parquet")) for t in ("documents", "labels"))
+    got = {r["doc_id"]: r for r in quality.score_quality(docs, labels, metadata=("n_chars",)).collect()}
+    model = fitted[0]
+    for r in docs.select("doc_id", "text", "n_chars").collect():
+        size = np.array([[math.copysign(math.log1p(abs(r["n_chars"] or 0)), r["n_chars"] or 0)]])
+        (_, _, *row), *_ = quality.features(pa.array([r["text"]], pa.string()), size)
+        index, value, _ = model.rows(*row)
+        raw, before = model.bias, np.zeros(model.factor.shape[1])
+        for i, v in zip(index.tolist(), value.tolist()):
+            own = model.factor[i] * v
+            raw += model.linear[i] * v + float(own @ before)  # its pairs with all before it
+            before = before + own
+        want = 1 / (1 + math.exp(-max(-30.0, min(30.0, raw))))
+        assert abs(got[r["doc_id"]]["score"] - want) < 1e-6 and got[r["doc_id"]]["predicted"] == int(want >= 0.3)
+
+
+def test_neighbours_in_clusters_of_very_different_sizes(spark):
+    rng = np.random.default_rng(8)
+    sizes = (rng.pareto(1.2, 60) * 40 + 20).astype(int)
+    data = np.concatenate([rng.normal(size=64) * 3 + rng.normal(size=(n, 64)) * rng.uniform(0.05, 1) for n in sizes])[:12_000].astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<float>").repartition(6)
+    got: dict[int, set] = {}
+    for r in nearest_neighbours(table, every=100, k=10).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits, wide = 0, data.astype(float)
+    for q in range(0, len(data), 100):
+        far = ((wide - wide[q]) ** 2).sum(1)
+        far[q] = np.inf
+        hits += len(got[q] & set(np.lexsort((np.arange(len(far)), far))[:10].tolist()))
+    assert hits / (10 * len(got)) >= 0.9
