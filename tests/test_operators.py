@@ -135,7 +135,7 @@ def test_lines_of_a_megabyte(spark, text):
 
 
 def test_fifty_thousand_matches_in_a_line(spark):
-    """A line of a megabyte, through every step that reads it; the first run also builds the plans."""
+    """A line of a megabyte, through every step that reads it."""
     n = 50_000
     line, want = " ".join(f"ana{i}@x{i % 9}.com" for i in range(n)), " ".join(f"[EMAIL_{i + 1:02d}]" for i in range(n))
     steps = {
@@ -144,10 +144,9 @@ def test_fifty_thousand_matches_in_a_line(spark):
         "row": lambda t: redact.redact_texts(spark.createDataFrame([(t,)], "text string")).first().text,
     }
     for name, step in steps.items():
-        step("ana@x.com")
         began = time.perf_counter()
         assert step(line) == (n if name == "detect" else want)
-        assert time.perf_counter() - began < 60, name
+        assert time.perf_counter() - began < 90, name  # planning included
 
 
 def test_fifty_thousand_candidates_in_a_block(spark):
@@ -174,6 +173,17 @@ def test_many_values_in_many_blocks(spark):
     assert {tuple(r) for r in redact.verify_literal(odd, asked).collect()} == {(3, "y", "b"), (3, "y", "bc")}
 
 
+def test_a_second_detection_of_applied_types_is_that_of_all(spark):
+    texts = [t for t, _ in ANONYMISED if t] + ["Vive en Madrid, España, tel. 612 345 678", "Madrid y a@b.es"]
+    blocks = docs(spark, *texts)
+    findings, _ = redact.analyse(blocks)
+    for kinds in (["LOCALITY", "ES_PHONE", "PASSPORT"], []):
+        chosen = findings.where(F.col("entity_type").isin(kinds)).where("doc_id % 2 = 1 or entity_type = 'LOCALITY'")
+        whole = resolve.with_groups(detect.as_findings(detect.detect_rules(blocks))).join(chosen.select("doc_id", "group_id").distinct(), ["doc_id", "group_id"], "left_semi")
+        key = lambda rows: sorted((r.doc_id, r.start, r.end, r.entity_type, r.value, r.id) for r in rows.collect())
+        assert key(redact.verify_detectors(blocks, chosen)) == key(whole)
+
+
 def test_a_group_of_many_findings_is_summed_up_first(spark):
     rows = spark.range(100_000).select(F.lit(1).alias("doc_id"), F.lit("p").alias("part"), F.col("id").cast("int").alias("block_index"), F.lit(0).alias("start"), F.lit(3).alias("end"), F.lit("EMAIL").alias("entity_type"), F.when(F.col("id") == 0, "A@b.es").otherwise("a@b.es").alias("value"), F.lit(0.97).alias("confidence"), F.array(F.when(F.col("id") % 2 == 0, "two").otherwise("one")).alias("sources"), F.lit("r").alias("reason"), F.col("id").cast("string").alias("id"))
     got = resolve.group_findings(rows)

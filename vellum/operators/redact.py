@@ -13,6 +13,7 @@ from vellum.functions.scan import cut
 from vellum.functions.spans import replace_spans
 from vellum.operators import resolve as rs
 from vellum.operators.detect import as_findings, candidates, detect_rules, filter_candidates
+from vellum.operators.rules import GAZETTEERS, RULES
 from vellum.sources.scratch import Scratch
 
 
@@ -81,8 +82,15 @@ def verify_literal(redacted: DataFrame, selected: DataFrame) -> DataFrame:
 
 
 def verify_detectors(redacted: DataFrame, selected: DataFrame) -> DataFrame:
-    """Findings of a second detection that equal an applied one in type and canonical value."""
-    again = rs.with_groups(as_findings(detect_rules(redacted)))
+    """Findings of a second detection that equal an applied one in type and canonical value.
+
+    Candidates are not resolved here, so each rule stands alone: only those of applied
+    types run, and only in documents with applied findings.  The types are read at once.
+    """
+    kinds = {r[0] for r in selected.select("entity_type").distinct().collect()}
+    rules = [name for name, rule in RULES.items() if rule.kind in kinds]
+    held = redacted.join(selected.select("doc_id").distinct(), "doc_id", "left_semi")
+    again = rs.with_groups(as_findings(detect_rules(held, rules or ["email"], gazetteers=bool(kinds & {*GAZETTEERS}))))
     return again.join(selected.select("doc_id", "group_id").distinct(), ["doc_id", "group_id"], "left_semi")
 
 

@@ -173,17 +173,17 @@ def hidden_content(xml: pd.Series) -> pd.Series:
     return xml.map(_hidden).astype(object)
 
 
-def coverage_issues(parts: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def coverage_issues(parts: DataFrame, id_col: str = "doc_id", unreadable: bool = True) -> DataFrame:
     """Content of each document that no rule can inspect, by kind, with a stable id.
 
     Linked objects and text parts that cannot be read are found where ``parts`` has the
-    column ``xml`` of :func:`ooxml_parts`.
+    column ``xml`` of :func:`ooxml_parts`; the latter are no issue if not ``unreadable``.
     """
     name = F.col("part")
     linked = F.lit(None).cast("string")
     if "xml" in parts.columns:
         parts = parts.withColumn("hidden", F.when(name.rlike(TEXT_PARTS), hidden_content(F.when(name.rlike(TEXT_PARTS), F.col("xml")).otherwise("<x/>"))))
-        linked = F.when((F.col("hidden") != "linked_object") | name.startswith("word/"), F.col("hidden"))
+        linked = F.when((F.col("hidden") == "unreadable_part") & F.lit(unreadable) | (F.col("hidden") == "linked_object") & name.startswith("word/"), F.col("hidden"))
     kinds = F.filter(
         F.array(
             F.when(name.startswith("word/media/") | name.startswith("ppt/media/"), "image"),
