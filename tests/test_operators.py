@@ -184,6 +184,33 @@ def test_a_second_detection_of_applied_types_is_that_of_all(spark):
         assert key(redact.verify_detectors(blocks, chosen)) == key(whole)
 
 
+#: Texts with a value, and others with its like: the same in another form, or another.
+FORMS = [
+    ("NIE X1234567L", "aquí x-1234567-l"), ("tel. 612 345 678", "tel. 612.345-678\u0301"), ("tel. 612 345 678", "tel. 612 345 679"),
+    ("Vive en C\u00e1diz", "vive en CA\u0301DIZ o cadiz"), ("Pagó dos mil euros", "Pagó 2.000 EUR"), ("Pagó dos mil euros", "Pagó tres mil euros"),
+    ("Compra: Acme Hijos S.L.", "Vende; ACME  HIJOS LTD"), ("Cliente: Íñigo Nuñez", "cliente: I\u0301ñigo Nun\u0303ez"), ("de ﬁn@x.es", "de FIN@x.es"),
+    ("IBAN ES91 2100 0418 4502 0005 1332", "IBAN ES9121000418450200051332"), ("a 1/2/1990, edad: 33 años", "Edad:  33 años"), ("\u00d1@x.es", "\u00f1@X.es"),
+    ("de иван@x.es", "de ИВАН@x.es"), ("de @ы.ы y ы@ы.рф", "de Ы@ы.рф"), ("Tarjeta 4111 1111 1111 1111", "4111-1111-1111-1111"), ("nada", "nada"),
+]
+
+
+def test_a_second_detection_reads_only_blocks_that_may_hold_a_value(spark):
+    """Whatever form a value has, none is lost; blocks without one are not read."""
+    rows = [(i, f"{own}\n{other}\n" + "\n".join(f"Línea {n} sin valores, ni {n}@otros.es" for n in range(600 if i == 0 else 3))) for i, (own, other) in enumerate(FORMS)]
+    odd = [(100, None), (101, ""), (102, " \n\n"), (103, "sin hallazgos")]
+    blocks = bl.text_blocks(spark.createDataFrame(rows + odd, "doc_id long, text string"))
+    every = resolve.with_groups(detect.as_findings(detect.detect_rules(blocks)))
+    applied = every.where("block_index = 0")
+    key = lambda rows: sorted((r.doc_id, r.block_index, r.start, r.end, r.entity_type, r.value, r.id) for r in rows.collect())
+    whole = key(every.join(applied.select("doc_id", "group_id").distinct(), ["doc_id", "group_id"], "left_semi"))
+    assert key(redact.verify_detectors(blocks, applied)) == whole
+    again = {FORMS[d] for d, block, *_ in whole if block == 1}
+    assert len(again) >= 9 and FORMS[6] in again and not again & {FORMS[2], FORMS[5], FORMS[-1]}
+    read = redact.may_hold(blocks, applied).groupBy("doc_id").count().collect()
+    assert {r.doc_id: r["count"] for r in read}[0] == 2 and sum(r["count"] for r in read) <= 3 * len(FORMS)
+    assert redact.verify_detectors(blocks, applied.where("false")).count() == 0
+
+
 def test_a_group_of_many_findings_is_summed_up_first(spark):
     rows = spark.range(100_000).select(F.lit(1).alias("doc_id"), F.lit("p").alias("part"), F.col("id").cast("int").alias("block_index"), F.lit(0).alias("start"), F.lit(3).alias("end"), F.lit("EMAIL").alias("entity_type"), F.when(F.col("id") == 0, "A@b.es").otherwise("a@b.es").alias("value"), F.lit(0.97).alias("confidence"), F.array(F.when(F.col("id") % 2 == 0, "two").otherwise("one")).alias("sources"), F.lit("r").alias("reason"), F.col("id").cast("string").alias("id"))
     got = resolve.group_findings(rows)

@@ -81,16 +81,54 @@ def verify_literal(redacted: DataFrame, selected: DataFrame) -> DataFrame:
     return blocks.groupBy("doc_id", "slice").cogroup(dealt.groupBy("doc_id", "slice")).applyInArrow(_find_needles, schema).distinct()
 
 
+#: Stands for an amount in what is searched: equal amounts may share no digit ("dos mil euros").
+_AMOUNT = "€"
+
+
+def _holding(_, blocks: pa.Table, needles: pa.Table) -> pa.Table:
+    """The blocks of a slice of a document whose ``bare`` text has one of the document's needles; the empty one is in all."""
+    import ahocorasick
+
+    words, automaton = set(needles["needle"].to_pylist()), ahocorasick.Automaton()
+    for word in words - {""}:
+        automaton.add_word(word, True)
+    if "" in words or not blocks.num_rows:
+        return blocks.drop_columns("bare")
+    if not words:
+        return blocks.slice(0, 0).drop_columns("bare")
+    automaton.make_automaton()
+    held = [next(automaton.iter(text), None) is not None for text in blocks["bare"].to_pylist()]
+    return blocks.filter(pa.array(held, pa.bool_())).drop_columns("bare")
+
+
+def may_hold(redacted: DataFrame, selected: DataFrame) -> DataFrame:
+    """The blocks in which a rule or gazetteer can find a value that equals an applied one of their document.
+
+    Equal values have equal canonical forms, and the letters and digits of that form stand
+    together among those of any text that has the value.  Values without any (of other
+    alphabets) ask for all blocks of their document; amounts for blocks that name a currency.
+    """
+    needle = F.when(F.col("entity_type") == "MONEY", _AMOUNT).otherwise(tx.bare(tx.canonical_value(F.col("entity_type"), F.col("value"))))
+    needles = selected.select("doc_id", needle.alias("needle")).distinct()
+    blocks = redacted.select("doc_id", "location_id", "part", "block_index", "text", "label").where("text is not null")
+    amount = F.when(F.col("text").rlike(RULES["money"].guard), _AMOUNT).otherwise("")
+    place = F.floor(F.col("block_index") / SLICE).cast("long")
+    dealt = blocks.select("doc_id", place.alias("slice")).distinct().join(needles, "doc_id").toDF("doc_id", "slice", "needle")  # columns of its own
+    schema = ", ".join(f"{c} {t}" for c, t in [*blocks.dtypes, ("slice", "long")])
+    searched = blocks.withColumns({"slice": place, "bare": F.concat(tx.bare(F.col("text")), amount)})
+    return searched.groupBy("doc_id", "slice").cogroup(dealt.groupBy("doc_id", "slice")).applyInArrow(_holding, schema).drop("slice")
+
+
 def verify_detectors(redacted: DataFrame, selected: DataFrame) -> DataFrame:
     """Findings of a second detection that equal an applied one in type and canonical value.
 
-    Candidates are not resolved here, so each rule stands alone: only those of applied
-    types run, and only in documents with applied findings.  The types are read at once.
+    Candidates are not resolved here, so each rule and each block stands alone: only rules
+    of applied types run, and only over blocks that ``may_hold`` an applied value, which
+    after a good redaction are few.  The types are read at once.
     """
     kinds = {r[0] for r in selected.select("entity_type").distinct().collect()}
     rules = [name for name, rule in RULES.items() if rule.kind in kinds]
-    held = redacted.join(selected.select("doc_id").distinct(), "doc_id", "left_semi")
-    again = rs.with_groups(as_findings(detect_rules(held, rules or ["email"], gazetteers=bool(kinds & {*GAZETTEERS}))))
+    again = rs.with_groups(as_findings(detect_rules(may_hold(redacted, selected), rules or ["email"], gazetteers=bool(kinds & {*GAZETTEERS}))))
     return again.join(selected.select("doc_id", "group_id").distinct(), ["doc_id", "group_id"], "left_semi")
 
 
