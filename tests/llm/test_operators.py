@@ -93,9 +93,10 @@ def test_jaccard_matches_brute_force(spark, k, num):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_components(texts, k, num, 100)
 
 
-@pytest.mark.parametrize("block", [1024, 7])
-def test_every_link_of_a_group_is_counted(spark, monkeypatch, block):
+@pytest.mark.parametrize("block,least", [(1024, 64), (7, 64), (2, 5), (1, 1)])
+def test_every_link_of_a_group_is_counted(spark, monkeypatch, block, least):
     monkeypatch.setattr("vellum.llm.jaccard.LINK_BLOCK", block)
+    monkeypatch.setattr("vellum.llm.jaccard.LINK_LEAST", least)
     rng, texts = random.Random(8), []
     for g, (n, members) in enumerate([(90, 40), (30, 12), (60, 2), (40, 1)]):
         base = prose(rng, n).split()

@@ -40,10 +40,11 @@ from vellum.llm.components import connected_components
 COUNT_FRAGMENTS = 16
 #: Bytes of a row of candidate ids, where they are broadcast.
 ID_BYTES = 16
-#: Classes and shingles of a block of a component whose links are counted, and shingles of a product.
-LINK_BLOCK, LINK_SHINGLES, LINK_WIDTH = 512, 1 << 20, 4096
-#: A component has up to so many blocks of so many classes before its blocks grow, so that its pairs are spread over tasks.
-LINK_SPREAD, LINK_LEAST = 8, 64
+#: Classes and shingles of one product of two parts of a component whose links are counted.
+LINK_BLOCK, LINK_WIDTH = 512, 4096
+#: A component has up to so many blocks of so many classes before they grow, then blocks as large as they are many, so
+#: that each set is copied about as often as the square root of the number of tasks; no block has more than so many shingles.
+LINK_SPREAD, LINK_LEAST, LINK_SHINGLES = 8, 64, 1 << 22
 #: Widths of the size classes; at least the largest ratio of sizes a link can bridge.
 SIZE_RATIO = 1.5
 
@@ -198,18 +199,27 @@ def linked_degrees(owner: np.ndarray, shingles: np.ndarray, n: np.ndarray, block
     return out
 
 
-def _degrees(num: int, den: int):
+def _degrees(num: int, den: int, most: int):
+    """The links within one block of a component, or across two: parts of ``most`` sets are multiplied at a time."""
+
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         lists = table.column("seg").combine_chunks()
         cls, first, own = np.unique(table.column("cls").to_numpy(), return_index=True, return_inverse=True)
-        shingles = lists.flatten().to_numpy(zero_copy_only=False)
-        owner = np.repeat(own, lists.value_lengths().to_numpy(zero_copy_only=False))
         n, block, i, j = (table.column(c).to_numpy() for c in ("n", "block", "i", "j"))
-        if i[0] != j[0] and len(np.unique(block)) < 2:
-            counted = np.zeros(len(cls), np.int64)  # one of the two blocks is empty
-        else:
-            counted = linked_degrees(owner, shingles, n[first], block[first], num, den)
+        owner = np.repeat(own, lists.value_lengths().to_numpy(zero_copy_only=False))
+        order = np.argsort(owner, kind="stable")
+        shingles = lists.flatten().to_numpy(zero_copy_only=False)[order]
+        ends = np.searchsorted(owner[order], np.arange(len(cls) + 1))
+        n, block, counted = n[first], block[first], np.zeros(len(cls), np.int64)
+        sides = [np.flatnonzero(block == side) for side in (i[0], j[0])]
+        left, right = ([side[at : at + most] for at in range(0, len(side), most)] for side in sides)
+        for at, a in enumerate(left):
+            for b in right[at:] if i[0] == j[0] else right:
+                both = a if a[0] == b[0] else np.append(a, b)
+                held = np.concatenate([shingles[ends[c] : ends[c + 1]] for c in both])
+                holder = np.repeat(np.arange(len(both)), np.diff(ends)[both])
+                counted[both] += linked_degrees(holder, held, n[both], np.arange(len(both)) >= len(a), num, den)
         return pa.table({"node": cls, "links": counted})
 
     return run
@@ -219,13 +229,14 @@ def link_counts(roots: DataFrame, segments: DataFrame, num: int, den: int) -> Da
     """``node, links``: the links of each class of ``roots(node, root)``, all pairs of each component compared."""
     sizes = segments.groupBy("cls").agg(F.first("n").alias("n"))
     blocks = roots.join(sizes, F.col("node") == F.col("cls")).groupBy("root").agg(F.count("*").alias("members"), F.sum("n").alias("total"))
-    blocks = blocks.select("root", "members", F.greatest(F.ceil(F.col("members") / LINK_BLOCK), F.least(F.lit(LINK_SPREAD), F.ceil(F.col("members") / LINK_LEAST)), F.ceil(F.col("total") / LINK_SHINGLES)).cast("int").alias("blocks"))
+    spread, square = F.least(F.lit(LINK_SPREAD), F.ceil(F.col("members") / LINK_LEAST)), F.ceil(F.sqrt(F.col("members") / LINK_LEAST))
+    blocks = blocks.select("root", "members", F.greatest(spread, square, F.ceil(F.col("total") / LINK_SHINGLES)).cast("int").alias("blocks"))
     placed = roots.join(blocks, "root")
     two = placed.where("members = 2").select("node", F.lit(1).cast("long").alias("links"))
     placed = placed.where("members > 2").select("node", "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
     rows = segments.join(placed, F.col("cls") == F.col("node")).select("root", "block", "cls", "n", "seg", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"))
     rows = rows.select("root", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"), "block", "cls", "n", "seg")
-    counted = rows.groupBy("root", "i", "j").applyInArrow(_degrees(num, den), "node long, links long")
+    counted = rows.groupBy("root", "i", "j").applyInArrow(_degrees(num, den, LINK_BLOCK), "node long, links long")
     return two.union(counted.groupBy("node").agg(F.sum("links").alias("links")))
 
 
