@@ -6,10 +6,11 @@ from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vellum.functions import text as tx
-from vellum.functions.scan import cut
+from vellum.functions.scan import cut, let
 from vellum.functions.spans import replace_spans
 from vellum.operators import resolve as rs
 from vellum.operators.detect import as_findings, candidates, detect_rules, filter_candidates
@@ -83,22 +84,8 @@ def verify_literal(redacted: DataFrame, selected: DataFrame) -> DataFrame:
 
 #: Stands for an amount in what is searched: equal amounts may share no digit ("dos mil euros").
 _AMOUNT = "€"
-
-
-def _holding(_, blocks: pa.Table, needles: pa.Table) -> pa.Table:
-    """The blocks of a slice of a document whose ``bare`` text has one of the document's needles; the empty one is in all."""
-    import ahocorasick
-
-    words, automaton = set(needles["needle"].to_pylist()), ahocorasick.Automaton()
-    for word in words - {""}:
-        automaton.add_word(word, True)
-    if "" in words or not blocks.num_rows:
-        return blocks.drop_columns("bare")
-    if not words:
-        return blocks.slice(0, 0).drop_columns("bare")
-    automaton.make_automaton()
-    held = [next(automaton.iter(text), None) is not None for text in blocks["bare"].to_pylist()]
-    return blocks.filter(pa.array(held, pa.bool_())).drop_columns("bare")
+#: Values of a document that each of its blocks is searched for; of a document with more, all blocks are read.
+VALUES = 256
 
 
 def may_hold(redacted: DataFrame, selected: DataFrame) -> DataFrame:
@@ -106,17 +93,16 @@ def may_hold(redacted: DataFrame, selected: DataFrame) -> DataFrame:
 
     Equal values have equal canonical forms, and the letters and digits of that form stand
     together among those of any text that has the value.  Values without any (of other
-    alphabets) ask for all blocks of their document; amounts for blocks that name a currency.
+    alphabets) ask for all blocks of their document, as do more than ``VALUES`` values;
+    amounts for blocks that name a currency.
     """
     needle = F.when(F.col("entity_type") == "MONEY", _AMOUNT).otherwise(tx.bare(tx.canonical_value(F.col("entity_type"), F.col("value"))))
-    needles = selected.select("doc_id", needle.alias("needle")).distinct()
-    blocks = redacted.select("doc_id", "location_id", "part", "block_index", "text", "label").where("text is not null")
+    first = F.row_number().over(W.partitionBy("doc_id").orderBy("needle"))
+    needles = selected.select("doc_id", needle.alias("needle")).distinct().withColumn("nth", first).where(F.col("nth") <= VALUES + 1)
+    needles = needles.groupBy("doc_id").agg(F.collect_list("needle").alias("needles"))
     amount = F.when(F.col("text").rlike(RULES["money"].guard), _AMOUNT).otherwise("")
-    place = F.floor(F.col("block_index") / SLICE).cast("long")
-    dealt = blocks.select("doc_id", place.alias("slice")).distinct().join(needles, "doc_id").toDF("doc_id", "slice", "needle")  # columns of its own
-    schema = ", ".join(f"{c} {t}" for c, t in [*blocks.dtypes, ("slice", "long")])
-    searched = blocks.withColumns({"slice": place, "bare": F.concat(tx.bare(F.col("text")), amount)})
-    return searched.groupBy("doc_id", "slice").cogroup(dealt.groupBy("doc_id", "slice")).applyInArrow(_holding, schema).drop("slice")
+    holds = let(F.concat(tx.bare(F.col("text")), amount), lambda text: F.exists("needles", lambda n: text.contains(n)))
+    return redacted.join(needles, "doc_id").where((F.size("needles") > VALUES) | holds).select(*redacted.columns)
 
 
 def verify_detectors(redacted: DataFrame, selected: DataFrame) -> DataFrame:
