@@ -16,7 +16,9 @@ Two documents link when ``overlap / union >= num / den``, in integers.
 4. *Counting.* Each pair's overlap is counted fragment by fragment and the partial
    counts are summed per pair.  First every bucket of a prefix shingle is compared
    with one leader; the components so found are then only compared with each other,
-   so that a group of near copies costs its size and not its square.
+   so that a group of near copies costs its size and not its square.  A bucket is
+   paired by its components, and where many sets share a shingle without linking,
+   by two shingles: linked sets share two of prefixes that are longer by one.
 5. *Links.* Every link lies within a component.  Where they are to be counted, all
    pairs of a component are compared, as products of incidence matrices of its blocks.
 """
@@ -45,6 +47,8 @@ LINK_BLOCK, LINK_WIDTH = 512, 4096
 #: A component has up to so many blocks of so many classes before they grow, then blocks as large as they are many, so
 #: that each set is copied about as often as the square root of the number of tasks; no block has more than so many shingles.
 LINK_SPREAD, LINK_LEAST, LINK_SHINGLES = 8, 64, 1 << 22
+#: A bucket is dealt by second shingles where its pairs across components are so many times the rows of those.
+SPLIT_GAIN = 2
 #: Widths of the size classes; at least the largest ratio of sizes a link can bridge.
 SIZE_RATIO = 1.5
 
@@ -282,8 +286,10 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
     often = apart.join(df, "h")
     by_class = W.partitionBy("cls")
     placed = often.withColumns({"r": F.row_number().over(by_class.orderBy("df", "h")), "c": F.count("*").over(by_class)})
-    prefix = placed.select("h", "cls", "n", F.expr("n - c + r - 1").alias("p")).where(F.expr(f"p <= n - (n * {num} + {den - 1}) div {den}"))
-    prefix = scratch.keep(prefix, "prefix")
+    # One shingle more than the prefix, for pairs by two shingles; different sets link by one alone only if 2 * num <= den.
+    after = F.expr(f"n - (n * {num} + {den - 1}) div {den} + 1 - p")
+    reach = scratch.keep(placed.select("h", "cls", "n", F.expr("n - c + r - 1").alias("p")).where(after >= 0), "prefix")
+    prefix = reach.where(after > 0)
 
     # Every bucket against its leader: the set with the fewest rarer shingles is nearest to what the bucket shares.
     leaders = scratch.keep(prefix.groupBy("h").agg(F.min(F.struct("p", "cls", "n")).alias("lead")), "leaders")
@@ -292,13 +298,25 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
     first = scratch.keep(_linked(star, segments, num, den), "first")
     roots = connected_components(first, scratch, "found")
 
-    # Then what is left between components; the smaller set's position is within the short prefix.
+    # Then what is left between components.
     at = prefix.join(roots, F.col("cls") == F.col("node"), "left").select("h", "cls", "n", "p", F.coalesce("root", "cls").alias("root"))
-    mixed = scratch.keep(at.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("h"), "mixing")
-    at = scratch.keep(at.join(mixed, "h", "left_semi"), "mixed")
-    fewer = at.where(F.expr(f"(p + 1) * {num + den} <= n * {den - num} + {num + den}")).select("h", F.col("cls").alias("a"), "n", "p", F.col("root").alias("ra"))
-    more = at.select("h", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("root").alias("rb"))
-    rest = fewer.join(more, "h").where("ra <> rb and (n < m or n = m and a < b)").where(_room(num, den))
+    held = at.groupBy("h", "root").agg(F.count("*").cast("double").alias("c"), F.sum(after).alias("after"))
+    mixes = (F.min("root") < F.max("root")).alias("mixes")
+    pairs = F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))
+    split = (pairs > SPLIT_GAIN * F.sum("after")) & F.lit(2 * num > den)
+    mixed = scratch.keep(held.groupBy("h").agg(mixes, split.alias("split")).where("mixes").select("h", "split"), "mixing")
+    at = scratch.keep(at.join(mixed, "h"), "mixed")
+    # Two shared shingles, the second at p + 1, leave as much room as one at p.
+    seconds = at.where("split").join(reach.select("cls", F.col("h").alias("h2"), F.col("p").alias("p2")), "cls").where("p2 > p")
+    seconds = seconds.select(F.xxhash64("h", "h2").alias("h"), "cls", "n", F.expr("p2 - 1").alias("p"), "root")
+    both = scratch.keep(seconds.groupBy("h").agg(mixes).where("mixes").select("h"), "both")
+    keyed = scratch.keep(at.where("not split").drop("split").unionByName(seconds.join(both, "h", "left_semi")), "keyed")
+    # The smaller set's position is within the short prefix; each meets the components of its buckets, then their sets.
+    fewer = keyed.where(F.expr(f"(p + 1) * {num + den} <= n * {den - num} + {num + den}")).select("h", F.col("cls").alias("a"), "n", "p", F.col("root").alias("ra"))
+    others = keyed.groupBy("h", F.col("root").alias("rb")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    near = fewer.join(others, "h").where(F.expr(f"ra <> rb and high >= n and low * {num} <= n * {den}")).select("h", "rb", "a", "n", "p")
+    more = keyed.select("h", F.col("root").alias("rb"), F.col("cls").alias("b"), F.col("n").alias("m"), F.col("p").alias("q"))
+    rest = near.join(more, ["h", "rb"]).where("n < m or n = m and a < b").where(_room(num, den))
     rest = rest.select("a", "n", "b", "m").distinct()
     known = star.select("a", "b").union(star.select("b", "a"))
     links = scratch.keep(first.union(_linked(rest.join(known, ["a", "b"], "left_anti"), segments, num, den)), "links")
@@ -310,7 +328,7 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
     heads = heads.join(roots.join(degree, "node"), F.col("cls") == F.col("node"), "left").select("cls", "least", F.coalesce("root", "cls").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
     best = heads.groupBy("root").agg(F.min("least").alias("best"))
     heads = scratch.keep(heads.join(best, "root").select("cls", "root", "best", "links"), "heads")
-    scratch.drop("several", "chosen", "segments", "df", "prefix", "leaders", "star", "first", "mixing", "mixed", "links")
+    scratch.drop("several", "chosen", "segments", "df", "prefix", "leaders", "star", "first", "mixing", "mixed", "both", "keyed", "links")
     out = classes.join(heads, "cls", "left")
     empty = F.col("n") == 0
     n_links = [F.when(empty, F.lit(0)).otherwise(F.col("links")).cast("long").alias("n_links")] if count_links else []
