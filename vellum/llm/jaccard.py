@@ -313,8 +313,10 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
     keyed = scratch.keep(at.where("not split").drop("split").unionByName(seconds.join(both, "h", "left_semi")), "keyed")
     # The smaller set's position is within the short prefix; each meets the components of its buckets, then their sets.
     fewer = keyed.where(F.expr(f"(p + 1) * {num + den} <= n * {den - num} + {num + den}")).select("h", F.col("cls").alias("a"), "n", "p", F.col("root").alias("ra"))
-    others = keyed.groupBy("h", F.col("root").alias("rb")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    near = fewer.join(others, "h").where(F.expr(f"ra <> rb and high >= n and low * {num} <= n * {den}")).select("h", "rb", "a", "n", "p")
+    least = _need("n", "greatest(n, low)", num, den)
+    others = keyed.groupBy("h", F.col("root").alias("rb")).agg(F.min("n").alias("low"), F.max(F.struct("n", "cls")).alias("top"), F.min("p").alias("q"))
+    near = fewer.join(others, "h").where(F.expr(f"ra <> rb and struct(n, a) < top and low * {num} <= n * {den}") & (F.col("n") - F.col("p") >= least) & (F.col("top.n") - F.col("q") >= least))
+    near = near.select("h", "rb", "a", "n", "p")
     more = keyed.select("h", F.col("root").alias("rb"), F.col("cls").alias("b"), F.col("n").alias("m"), F.col("p").alias("q"))
     rest = near.join(more, ["h", "rb"]).where("n < m or n = m and a < b").where(_room(num, den))
     rest = rest.select("a", "n", "b", "m").distinct()
