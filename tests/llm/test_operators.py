@@ -93,6 +93,20 @@ def test_jaccard_matches_brute_force(spark, k, num):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_components(texts, k, num, 100)
 
 
+@pytest.mark.parametrize("num", [80, 45])
+def test_sets_of_frequent_shingles(spark, num):
+    rng, texts = random.Random(num), []
+    for i in range(240):  # few words, so that every bucket holds sets that do not link
+        words = rng.sample(WORDS, rng.choice([1, 2, 3, 12, 19, 20, 21]))
+        for m in range(rng.choice([1, 1, 3])):
+            copy = [*words]
+            for _ in range(rng.randrange(1 + len(words) // 9)):
+                copy[rng.randrange(len(copy))] = rng.choice(WORDS)
+            texts.append((10 * i + m, " ".join(copy)))
+    got = jaccard_components(frame(spark, texts), k=1, num=num, den=100, count_links=False).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_components(texts, 1, num, 100)
+
+
 @pytest.mark.parametrize("block,least", [(1024, 64), (7, 64), (2, 5), (1, 1)])
 def test_every_link_of_a_group_is_counted(spark, monkeypatch, block, least):
     monkeypatch.setattr("vellum.llm.jaccard.LINK_BLOCK", block)
