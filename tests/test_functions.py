@@ -95,3 +95,8 @@ def test_folds_keep_offsets_and_unify_forms(spark):
     one = lambda f, v: spark.createDataFrame([(v,)], "v string").select(f(F.col("v")).alias("x")).first().x
     assert one(tx.accentless, "İİ ÁÑ ﬁ 日本ÿ") == "ii an ﬁ 日本y" and one(tx.same_length_lower, "İÁ") == "iá"
     assert one(tx.fold, " ＡＢ１\u00a0ﬁn STRASSE straße e\u0301 ½") == "ab1 fin strasse strasse é 1⁄2" and one(tx.ascii_digits, "٣४９x") == "349x"
+
+
+def test_letters_that_fold_to_several_make_no_label(spark):
+    got = [one(spark, tx.is_structural_label(F.lit(v))) for v in ("nieß", "Nie\u1e9e", "\ufb01n nie", "NIE:", "Teléfono ", "\uff24\uff2e\uff29")]
+    assert got == [False, False, False, True, True, True]
