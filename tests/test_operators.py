@@ -9,6 +9,7 @@ import zipfile
 from datetime import datetime, timedelta
 from decimal import Decimal
 
+import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -262,6 +263,21 @@ def test_office_files(spark):
     assert "[PASS_01]" in {r.text for r in labelled.collect()}
 
 
+def test_parts_of_many_files_leave_a_task_together():
+    def content(text):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as archive:
+            archive.writestr("word/document.xml", text)
+        return out.getvalue()
+
+    def batches(texts):
+        files = pd.DataFrame([(str(i), content(t)) for i, t in enumerate(texts)], columns=["name", "content"])
+        return list(bl._unzip(bl.EXPANDED_LIMIT)(iter([files])))
+
+    small, large = batches(["<x/>"] * 500), batches(["x" * bl._TOGETHER] * 3 + ["<x/>"])
+    assert [len(b) for b in small] == [500] and [len(b) for b in large] == [1, 1, 1, 1]
+
+
 def test_linked_objects_are_coverage_issues(spark):
     ns = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
     part = lambda body: f"<w:document {ns}>{body}</w:document>"
