@@ -100,3 +100,16 @@ def test_folds_keep_offsets_and_unify_forms(spark):
 def test_letters_that_fold_to_several_make_no_label(spark):
     got = [one(spark, tx.is_structural_label(F.lit(v))) for v in ("nieß", "Nie\u1e9e", "\ufb01n nie", "NIE:", "Teléfono ", "\uff24\uff2e\uff29")]
     assert got == [False, False, False, True, True, True]
+
+
+def test_plain_numbers_and_texts_are_read_as_others(spark):
+    values = ["1.234,56", "-1.234.567,8", "1234,5", "12", "1.234", "1,234", "0,125", "1.23,45", "12.34", "1234.567,8", "1.234,5678", "(5,25)", " 7,5 ", "\u22123,5", "7.", ",5", "NA", "n/a", "", "na1"]
+    got = [None if (x := one(spark, numbers.parse_decimal(F.lit(v)))) is None else str(x.normalize()) for v in values]
+    assert got == ["1234.56", "-1234567.8", "1234.5", "12", "1234", "1234", "0.125", "123.45", "12.34", "1234567.8", "1234.5678", "-5.25", "7.5", "-3.5", "7", "0.5", None, None, None, "1"]
+    texts = ["\u00a0None\n", "N/A", "nulo", "NULL", "Nadie ", "\ta b\u2003", "", " ", "7"]
+    assert [one(spark, tx.optional_text(F.lit(v))) for v in texts] == [None, None, "nulo", None, "Nadie", "a b", None, None, "7"]
+
+
+def test_lower_case_is_asked_of_no_plain_amount(spark):
+    plan = spark.createDataFrame([("12,5",)], "v string").select(numbers.parse_decimal(F.col("v")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" in plan and plan.index("RLIKE") < plan.index("lower(")
