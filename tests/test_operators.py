@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from vellum.operators import detect, drafts, invoices, redact, registry, resolve, templates
 from vellum.operators.rules import RULES
-from vellum.plans.invoice_queries import FLAT, GROUPED
+from vellum.plans.invoice_queries import FLAT, GROUPED, payloads
 from vellum.sources import blocks as bl
 from vellum.sources import profiles as pf
 from vellum.streaming.streams import observed_users_stream, redact_stream
@@ -229,6 +229,19 @@ def test_a_thousand_profiles_in_one_plan(spark):
     assert time.perf_counter() - began < 60
 
 
+def test_headers_are_read_in_runs_of_one_profile(spark):
+    pages = spark.createDataFrame([(1, "flat-demo", 0, "x")], "doc_id long, profile_id string, page_index int, text string")
+    plan = invoices._headers(pages, invoices._with_specs(pages, [FLAT, GROUPED]))._jdf.queryExecution().sparkPlan().toString()
+    assert "SortAggregate(key=[profile_id" in plan
+
+
+def test_made_payloads_read_their_items_once(spark, tmp_path):
+    spark.createDataFrame([(1, 2, 3, 1, 2.0, 10.5)], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    made = payloads(spark, str(tmp_path))
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    assert [(r.page_no, r.payload is None, r.raw_text is None, r.errors) for r in made.orderBy("page_no").collect()] == [(1, False, True, []), (2, True, False, [])]
+
+
 def test_allowlist_as_a_table(spark):
     rows = detect.as_findings(detect.detect_rules(docs(spark, "Madrid, Vigo y Toledo")))
     allowed = spark.createDataFrame([(" MADRID ",), ("vigo",), (" ",), (None,)], "value string")
