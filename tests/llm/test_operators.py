@@ -4,6 +4,7 @@ import math
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -13,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from vellum.llm import mixing, packing, tokencount
+from vellum.llm import mixing, packing, templates, tokencount
 from vellum.llm.jaccard import jaccard_components
 from vellum.llm.langid import BUCKETS, LanguageCode, codewords, grams, identify
 from vellum.llm.packing import OpenBins, cut, encode, pack_documents
@@ -502,6 +503,27 @@ def test_lines_are_dropped_in_linear_time(spark):
     assert got[9]["n_lines"] == 200_000 == got[9]["n_dropped"] and got[9]["text"] == "" and got[0]["n_dropped"] == 0
 
 
+def test_lines_that_no_template_can_hold_are_written_as_numbers(spark, monkeypatch):
+    """Texts are not written again, few rows outlive the first step, and shuffled joins give the same."""
+    rng = random.Random(29)
+    line = lambda: " ".join(f"{rng.choice('abcdef')}{rng.getrandbits(60):x}q".translate(str.maketrans("0123456789", "ghijklmnop")) for _ in range(12))
+    names = ["Ana", "Luz", "Eva", "Sol", "Paz", "Mar"]
+    rows = [(i, "\n".join(line() for _ in range(400)) + f"\nEl pedido de {names[i % 6]} sale hoy del almacén") for i in range(12)]
+    table = spark.createDataFrame([*rows, rows[3], rows[3]], "doc_id long, text string").localCheckpoint()
+    sizes, keep = {}, templates.Scratch.keep
+
+    def kept(self, df, name, by=None):
+        out = keep(self, df, name, by)
+        sizes[name] = sum(f.stat().st_size for f in Path(self.base.removeprefix("file:"), name).glob("*.parquet"))
+        return out
+
+    monkeypatch.setattr(templates.Scratch, "keep", kept)
+    got = sorted((r.doc_id, r.n_dropped, r.text) for r in drop_templates(table).collect())
+    assert sum(sizes.values()) < 0.5 * sum(len(t) for _, t in rows)
+    assert [n for _, n, _ in got] == [0] + [1] * 13 and got[1][2] == rows[1][1].rsplit("\n", 1)[0]
+    monkeypatch.setattr("vellum.sources.scratch.BROADCAST_BYTES", -1)
+    assert sorted((r.doc_id, r.n_dropped, r.text) for r in drop_templates(table).collect()) == got
+
 
 def test_mixing_budgets(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "w " * (1 + i % 3), "abc"[i % 3], "xy"[i % 2]) for i in range(60)] + [(90, None, "a", "x"), (None, "w", None, "y"), (91, "", "c", None)], "doc_id long, text string, lang string, source string")

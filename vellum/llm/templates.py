@@ -32,8 +32,19 @@ BLANKS = r"[ \t\r\f]+"
 FIELD = r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*"
 #: What a token with a digit becomes.
 HOLE = "<*>"
-#: Bytes of a row of the kinds, which may be broadcast, and of a document's dropped lines: its own and those of each.
-KIND_BYTES, GONE_BYTES, LINE_BYTES = 48, 64, 4
+#: Bytes of a row of the leaves and of the kinds, which may be broadcast, and of a document's dropped lines: its own and those of each.
+LEAF_BYTES, KIND_BYTES, GONE_BYTES, LINE_BYTES = 24, 48, 64, 4
+
+
+def masked(lines: Column) -> Column:
+    """An array of lines, each with single blanks and a hole for every token with a digit."""
+
+    def flat(raw: Column) -> Column:
+        uneven = raw.contains("  ") | raw.contains("\t") | raw.contains("\r") | raw.contains("\f")
+        return F.trim(F.when(uneven, F.regexp_replace(raw, BLANKS, " ")).otherwise(raw))
+
+    # Each pattern runs only where a plainer one matches, and once: filters on what is made here stay behind the explode.
+    return F.transform(F.transform(lines, flat), lambda line: F.when(line.rlike("[0-9]"), F.regexp_replace(line, FIELD, HOLE)).otherwise(line))
 
 
 def template_lines(docs: DataFrame, *, lead: int = LEAD) -> DataFrame:
@@ -41,32 +52,41 @@ def template_lines(docs: DataFrame, *, lead: int = LEAD) -> DataFrame:
 
     ``line`` is the masked line with single blanks; ``doc`` tells apart rows of one id.
     """
-    parts = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("doc"), F.split("text", "\n").alias("parts"))
-    lines = parts.select("doc_id", "doc", F.posexplode_outer("parts").alias("line_no", "raw")).where("raw is not null")
-    # Each pattern runs only where a plainer one matches.
-    raw = F.col("raw")
-    uneven = raw.contains("  ") | raw.contains("\t") | raw.contains("\r") | raw.contains("\f")
-    flat = F.when(uneven, F.regexp_replace(raw, BLANKS, " ")).otherwise(raw)
-    lines = lines.select("doc_id", "doc", "line_no", F.trim(flat).alias("flat")).where("flat <> ''")
-    masked = F.when(F.col("flat").rlike("[0-9]"), F.regexp_replace("flat", FIELD, HOLE)).otherwise(F.col("flat"))
+    parts = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("doc"), masked(F.split("text", "\n")).alias("parts"))
+    lines = parts.select("doc_id", "doc", F.posexplode_outer("parts").alias("line_no", "line"))
     n = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
-    lines = lines.select("doc_id", "doc", "line_no", masked.alias("line")).withColumn("n", n)
+    lines = lines.where("line <> ''").withColumn("n", n)
     holes = (F.length("line") - F.length(F.replace("line", F.lit(HOLE), F.lit("")))) / len(HOLE)
     bare = (F.length("line") == F.col("n") * (len(HOLE) + 1) - 1) & (holes == F.col("n"))
     lines = lines.where(~bare)
     return lines.withColumn("leaf", F.xxhash64("n", F.substring_index("line", " ", lead)))
 
 
-def form_templates(kinds: DataFrame, texts: DataFrame, pairs: DataFrame, scratch: Scratch, *, min_docs: int = MIN_DOCS, lead: int = LEAD, similarity: float = SIMILARITY) -> DataFrame:
+def kind_words(docs: DataFrame, kinds: DataFrame) -> DataFrame:
+    """``kinds`` with their ``masked`` lines, each read again from the one document of which ``kinds`` has ``doc`` and ``line_no``."""
+    asked = kinds.groupBy("doc").agg(F.collect_list(F.struct("leaf", "line", "n", "docs", "first", "line_no")).alias("asked"))
+    held = docs.select(F.xxhash64("doc_id", "text").alias("doc"), "text").join(small(asked, F.size("asked") * KIND_BYTES + GONE_BYTES), "doc")
+
+    def own(parts: Column) -> Column:
+        lines = masked(F.transform("asked", lambda k: F.get(parts, k["line_no"])))
+        return F.transform(F.arrays_zip(F.col("asked").alias("kind"), lines.alias("masked")), lambda x: F.struct(x["kind"].alias("kind"), x["masked"].alias("masked")))
+
+    texts = held.select(F.explode(F.element_at(F.transform(F.array(F.split("text", "\n")), own), 1)).alias("one"))  # the text is split once
+    # Rows of one id and text are read each.
+    return texts.select("one.kind.leaf", "one.kind.line", "one.kind.n", "one.kind.docs", "one.kind.first", "one.masked").groupBy("leaf", "line", "n", "docs", "first").agg(F.first("masked").alias("masked"))
+
+
+def form_templates(kinds: DataFrame, slim: DataFrame, pairs: DataFrame, docs: DataFrame, scratch: Scratch, *, min_docs: int = MIN_DOCS, lead: int = LEAD, similarity: float = SIMILARITY) -> DataFrame:
     """``leaf, line, first``: kinds that share a form with others, and its earliest document.
 
-    ``kinds(leaf, line, n, docs, first)``, ``texts(leaf, line, masked)``, ``pairs(leaf, line, doc_id)``.
+    ``kinds(leaf, line, n, docs, first)``, ``slim(leaf, line, doc, line_no)``, ``pairs(leaf, line, doc_id)``, ``docs(doc_id, text)``.
     """
     kinds = kinds.where(F.col("n") > lead)
     leaves = kinds.groupBy("leaf").agg(F.count("*").alias("kinds"), F.sum("docs").alias("total")).where((F.col("kinds") > 1) & (F.col("total") >= min_docs))
     leaves = scratch.keep(leaves.select("leaf"), "leaves")
     open_ = scratch.keep(kinds.join(leaves, "leaf", "left_semi"), "open")
-    words = texts.join(small(open_, KIND_BYTES), ["leaf", "line"]).groupBy("leaf", "line", "n", "docs", "first").agg(F.first("masked").alias("masked"))
+    places = slim.drop("n").join(small(open_, KIND_BYTES), ["leaf", "line"]).groupBy("leaf", "line", "n", "docs", "first").agg(F.min("doc").alias("doc"), F.min_by("line_no", "doc").alias("line_no"))
+    words = kind_words(docs, scratch.keep(places, "places"))
     words = words.select("leaf", "line", "n", "docs", "first", F.posexplode(F.split("masked", " ")).alias("at", "word"))
     words = scratch.keep(words.select("leaf", "line", "n", "docs", "first", "at", F.when(F.col("word") != HOLE, F.xxhash64("at", "word")).alias("token")), "words")
     constant = words.where("token is not null").groupBy("leaf", "token").agg(F.sum("docs").alias("votes")).where(F.col("votes") >= min_docs)
@@ -79,13 +99,13 @@ def form_templates(kinds: DataFrame, texts: DataFrame, pairs: DataFrame, scratch
     forms = forms.where(F.col("constants") >= F.col("n") * similarity).select("leaf", "line", "docs", "first", F.explode(F.transform(less, lambda t: F.col("form").bitwiseXOR(t))).alias("form"))
     forms = scratch.keep(forms, "forms")
     groups = forms.groupBy("leaf", "form").agg(F.count("*").alias("kinds"), F.sum("docs").alias("total"), F.max("docs").alias("most"), F.min("first").alias("first"))
-    groups = scratch.keep(groups.where((F.col("kinds") > 1) & (F.col("total") >= min_docs)), "groups")
+    groups = groups.where((F.col("kinds") > 1) & (F.col("total") >= min_docs)).select("leaf", "form", "most", F.col("first").alias("earliest"))
+    members = scratch.keep(forms.select("leaf", "line", "form").join(small(scratch.keep(groups, "groups"), KIND_BYTES), ["leaf", "form"]), "members")
     # A kind of enough documents settles it; otherwise the documents of kinds that are all rare are counted.
-    rare = forms.join(groups.where(F.col("most") < min_docs).select("leaf", "form"), ["leaf", "form"]).select("leaf", "line", "form")
+    rare = members.where(F.col("most") < min_docs)
     counted = rare.join(pairs, ["leaf", "line"]).groupBy("leaf", "form").agg(F.count_distinct("doc_id").alias("docs")).where(F.col("docs") >= min_docs)
-    settled = groups.where(F.col("most") >= min_docs).select("leaf", "form", "first").union(groups.join(counted, ["leaf", "form"]).select("leaf", "form", "first"))
-    settled = scratch.keep(settled, "settled")
-    return forms.select("leaf", "line", "form").join(settled, ["leaf", "form"]).select("leaf", "line", "first")
+    settled = members.where(F.col("most") >= min_docs).union(rare.join(counted.select("leaf", "form"), ["leaf", "form"], "left_semi").select(*members.columns))
+    return settled.select("leaf", "line", F.col("earliest").alias("first"))
 
 
 def drop_templates(docs: DataFrame, *, min_docs: int = MIN_DOCS, lead: int = LEAD, similarity: float = SIMILARITY, keep: Sequence[str] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -102,15 +122,19 @@ def drop_templates(docs: DataFrame, *, min_docs: int = MIN_DOCS, lead: int = LEA
     rest = F.struct(*[F.col(c) for c in keep]) if keep else F.lit(None)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), rest.alias("rest"))
     lines = template_lines(rows, lead=lead)
-    slim = scratch.keep(lines.select("doc_id", "doc", "line_no", "leaf", F.xxhash64("line").alias("line"), "n", F.when(F.col("n") > lead, F.col("line")).alias("masked")), "lines")
+    lines = scratch.keep(lines.select("doc_id", "doc", "line_no", "leaf", F.xxhash64("line").alias("line"), "n"), "lines")
+    # A leaf of fewer lines than a template has documents holds none; most lines are of such leaves.
+    full = scratch.keep(lines.groupBy("leaf").agg(F.count("*").alias("lines")).where(F.col("lines") >= min_docs).select("leaf"), "full")
+    slim = scratch.keep(lines.join(small(full, LEAF_BYTES), "leaf", "left_semi"), "slim")
+    scratch.drop("lines", "full")
     pairs = scratch.keep(slim.select("leaf", "line", "n", "doc_id").distinct(), "pairs")
     kinds = scratch.keep(pairs.groupBy("leaf", "line", "n").agg(F.count("doc_id").alias("docs"), F.min("doc_id").alias("first")), "kinds")
     same = kinds.where(F.col("docs") >= min_docs).select("leaf", "line", "first")
-    alike = form_templates(kinds, slim.select("leaf", "line", "masked"), pairs.select("leaf", "line", "doc_id"), scratch, min_docs=min_docs, lead=lead, similarity=similarity)
+    alike = form_templates(kinds, slim, pairs.select("leaf", "line", "doc_id"), rows.select("doc_id", "text"), scratch, min_docs=min_docs, lead=lead, similarity=similarity)
     found = scratch.keep(same.union(alike).groupBy("leaf", "line").agg(F.min("first").alias("first")), "found")
     gone = slim.join(small(found, KIND_BYTES), ["leaf", "line"]).where(F.col("doc_id").isNull() | (F.col("doc_id") > F.col("first")))
     gone = scratch.keep(gone.groupBy("doc").agg(F.array_sort(F.collect_set("line_no")).alias("gone")), "gone")
-    scratch.drop("lines", "pairs", "kinds", "leaves", "open", "words", "constant", "forms", "groups", "settled", "found")
+    scratch.drop("slim", "pairs", "kinds", "leaves", "open", "places", "words", "constant", "forms", "groups", "members", "found")
     out = rows.withColumn("doc", F.xxhash64("doc_id", "text")).join(small(gone, F.size("gone") * LINE_BYTES + GONE_BYTES), "doc", "left")
 
     def others(parts: Column) -> Column:
