@@ -1,6 +1,7 @@
 """Column functions on literal cases."""
 
 import re
+import time
 from decimal import Decimal
 
 import pytest
@@ -113,3 +114,14 @@ def test_plain_numbers_and_texts_are_read_as_others(spark):
 def test_lower_case_is_asked_of_no_plain_amount(spark):
     plan = spark.createDataFrame([("12,5",)], "v string").select(numbers.parse_decimal(F.col("v")))._jdf.queryExecution().optimizedPlan().toString()
     assert "RLIKE" in plan and plan.index("RLIKE") < plan.index("lower(")
+
+
+def test_letters_that_fold_to_several_are_looked_up_in_a_table(spark):
+    """Each is found wherever it stands, and text of other scripts is read at the pace of a table, not of a class of many letters."""
+    rows = [(f"{a}{c}{b}",) for c, _ in tx.WIDER for a, b in (("x", ""), ("", "ñ"), ("日", "\U0001f600"))] + [(v,) for v in ("Ñandú", "", "abc", "\U0001f600", None)]
+    got = spark.createDataFrame(rows, "v string").select("v", tx._wide(F.col("v")).alias("wide")).collect()
+    assert all(r.wide == (None if r.v is None else any(c in r.v for c, _ in tx.WIDER)) for r in got)
+    long = spark.range(1, numPartitions=1).select(F.repeat(F.format_string("Muñoz García, calle Año Ñandú %d ", "id"), 480_000).alias("v"))
+    began = time.perf_counter()
+    assert long.select(F.length(tx.bare(F.col("v")))).first()[0] == 25 * 480_000
+    assert time.perf_counter() - began < 10
