@@ -15,8 +15,10 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tests import oracles
 from vellum.operators import detect, drafts, invoices, redact, registry, resolve, templates
 from vellum.operators.rules import RULES
+from vellum.plans.catalog import ORACLES, QUERIES
 from vellum.plans.invoice_queries import FLAT, GROUPED, payloads
 from vellum.sources import blocks as bl
 from vellum.sources import profiles as pf
@@ -67,6 +69,16 @@ def test_manual_findings_win(spark):
     assert rejects.count() == 2
 
 
+def test_hits_that_are_labels_are_set_aside_and_the_query_has_all_of_its_sql(spark, tmp_path, monkeypatch):
+    hits = spark.createDataFrame([(0, "text:body:block[0]", 7, 0, n, "LOCATION", 0.9) for n in (3, 8)], "doc_id long, location_id string, offset int, start int, end int, entity_type string, score double")
+    kept = detect.external_hits(docs(spark, "Gehört nie zu ihm"), hits).orderBy("end").collect()
+    assert [(r.value, r.entity) for r in kept] == [("nie", False), ("nie zu i", True)]
+    assert [r.value for r in detect.external_findings(docs(spark, "Gehört nie zu ihm"), hits).collect()] == ["nie zu i"]
+    pd.DataFrame([(n, "\n".join(["x" * 22 + "nie, und nie wieder"] * 3)) for n in range(200)], columns=["doc_id", "text"]).to_parquet(tmp_path / "documents.parquet")
+    monkeypatch.setattr(oracles, "TABLES", tmp_path)
+    assert oracles.disagreement(spark, QUERIES["external_findings"], ORACLES["external_findings"]) is None
+
+
 def test_rules_equal_a_search_in_python(spark):
     texts = ["Cliente: Ana García López paga 1.234,56 € y EUR 20 a Acme Hijos S.L. en Calle Mayor 3, 28001.", "nacida el 1/2/1990, edad: 33 años; www.x.es/a?b, ES91 2100 0418 4502 0005 1332 y 1234 BCD", "ñ@x.es;a.b+c@sub.dominio.com, +34 612-345-678 4111-1111-1111-1111 dos mil euros"]
     for name, rule in RULES.items():
