@@ -341,6 +341,24 @@ def test_grouped_lines(spark):
     assert header.first().verdict.startswith("missing:invoice_number")
 
 
+def test_a_pattern_is_asked_once_for_a_line_whatever_is_asked_of_the_lines(spark):
+    pages = spark.createDataFrame([(1, 1, "x")], "doc_id long, page_index int, text string")
+    found = invoices.lines_grouped(pages, GROUPED).where(F.col("comment") == invoices.MISMATCH).groupBy("doc_id").count()
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Certificado") == 1 and plan.count("[^\\s]+@") == 1
+
+
+def test_lines_between_blanks_marks_and_other_rows(spark):
+    profile = GROUPED | {"lines": GROUPED["lines"] | {"project_reference_pattern": r"Ref: (?P<project_reference>\w+)"}}
+    text = "\u2003a@x.es 1,00 EUR\u00a0\n\nRef: R1\r\nServicio 2,00 1.234,50 EUR\nRef: R2\n nada \nUnidad 2,00 10,50 EUR 1.234,50 EUR\u00a0\nOTRO 1,00 2,00 EUR\nUnidad 1,00 2,00 EUR 2,00 EUR\nServicio 1,00 ..,5 EUR\nUnidad 1,00 2,00 EUR 2,00 EUR"
+    pages = spark.createDataFrame([(1, 1, text), (2, 1, None), (3, 1, ""), (4, 0, text), (5, 1, text.partition("\n")[2])], "doc_id long, page_index int, text string")
+    got = invoices.lines_grouped(pages, profile).orderBy("doc_id", "row").collect()
+    assert [(r.doc_id, r.row, r.user, r.service, str(r.amount), r.confidence, r.project_reference) for r in got] == [(1, 6, "a@x.es", "Servicio", "1234.500000", 0.99, "R1"), (1, 10, "a@x.es", "Servicio", "2.000000", 0.75, "R2")]
+    text = "Ref: proyecto 7\nSVC 1 1,00 2,50 2,50 EUR\nSVC 2 1,00 2,50 x EUR\nSVC 3 1,00 ,.2 1.000 EUR Ref: proyecto 8"
+    got = invoices.lines_flat(spark.createDataFrame([(1, 1, text)], "doc_id long, page_index int, text string"), FLAT).collect()
+    assert [(r.row, r.service, str(r.unit_price), r.project_reference, r.confidence) for r in got] == [(1, "SVC 1", "2.500000", "7", 0.95)]
+
+
 def test_reconcile_and_export(spark):
     lines = spark.createDataFrame([(1, "line-1", "u", "s", Decimal("1"), Decimal("53.63"), Decimal("53.63"), "pending", ""), (2, "line-1", "u", "s", Decimal("1"), Decimal("53.63"), Decimal("53.63"), "accepted", "")], "doc_id long, line_id string, user string, service string, quantity decimal(18,6), unit_price decimal(18,6), amount decimal(18,6), status string, comment string").withColumn("project_reference", F.lit(""))
     bases = spark.createDataFrame([(1, Decimal("53.63"), "d"), (2, Decimal("54.00"), "d"), (3, Decimal("0"), "d")], "doc_id long, taxable_base decimal(18,6), invoice_date string")
