@@ -402,6 +402,28 @@ def test_drafts(spark):
     assert not got[3].ready and "lines" in got[3].missing and got[3].warnings == ["Página 1: Docling no devolvió JSON válido."]
 
 
+def test_a_draft_reads_only_what_is_asked_of_it(spark, tmp_path):
+    spark.createDataFrame([(1, 2, 3, 1, 2.0, 10.5)], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    plan = lambda name: QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert all("Falta el importe" not in plan(name) and "contradictorios" not in plan(name) for name in ("missing_fields", "draft_checks"))
+    assert "Falta el importe" in plan("ready_for_mapping")
+
+
+def test_items_of_a_draft_are_those_of_its_lines(spark):
+    item = '{"service": "A", "quantity": 2, "unit_price": "1.234,50", "amount": 2469.0, "x": {"y": [1]}}'
+    items = ["[]", "null", "7", '"[]"', f"[{item}]", f"[{item}, 5, null, {item}]", f'["{{}}", "", {item}]', f"{item}", '[{"amount": "x"}, {"amount": " (5,25) "}, {}]', "\"[{'amount': '3'}]\"", '"[1, 2"', '"[{\\"amount\\": \\"1\\"}, NaN]"']
+    rows = [(n, 1, f'{{"lines": {x}, "taxes": {x}}}', None, []) for n, x in enumerate(items)]
+    raws = ["{'a': 1}", '{"a": NaN}', '{"a": 1} x', "{", "[]", "x", "", " {} ", '{"a": 1, "a": 2}', None]
+    rows += [(100 + n, 1, None, x, ["roto", ""]) for n, x in enumerate(raws)]
+    made = spark.createDataFrame(rows, "doc_id long, page_no int, payload string, raw_text string, errors array<string>")
+    pages = drafts.parse_payload(made)
+    lines = {r.doc_id: (float(r.line_total), r.complete, r.pending, r.line_warnings) for r in drafts.line_totals(drafts.draft_lines(pages)).collect()}
+    got = {r.doc_id: (float(r.line_total), r.complete, r.pending, r.line_warnings) for r in drafts.invoice_draft(made).collect()}
+    assert got == {n: lines.get(n, (0.0, 0, 0, 0)) for n, *_ in rows} and got[5][:3] == (4938.0, 2, 2)
+    assert {r.doc_id for r in pages.where("size(page_warnings) = 2").collect()} == {103, 105} | ({100, 101} if spark.sql("select try_parse_json(\"{'a': 1}\") is null").first()[0] else set())
+    assert {r.doc_id for r in drafts.invoice_draft(made).where("array_contains(missing, 'lines')").collect()} == {n for n, *_ in rows if n not in lines}
+
+
 def test_registry_in_batch_and_stream(spark, tmp_path):
     t = [datetime(2024, 1, d) for d in (1, 2, 3)]
     rows = [("o1", "A@x.es", "Ana", True, t[0]), ("o1", "a@X.es", "", True, t[2]), ("o1", "a@x.es", "Ana B", True, t[1]), ("", "b@x.es", "B", True, t[0]), ("o9", "z@x.es", "Z", False, t[0]), ("o8", None, "N", True, t[0])]
